@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts of at most so many characters are handled together inside one Arrow batch.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,9 +6,11 @@
    signature, 16-bit local index), so the exchange carries about seven bytes a signature and few rows.  A partition
    sorts its signatures in bounded runs; documents that share one are tied to the first of them.
 3. Ties are filtered by the sketches: flipped parity bits never exceed the true set difference, so no similar pair is
-   lost.  What is left is verified on the whole shingle sets.
-4. Where three or more documents share a signature and are not yet one component, all of them are compared with each
-   other by sketch, in blocks, and the survivors verified: a chain that the ties missed is closed there.
+   lost.  What is left is verified on the whole shingle sets, and gives components.
+4. A tie within one component settles itself and its fellows.  Where a tie crosses components, the documents tied to
+   the same leader send their signatures again, with their components: all that share one with the leader, in groups
+   that are not of one component, are compared with each other by sketch, in blocks, and the survivors verified.  So
+   a chain the ties missed is closed.
 5. Components come from the verified links; copies and members follow their class.
 """
 
@@ -23,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, field, materialize, slices
+from .common import append_columns, field, materialize, slices, unit_hash
 from .components import components
-from .partenum import signatures
+from .partenum import common_map, signatures
 from .shingles import mix, shingle_sets
 
 #: Documents and signatures of one packed block set at most.
-BLOCK_DOCS, BLOCK_SIGNATURES = 4096, 2_500_000
-#: Signatures a reducing task sorts at a time.
-RUN = 3_000_000
+BLOCK_DOCS, BLOCK_SIGNATURES = 4096, 1_000_000
+#: Signatures a reducing task is meant to get, and sorts at a time; and how many tasks there are at most.
+TASK, RUN, TASKS = 1_000_000, 1_500_000, 50_000
+#: Documents looked at to find common shingles, and in how many of them a common one stands.  A hint that saves
+#: comparisons: no result depends on it.
+HINT_DOCS, HINT_TIMES = 8000, 3
 #: Candidate ids up to which the filter on the texts is broadcast (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Rows of a block of step 4.
@@ -77,11 +82,25 @@ def describe(docs: DataFrame, words: int = 5) -> DataFrame:
     return append_columns(docs, "text", make, [field("n_shingles", "long"), field("set_key", "binary"), field("sketch", "binary")]).drop("text")
 
 
-def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int) -> DataFrame:
-    """(bucket, sigs, local, ids): packed signatures by hash partition."""
+def _common(docs: DataFrame, total: int, words: int) -> np.ndarray:
+    """Map of the shingles that stand in several of the documents looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in slices(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(texts[a:b], words)).view(np.int64))], names=["h"])
+
+    some = docs.where(unit_hash(F.col("doc_id"), F.lit("hint")) < min(1.0, HINT_DOCS / max(1, total))).limit(2 * HINT_DOCS).select("text")
+    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= HINT_TIMES).select("h")
+    return common_map(often.toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int, common: np.ndarray) -> DataFrame:
+    """(bucket, sigs, local, ids): packed signatures by hash partition; ids are pairs of document and component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[tuple[int, int]] = []
         keys: set[bytes] = set()
         whose: list[np.ndarray] = []
         sigs: list[np.ndarray] = []
@@ -105,7 +124,7 @@ def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int) -> Data
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "sigs", "local", "ids"])
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            doc_ids, texts, comps = (batch.column(n).to_pylist() for n in ("doc_id", "text", "component"))
             for a, b in slices([t or "" for t in texts]):
                 sets = shingle_sets([t or "" for t in texts[a:b]], words)
                 fresh = []
@@ -117,7 +136,7 @@ def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int) -> Data
                             fresh.append(i)
                 for c in range(0, len(fresh), 512):
                     some = fresh[c : c + 512]
-                    w, s = signatures([sets[i] for i in some], num, den)
+                    w, s = signatures([sets[i] for i in some], num, den, common)
                     if held and (len(ids) + len(some) > BLOCK_DOCS or held + s.size > BLOCK_SIGNATURES):
                         yield flush()
                         ids, whose, sigs, held = [], [], [], 0
@@ -125,49 +144,53 @@ def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int) -> Data
                     whose.append(w + len(ids))
                     sigs.append(s)
                     held += s.size
-                    ids += [doc_ids[a + i] for i in some]
+                    ids += [(doc_ids[a + i], comps[a + i]) for i in some]
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, sigs binary, local binary, ids binary")
+    return docs.select("doc_id", "text", "component").mapInArrow(run, "bucket int, sigs binary, local binary, ids binary")
 
 
-def _shared(blocks: DataFrame, parts: int) -> DataFrame:
-    """(kind, a, b): kind 0 ties the smallest document ``a`` with another ``b`` of a signature; kind 1 lists each
-    document ``b`` of a signature ``a`` that three or more share."""
+def _shared(blocks: DataFrame, parts: int, split: bool) -> DataFrame:
+    """Documents that share a signature.  As ties: (a, b), the smallest document ``a`` with each other one.  With
+    ``split``, as lists: (lead, doc_id, component), the same for signatures whose documents are of several components,
+    the leader included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen_sig, seen_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # earlier runs: one document a signature
-        seen_big = np.zeros(0, bool)
+        seen_sig, seen_doc = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)  # earlier runs: one document a signature
         sigs: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         held = 0
 
-        def ties():
-            nonlocal seen_sig, seen_doc, seen_big
-            s, d = np.concatenate([seen_sig, *sigs]), np.concatenate([seen_doc, *docs])
-            old = np.zeros(s.size, bool)
-            old[: seen_sig.size] = True
-            big = np.zeros(s.size, bool)
-            big[: seen_sig.size] = seen_big
-            order = np.argsort(s, kind="stable")  # an earlier run's document stays first
-            s, d, old, big = s[order], d[order], old[order], big[order]
+        def groups(last: bool):
+            nonlocal seen_sig, seen_doc
+            s, d = np.concatenate(sigs), np.concatenate(docs)
+            order = np.argsort(d[:, 0])
+            s, d = np.concatenate([seen_sig, s[order]]), np.concatenate([seen_doc, d[order]])
+            order = np.argsort(s, kind="stable")  # first an earlier run's leader, else the smallest document
+            s, d = s[order], d[order]
             start = np.nonzero(np.r_[True, s[1:] != s[:-1]])[0]
             size = np.diff(np.r_[start, s.size])
-            many = np.repeat(size > 1, size)
-            lead = np.repeat(np.where(old[start], d[start], np.minimum.reduceat(d, start)), size)
-            tie = many & (lead != d)
-            pair = np.unique(np.stack([np.minimum(lead[tie], d[tie]), np.maximum(lead[tie], d[tie])], axis=1), axis=0) if tie.any() else np.zeros((0, 2), np.int64)
-            # A signature of an earlier run may grow over two documents now: then all of it is listed.
-            crowd = np.repeat((size > 2) | (old[start] & (size > 1)), size)
-            listed = crowd & ~(old & big)
-            first = np.zeros(s.size, bool)
-            first[start] = True
-            seen_sig, seen_doc, seen_big = s[first], lead[first], np.repeat((size > 2) | big[start], size)[first] | (old[start] & (size > 1))
-            kind = np.r_[np.zeros(len(pair), np.int32), np.ones(int(listed.sum()), np.int32)]
-            a = np.r_[pair[:, 0], s[listed].view(np.int64)]
-            b = np.r_[pair[:, 1], d[listed]]
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+            more = size > 1
+            if split:
+                # Of several runs none sees a signature whole: then all that share one are listed.
+                if last and not seen_sig.size:
+                    more &= np.minimum.reduceat(d[:, 1], start) != np.maximum.reduceat(d[:, 1], start)
+                keep = np.repeat(more, size)
+                lead, own, comp = np.repeat(d[start, 0], size)[keep], d[keep, 0], d[keep, 1]
+                order = np.lexsort((own, lead))
+                lead, own, comp = lead[order], own[order], comp[order]
+                new = np.r_[True, (lead[1:] != lead[:-1]) | (own[1:] != own[:-1])] if lead.size else np.zeros(0, bool)
+                out = pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (lead, own, comp)], names=["lead", "doc_id", "component"])
+            else:
+                keep = np.repeat(more, size)
+                lead, other = np.repeat(d[start, 0], size)[keep], d[keep, 0]
+                pairs = np.stack([np.minimum(lead, other), np.maximum(lead, other)], axis=1)[lead != other]
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
+                out = pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            seen_sig, seen_doc = s[start], d[start]
+            return out
 
         for batch in batches:
             for bucket, packed, local, ids in zip(*[batch.column(n).to_pylist() for n in ("bucket", "sigs", "local", "ids")], strict=True):
@@ -176,15 +199,15 @@ def _shared(blocks: DataFrame, parts: int) -> DataFrame:
                 s[:, 3:] = np.frombuffer(packed, np.uint8).reshape(5, n).T
                 # Partitions can share a task: the bucket joins the 40 bits again.
                 sigs.append(s.view(np.uint64).ravel() | np.uint64(bucket & 0xFFFFFF))
-                docs.append(np.frombuffer(ids, np.int64)[np.frombuffer(local, "<u2")])
+                docs.append(np.frombuffer(ids, np.int64).reshape(-1, 2)[np.frombuffer(local, "<u2")])
                 held += n
                 if held >= RUN:
-                    yield ties()
+                    yield groups(False)
                     sigs, docs, held = [], [], 0
         if held:
-            yield ties()
+            yield groups(True)
 
-    return blocks.repartition(parts, "bucket").mapInArrow(run, "kind int, a long, b long")
+    return blocks.repartition(parts, "bucket").mapInArrow(run, "lead long, doc_id long, component long" if split else "a long, b long")
 
 
 def _sketched(pairs: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
@@ -225,17 +248,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _crowded(listed: DataFrame, about: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a crowded signature and pass by sketch; in blocks of bounded size."""
-    at = listed.join(member, listed["b"] == member["doc_id"]).select(F.col("a").alias("sig"), "doc_id", "component")
-    split = at.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig", "n")
-    # Signatures with the very same members ask the same question: one of them does.
-    same = at.join(split, "sig").groupBy("sig", "n").agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(38,0)")).alias("h2")).groupBy("h1", "h2", "n").agg(F.min("sig").alias("sig"))
-    rows = at.join(same.select("sig", (F.ceil(F.col("n") / PAIR_BLOCK)).cast("int").alias("blocks")), "sig")
+def _crowded(listed: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components listed under one leader that pass by sketch; in blocks of bounded size."""
+    at = listed.distinct()
+    sizes = at.groupBy("lead").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    rows = at.join(sizes, "lead")
     mine = (F.abs(F.xxhash64("doc_id", F.lit(7))) % F.col("blocks")).cast("int")
     # A member of block i meets every block: as (i, j) for j >= i and (j, i) for j < i.
     spread = rows.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("sig", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "doc_id", "component")
+    spread = spread.select("lead", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "doc_id", "component")
     full = spread.join(about.select("doc_id", "n_shingles", "sketch"), "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
@@ -261,7 +282,7 @@ def _crowded(listed: DataFrame, about: DataFrame, member: DataFrame, num: int, d
         pairs = sorted(out)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return full.groupBy("sig", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return full.groupBy("lead", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,22 +298,38 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_
     named = about.where("doc_id is not null and set_key is not null")
     classes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     of = materialize(named.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "class-of")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = materialize(_shared(_blocks(docs, words, num, den, parts), parts), "shared")
     one = named.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch")
-    # Copies of one class need no check.
-    left, right = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    by_class = lambda p: p.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    ties = materialize(_sketched(by_class(shared.where("kind = 0").select("a", "b").distinct()), one, num, den), "ties")
-    links = [materialize(_verified(ties, docs, words, num, den), "links")]
+    rows, total = about.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    common = _common(docs, rows, words)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, total * 3 // (2 * TASK)))
+
+    def by_class(pairs: DataFrame) -> DataFrame:
+        """Pairs of documents as pairs of their classes' smallest documents; pairs within a class need no check."""
+        left, right = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
+        return pairs.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+    def members(found: DataFrame) -> DataFrame:
+        return of.join(found, of["rep"] == found["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
+
+    all_ties = materialize(_shared(_blocks(docs.withColumn("component", F.lit(0).cast("long")), words, num, den, parts, common), parts, False).distinct(), "ties")
+    links = [materialize(_verified(materialize(_sketched(by_class(all_ties), one, num, den), "likely"), docs, words, num, den), "links")]
     found = components(links[0].toDF("src", "dst"))
-    member = of.join(found, of["rep"] == found["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    listed = shared.where("kind = 1").join(of, shared["b"] == of["doc_id"]).select("a", F.col("rep").alias("b")).distinct()
-    classes_now = member.where("doc_id = rep").select("doc_id", "component").distinct()
-    more = materialize(_crowded(listed, one, classes_now, num, den), "crowded")
-    if more.limit(1).count():
-        links.append(materialize(_verified(more, docs, words, num, den), "links"))
-        found = components(reduce(DataFrame.unionByName, links).toDF("src", "dst"))
+    member = materialize(members(found), "members")
+    side = lambda n: member.select(F.col("doc_id").alias(n), F.col("component").alias(f"c{n}"))
+    # A leader's fellows matter once one of its ties crosses; the smaller id leads, but in later runs of a large task.
+    crossing = all_ties.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.explode(F.array("a", "b")).alias("lead")).distinct()
+    fellows = all_ties.select("a", "b").unionByName(all_ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(crossing, F.col("a") == F.col("lead")).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    again = materialize(member.join(fellows, "doc_id", "left_semi").select("doc_id", "rep", "component").distinct(), "again")
+    # Of a class only the smallest document is needed.
+    again = again.select(F.col("rep").alias("doc_id"), "component").groupBy("doc_id").agg(F.min("component").alias("component"))
+    n = again.count()
+    if n:
+        side = F.broadcast(again) if n <= BROADCAST_IDS else again
+        listed = materialize(_shared(_blocks(docs.join(side, "doc_id"), words, num, den, parts, common), parts, True), "listed")
+        more = materialize(_crowded(listed, one, num, den), "crowded")
+        if more.limit(1).count():
+            links.append(materialize(_verified(more, docs, words, num, den), "links"))
+            found = components(reduce(DataFrame.unionByName, links).toDF("src", "dst"))
     final = of.join(found, of["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     # An id may stand on several rows: its component is the smallest of theirs.
     final = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
