@@ -156,6 +156,8 @@ def _shared(blocks: DataFrame, parts: int, split: bool) -> DataFrame:
     ``split``, as lists: (lead, doc_id, component), the same for signatures whose documents are of several components,
     the leader included."""
 
+    meet = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen_sig, seen_doc = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)  # earlier runs: one document a signature
         sigs: list[np.ndarray] = []
@@ -188,7 +190,12 @@ def _shared(blocks: DataFrame, parts: int, split: bool) -> DataFrame:
                 pairs = np.stack([np.minimum(lead, other), np.maximum(lead, other)], axis=1)[lead != other]
                 pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
                 pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
-                out = pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                to = (mix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64)) % np.uint64(meet)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                to, pairs = to[order], pairs[order]
+                cut = np.searchsorted(to, np.arange(meet + 1))
+                full = np.nonzero(np.diff(cut))[0]
+                out = pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pairs[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()], pa.binary())], names=["bucket", "pairs"])
             seen_sig, seen_doc = s[start], d[start]
             return out
 
@@ -207,7 +214,30 @@ def _shared(blocks: DataFrame, parts: int, split: bool) -> DataFrame:
         if held:
             yield groups(True)
 
-    return blocks.repartition(parts, "bucket").mapInArrow(run, "lead long, doc_id long, component long" if split else "a long, b long")
+    dealt = blocks.repartition(parts, "bucket")
+    if split:
+        return dealt.mapInArrow(run, "lead long, doc_id long, component long")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Similar documents meet in many tasks: each tie counts once."""
+        held = np.zeros((0, 2), np.int64)
+
+        def distinct(pairs: np.ndarray) -> np.ndarray:
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            return pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
+
+        for batch in batches:
+            for packed in batch.column("pairs"):
+                held = np.concatenate([held, np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, 2)])
+                if len(held) > RUN:
+                    held = distinct(held)
+                    if len(held) > RUN // 2:  # too many to hold: the rest of them are told apart later
+                        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], names=["a", "b"])
+                        held = held[:0]
+        held = distinct(held)
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "bucket int, pairs binary").repartition(meet, "bucket").mapInArrow(once, "a long, b long")
 
 
 def _sketched(pairs: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
