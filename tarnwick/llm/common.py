@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,6 +49,22 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Hold the bytes of an Arrow batch down, so that a worker's memory depends on neither row count nor text length;
+    and have unions exchange their rows anew, as Spark 4.1 can mix up partitions where they keep their children's."""
+    if spark.conf.get("spark.sql.unionOutputPartitioning") != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not now or int(now[1]) > most:
+        spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give memory that Arrow holds for reuse back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges whose texts have about ``limit`` characters; a longer text stands alone."""
     start = size = 0
@@ -71,6 +88,7 @@ def append_columns(
     ``make()`` runs once in a Python worker's task and returns a function from a list of texts to a list of columns.
     Columns of ``df`` with a name of ``fields`` are replaced.
     """
+    bounded_batches(df.sparkSession)
     names = {f.name for f in fields}
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names or c == text_col])
     kept = [f for f in base.schema.fields if f.name not in names]
@@ -88,6 +106,8 @@ def append_columns(
                 arrays = [part.column(n) for n in kept_names]
                 arrays += [c if isinstance(c, pa.Array) else pa.array(c, type=t.type) for c, t in zip(cols, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=kept_names + arrow.names)
+            del batch, texts
+            release()
 
     return base.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, unit_hash
+from .common import bounded_batches, materialize, unit_hash
 from .components import components
 
 #: Vectors of a tile's residents and members, and of the sample that gives axes and pivots.
@@ -113,6 +113,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     an id each get a row.  Rows with a null id are returned with no links.  Other columns are ignored.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
     keyed = materialize(_keys(rows), "vectors")
     good = keyed.where("key is not null and vec_id is not null")

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, field, materialize, slices, unit_hash
+from .common import append_columns, bounded_batches, field, materialize, release, slices, unit_hash
 from .components import components
 from .partenum import common_map, signatures
 from .shingles import mix, shingle_sets
 
 #: Documents and signatures of one packed block set at most.
-BLOCK_DOCS, BLOCK_SIGNATURES = 4096, 1_000_000
+BLOCK_DOCS, BLOCK_SIGNATURES = 4096, 700_000
 #: Signatures a reducing task is meant to get, and sorts at a time; and how many tasks there are at most.
 TASK, RUN, TASKS = 1_000_000, 1_500_000, 50_000
 #: Documents looked at to find common shingles, and in how many of them a common one stands.  A hint that saves
@@ -145,6 +145,8 @@ def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int, common:
                     sigs.append(s)
                     held += s.size
                     ids += [(doc_ids[a + i], comps[a + i]) for i in some]
+            del batch, texts
+            release()
         if held:
             yield flush()
 
@@ -211,6 +213,8 @@ def _shared(blocks: DataFrame, parts: int, split: bool) -> DataFrame:
                 if held >= RUN:
                     yield groups(False)
                     sigs, docs, held = [], [], 0
+            del batch
+            release()
         if held:
             yield groups(True)
 
@@ -323,6 +327,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_
     nothing.  Rows that share an id share its links.  Other columns are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     about = materialize(describe(docs, words), "sets-of")
     named = about.where("doc_id is not null and set_key is not null")

@@ -108,6 +108,7 @@ def fit(texts: list[str], langs: list[str], bits: int = 16, dims: int = 16, epoc
     train = [i for i in range(len(texts)) if i % 5 or len(texts) < 10]
     held = [i for i in range(len(texts)) if not i % 5] if len(texts) >= 10 else train
     rows = {i: sparse(texts[i], bits) for i in train}
+    epochs = max(epochs, -(-6000 // max(1, len(train))))  # few texts are seen more often
     steps, at = epochs * len(train), 0
     for _ in range(epochs):
         for i in rng.permutation(train).tolist():

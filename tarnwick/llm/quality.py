@@ -163,13 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """``docs`` with ``score_col`` double in [0, 1], higher for text more like the trusted positives.
+    """``docs`` with ``score_col`` double in [0, 1] to nine places, higher for text more like the trusted positives.
 
     Null and empty texts are scored like any other (all features zero); equal texts score equally; an existing
     ``score_col`` is replaced and other columns pass through.
     """
 
     def make():
-        return lambda texts: [model.score(np.array([features(t or "") for t in texts], np.float64)).tolist()]
+        return lambda texts: [np.round(model.score(np.array([features(t or "") for t in texts], np.float64)), 9).tolist()]
 
     return append_columns(docs, text_col, make, [field(score_col, "double")])

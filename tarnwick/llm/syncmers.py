@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .shingles import mix
 
 K, S = 12, 6
@@ -139,6 +139,7 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     range after it as a guest, so no global sort and no row goes through one task.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10000).alias("c")).first()["c"] or []

@@ -84,7 +84,7 @@ def dictionaries(texts: list[str], toxic: list[int], covers: int = 3, most: int
             where[w].append(i)
             beside[w].add(neighbours)
     # What stands between the same neighbours in many texts is a copied passage, not a habit of toxic texts.
-    where = {w: at for w, at in where.items() if len(beside[w]) >= max(2, support * len(bad), 0.6 * len(at))}
+    where = {w: at for w, at in where.items() if len(beside[w]) >= max(5, support * len(bad), 0.6 * len(at))}
     words: Counter[str] = Counter()
     for t, y in zip(texts, toxic, strict=True):
         if not y:
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
-    """``docs`` with ``score_col`` double in [0, 1], higher for text likelier toxic.
+    """``docs`` with ``score_col`` double in [0, 1] to nine places, higher for text likelier toxic.
 
     Null and empty texts have one empty window and are scored by it; equal texts score equally; an existing
     ``score_col`` is replaced and other columns pass through.
@@ -155,6 +155,6 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
 
     def make():
         ordinary, toxic = model.compressors()
-        return lambda texts: [model.probability(np.array([summary(distances(t or "", ordinary, toxic)) for t in texts])).tolist()]
+        return lambda texts: [np.round(model.probability(np.array([summary(distances(t or "", ordinary, toxic)) for t in texts])), 9).tolist()]
 
     return append_columns(docs, text_col, make, [field(score_col, "double")])

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 #: Magic numbers and layout of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -114,6 +114,7 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
 def bundles(planned: DataFrame, frame: int = FRAME, bundle: int = BUNDLE, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> DataFrame:
     """Bundles of the planned records, one row each."""
+    bounded_batches(planned.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=level)
