@@ -74,21 +74,27 @@ def starts(text: str) -> dict[str, tuple[str, str]]:
 
 def dictionaries(texts: list[str], toxic: list[int], covers: int = 3, most: int = 200, support: float = 0.015) -> tuple[bytes, bytes]:
     """Content of the toxic and the ordinary dictionary from labelled texts."""
-    bad = [starts(t) for t, y in zip(texts, toxic, strict=True) if y]
+    bad = [t for t, y in zip(texts, toxic, strict=True) if y]
+    n_fine = len(texts) - len(bad)
+    # Counted first and looked at closely after, so that few forms are held with all they stand for.
+    seen: Counter[str] = Counter()
+    for t in bad:
+        seen.update(starts(t).keys())
+    often = {w for w, n in seen.items() if n >= max(5, support * len(bad))}
+    del seen
     fine: Counter[str] = Counter()
-    n_fine = 0
     where: dict[str, list[int]] = defaultdict(list)
     beside: dict[str, set] = defaultdict(set)
-    for i, s in enumerate(bad):
-        for w, neighbours in s.items():
-            where[w].append(i)
-            beside[w].add(neighbours)
+    for i, t in enumerate(bad):
+        for w, neighbours in starts(t).items():
+            if w in often:
+                where[w].append(i)
+                beside[w].add(hash(neighbours))
     # What stands between the same neighbours in many texts is a copied passage, not a habit of toxic texts.
     where = {w: at for w, at in where.items() if len(beside[w]) >= max(5, support * len(bad), 0.6 * len(at))}
     words: Counter[str] = Counter()
     for t, y in zip(texts, toxic, strict=True):
         if not y:
-            n_fine += 1
             fine.update(s for s in starts(t) if s in where)
             words.update(WORD.findall(t.lower()))
     odds = {w: np.log((len(at) + 0.5) / (len(bad) + 1)) - np.log((fine[w] + 0.5) / (n_fine + 1)) for w, at in where.items()}
