@@ -97,7 +97,7 @@ def bm25_topk(scores: DataFrame, k: int = DEFAULTS.recall_k) -> DataFrame:
 
 
 def rrf(channels: DataFrame, weights: dict[str, float], k: int = DEFAULTS.rrf_k) -> DataFrame:
-    """(query_id, id, score, channels, channel_scores) from (channel, query_id, id, rank, score): weighted reciprocal ranks."""
+    """(query_id, id, score, channels, best_raw) from (channel, query_id, id, rank, score): weighted reciprocal ranks."""
     weight = F.coalesce(*[F.when(F.col("channel") == c, F.lit(float(w))) for c, w in weights.items()], F.lit(1.0))
     return channels.groupBy("query_id", "id").agg(
         F.round(F.sum(weight / (k + F.col("rank"))), 9).alias("score"),
@@ -106,6 +106,30 @@ def rrf(channels: DataFrame, weights: dict[str, float], k: int = DEFAULTS.rrf_k)
     )
 
 
+def merge_candidates(channels: DataFrame, weights: dict[str, float], k: int = DEFAULTS.rrf_k) -> DataFrame:
+    """``rrf`` with all that a candidate carries: (channel, query_id, id, rank, score, text, metadata map) gives the
+    text of the channel with the highest raw score (the first by name on ties), ``channels``, ``channel_scores`` by
+    channel, ``metadata`` (each key from the first channel that has it) and ``channel_metadata`` by channel."""
+    weight = F.coalesce(*[F.when(F.col("channel") == c, F.lit(float(w))) for c, w in weights.items()], F.lit(1.0))
+    held = F.struct("channel", "score", F.coalesce("metadata", F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))).alias("metadata"))
+    out = channels.groupBy("query_id", "id").agg(
+        F.round(F.sum(weight / (k + F.col("rank"))), 9).alias("score"),
+        F.min_by("text", F.struct(-F.col("score"), "channel")).alias("text"),
+        F.collect_list(F.struct(held["channel"].alias("channel"), held["score"].alias("score"), F.map_entries(held["metadata"]).alias("entries"))).alias("held"),  # one a channel
+    )
+    by = F.array_sort("held", lambda a, b: F.when(a["channel"] < b["channel"], -1).when(a["channel"] > b["channel"], 1).otherwise(0))
+    out = out.withColumn("held", by)
+    keys = F.array_distinct(F.flatten(F.transform("held", lambda h: F.transform(h["entries"], lambda e: e["key"]))))
+    every = F.flatten(F.transform("held", lambda h: h["entries"]))
+    return out.select(
+        "query_id", "id", "score", "text",
+        F.transform("held", lambda h: h["channel"]).alias("channels"),
+        F.map_from_entries(F.transform("held", lambda h: F.struct(h["channel"], h["score"]))).alias("channel_scores"),
+        F.map_from_arrays(keys, F.transform(keys, lambda key: F.filter(every, lambda e: e["key"] == key)[0]["value"])).alias("metadata"),
+        F.map_from_entries(F.transform("held", lambda h: F.struct(h["channel"], F.map_from_entries(h["entries"])))).alias("channel_metadata"),
+    )
+
+
 def named(rows: DataFrame, channel: str) -> DataFrame:
     return rows.select(F.lit(channel).alias("channel"), "query_id", "id", "rank", "score")
 
@@ -160,3 +184,16 @@ def rerank(candidates: DataFrame, final_k: int = DEFAULTS.final_k) -> DataFrame:
     cut = candidates.where(F.col("rank") <= final_k)
     scored = cut.withColumn("logit", coverage_logit(F.col("query"), F.col("text"))).withColumn("score", F.round(sigmoid(F.col("logit")), 6))
     return ranked(scored.drop("rank"), "score", "id")
+
+
+def rerank_parents(parents: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Parents (query_id, parent_id, rank) rescored over the texts of all their ``chunks`` (parent_id, text).  Asked
+    words found chunk by chunk are united, so that no parent's text is put together."""
+    from ..functions.vectors import sigmoid
+
+    asked = queries.select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("asked"))
+    found = parents.select("query_id", "parent_id").join(chunks.select("parent_id", "text"), "parent_id").join(asked, "query_id")
+    hits = found.select("query_id", "parent_id", F.size("asked").alias("of"), F.explode_outer(F.array_intersect("asked", X.tokens(F.col("text")))).alias("word"))
+    share = hits.groupBy("query_id", "parent_id").agg(F.count_distinct("word").alias("n"), F.max("of").alias("of"))
+    scored = share.withColumn("logit", F.round(8 * (F.col("n") / F.greatest("of", F.lit(1))) - 4, 6)).withColumn("score", F.round(sigmoid(F.col("logit")), 6))
+    return ranked(parents.drop("score", "rank").join(scored.drop("n", "of"), ["query_id", "parent_id"]), "score", "parent_id")

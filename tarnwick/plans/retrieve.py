@@ -11,14 +11,14 @@ from ..operators import retrieval as R
 from . import tables as T
 
 
-def vector_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     docs = R.dense(R.hashed_terms(T.load(spark, sf_dir, "documents"), "doc_id"))
-    asked = R.dense(R.hashed_terms(T.questions(spark, sf_dir), "query_id", "query")).select(F.col("id").alias("query_id"), "vec")
-    return R.vector_topk(docs, asked)
+    asked = T.questions(spark, sf_dir) if asked is None else asked
+    return R.vector_topk(docs, R.dense(R.hashed_terms(asked, "query_id", "query")).select(F.col("id").alias("query_id"), "vec"))
 
 
-def keyword_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25_topk(R.bm25(T.load(spark, sf_dir, "documents"), T.questions(spark, sf_dir)))
+def keyword_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    return R.bm25_topk(R.bm25(T.load(spark, sf_dir, "documents"), T.questions(spark, sf_dir) if asked is None else asked))
 
 
 def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,39 +27,53 @@ def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     The walk starts at nation query_id modulo 25.
     """
     n = T.load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("entity"))
-    seeds = T.questions(spark, sf_dir).join(F.broadcast(n), F.col("query_id") % 25 == F.col("n_nationkey")).select("query_id", "entity")
+    seeds = T.questions(spark, sf_dir).join(n, F.col("query_id") % 25 == F.col("n_nationkey")).select("query_id", "entity")
     _, votes = G.hops(T.triples(spark, sf_dir), seeds)
     best = R.ranked(votes, "votes", "chunk_id", DEFAULTS.kg_top_k)
     return best.select("query_id", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long").alias("id"), "rank", G.candidate_score(F.col("rank") - 1).alias("score"))
 
 
-def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fuse(vector: DataFrame, keyword: DataFrame) -> DataFrame:
     d = DEFAULTS
-    both = R.named(vector_channel(spark, sf_dir), "vector").unionByName(R.named(keyword_channel(spark, sf_dir), "bm25"))
+    both = R.named(vector, "vector").unionByName(R.named(keyword, "bm25"))
     return R.ranked(R.rrf(both, {"vector": d.weight_vector, "bm25": d.weight_bm25}), "score", "id", d.recall_k)
 
 
-def retrieve(spark: SparkSession, sf_dir: str, mode: str = "hybrid", use_kg: bool = True, use_rerank: bool = True, use_parents: bool = False) -> DataFrame:
-    """Contexts in order: (query_id, ctx_pos, id, source, chunk_index, kind, score).  The switches choose the plan."""
-    if mode == "vector":
-        base = vector_channel(spark, sf_dir)
-    elif mode == "bm25":
-        base = keyword_channel(spark, sf_dir)
-    else:
-        base = hybrid(spark, sf_dir)
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse(vector_channel(spark, sf_dir), keyword_channel(spark, sf_dir))
+
+
+def retrieve(
+    spark: SparkSession, sf_dir: str, mode: str = "hybrid", use_kg: bool = True, use_rerank: bool = True, use_parents: bool = False,
+    asked: DataFrame | None = None, channels: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Contexts in order: (query_id, ctx_pos, id, source, chunk_index, kind, score).  The switches choose the plan.
+
+    ``asked`` (query_id, query) takes the place of the benchmark texts.  ``channels`` (vector, bm25, kg) are results
+    that a caller has already, so that several plans over the same queries search once.
+    """
+    have = channels or {}
+    asked = T.questions(spark, sf_dir) if asked is None else asked
+    vector = lambda: have["vector"] if "vector" in have else vector_channel(spark, sf_dir, asked)
+    keyword = lambda: have["bm25"] if "bm25" in have else keyword_channel(spark, sf_dir, asked)
+    base = vector() if mode == "vector" else keyword() if mode == "bm25" else fuse(vector(), keyword())
     base = base.select("query_id", "id", "score", "rank")
     if use_kg:
         d = DEFAULTS
-        fused = R.rrf(R.named(base, "base").unionByName(R.named(graph_channel(spark, sf_dir), "kg")), {"base": 1.0, "kg": d.weight_kg})
+        graph = have["kg"] if "kg" in have else graph_channel(spark, sf_dir)
+        fused = R.rrf(R.named(base, "base").unionByName(R.named(graph, "kg")), {"base": 1.0, "kg": d.weight_kg})
         base = R.ranked(fused, "score", "id").select("query_id", "id", "score", "rank")
     notes = T.notes(spark, sf_dir)
     if use_parents:
         hits = base.where(F.col("rank") <= DEFAULTS.recall_k).join(notes, "id").select("query_id", F.concat("source", F.lit("#p")).alias("parent_id"), "score")
-        rows = R.rollup_parents(hits).where(F.col("rank") <= DEFAULTS.final_k)
+        rows = R.rollup_parents(hits)
+        if use_rerank:  # all rolled-up parents are rescored before the cut
+            rows = R.rerank_parents(rows, notes.withColumn("parent_id", F.concat("source", F.lit("#p"))), asked)
+        rows = rows.where(F.col("rank") <= DEFAULTS.final_k)
         return rows.select("query_id", F.col("rank").alias("ctx_pos"), F.col("parent_id").alias("id"), F.regexp_replace("parent_id", "#p$", "").alias("source"), F.lit(0).alias("chunk_index"), F.lit("parent").alias("kind"), "score")
     seeds = base.where(F.col("rank") <= DEFAULTS.final_k).join(notes, "id")
     if use_rerank:
-        seeds = R.rerank(seeds.join(T.questions(spark, sf_dir), "query_id"))
+        seeds = R.rerank(seeds.join(asked, "query_id"))
     seeds = seeds.select("query_id", "id", "source", "chunk_index", "score", "rank")
     near = R.neighbors(seeds, notes)
     place = F.lit(1000) + F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.match import substring_matches
 from . import retrieve as P
 from . import tables as T
 from .text_queries import query as _query
@@ -191,7 +192,7 @@ _HOPS = f"""{T.TRIPLES}, seeds AS (SELECT item_id AS query_id, n_name AS entity
 
 def _seeds(spark, d):
     n = T.load(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("entity"))
-    return T.questions(spark, d).join(F.broadcast(n), F.col("query_id") % 25 == F.col("n_nationkey")).select("query_id", "entity")
+    return T.questions(spark, d).join(n, F.col("query_id") % 25 == F.col("n_nationkey")).select("query_id", "entity")
 
 
 @query(f"WITH {_HOPS} SELECT query_id, hop::INT AS hop, head, relation, tail, chunk_id, n::INT AS n FROM kept")
@@ -296,9 +297,16 @@ def retrieve_full(spark, d):
     return P.retrieve(spark, d)
 
 
+_PARENTS = f"""ru AS (SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, parent_id) AS r FROM hits GROUP BY 1, 2 QUALIFY r <= 5),
+    pq AS (SELECT item_id AS query_id, list_distinct({T.tok('text')}) AS asked FROM benchmark),
+    pw AS (SELECT source || '#p' AS parent_id, list_distinct(flatten(list({T.tok('text')}))) AS words FROM notes WHERE source || '#p' IN (SELECT parent_id FROM ru) GROUP BY 1),
+    ps AS (SELECT query_id, parent_id, round(1 / (1 + exp(-round(8 * (len(list_filter(asked, lambda x: list_contains(words, x))) / greatest(len(asked), 1)) - 4, 6))), 6) AS score FROM ru JOIN pq USING (query_id) JOIN pw USING (parent_id)),
+    pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS rank FROM ps)"""
+
+
 @query(f"""WITH {_FULL}, hits AS (SELECT query_id, source || '#p' AS parent_id, score FROM fr JOIN notes USING (id) WHERE rank <= 10),
-    ru AS (SELECT query_id, parent_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, parent_id) AS rank FROM hits GROUP BY 1, 2 QUALIFY rank <= 3)
-    SELECT query_id, rank::INT AS ctx_pos, parent_id AS id, replace(parent_id, '#p', '') AS source, 0 AS chunk_index, 'parent' AS kind, score FROM ru""")
+    {_PARENTS}
+    SELECT query_id, rank::INT AS ctx_pos, parent_id AS id, replace(parent_id, '#p', '') AS source, 0 AS chunk_index, 'parent' AS kind, score FROM pr WHERE rank <= 3""")
 def retrieve_parent_child(spark, d):
     return P.retrieve(spark, d, use_parents=True)
 
@@ -319,11 +327,7 @@ def eval_run(spark, d):
 
 @query("SELECT item_id AS query_id, n_name AS entity FROM benchmark JOIN nation ON (contains(lower(text), lower(n_name)) OR contains(lower(n_name), lower(text))) AND length(n_name) > 1")
 def entity_substring_join(spark, d):
-    """Dictionary of entities against queries: the smaller side's size is checked before it is sent to all."""
-    n = T.load(spark, d, "nation").select(F.col("n_name").alias("entity"))
-    q = T.questions(spark, d)
-    a, b = X.normalize(F.col("query")), X.normalize(F.col("entity"))
-    return q.join(F.broadcast(n), (F.contains(a, b) | F.contains(b, a)) & (F.length("entity") > 1)).select("query_id", "entity")
+    return substring_matches(T.questions(spark, d), T.load(spark, d, "nation").select(F.col("n_name").alias("entity")))
 
 
 _ETOK = f"e AS (SELECT DISTINCT source AS entity, unnest({T.tok('source')}) AS t FROM documents), qt AS (SELECT DISTINCT item_id AS query_id, unnest({T.tok('text || chr(32) || chr(115) || chr(114) || chr(99) || (item_id % 20)')}) AS t FROM benchmark)"
@@ -340,15 +344,12 @@ def entity_token_join(spark, d):
     return _token_matches(spark, d)
 
 
-@query(f"""WITH {_ETOK}, m AS (SELECT 1 AS way, query_id, entity FROM e JOIN qt USING (t) WHERE length(t) > 1 UNION SELECT 0, item_id, source FROM benchmark JOIN (SELECT DISTINCT source FROM documents) ON contains(lower(text), source))
+@query(f"""WITH {_ETOK}, m AS (SELECT 1 AS way, query_id, entity FROM e JOIN qt USING (t) WHERE length(t) > 1 UNION SELECT 0, item_id, source FROM benchmark JOIN (SELECT DISTINCT source FROM documents) ON contains(lower(text), lower(source)) OR contains(lower(source), lower(text)))
     SELECT query_id, entity, min(way)::INT AS way FROM m GROUP BY 1, 2""")
 def match_entities(spark, d):
     names = T.load(spark, d, "documents").select(F.col("source").alias("entity")).distinct()
     q = T.questions(spark, d)
-    # Sources are counted first: few are sent to all tasks, many go through their tokens alone.
-    few = names.count() <= 10_000
-    sub = q.join(F.broadcast(names), F.contains(F.lower("query"), F.col("entity"))).select("query_id", "entity", F.lit(0).alias("way")) if few else spark.createDataFrame([], "query_id long, entity string, way int")
-    return sub.unionByName(_token_matches(spark, d).withColumn("way", F.lit(1))).groupBy("query_id", "entity").agg(F.min("way").alias("way"))
+    return substring_matches(q, names).withColumn("way", F.lit(0)).unionByName(_token_matches(spark, d).withColumn("way", F.lit(1))).groupBy("query_id", "entity").agg(F.min("way").alias("way"))
 
 
 @query(f"WITH {T.TRIPLES} SELECT seq, head, relation, tail, source, chunk_id FROM triples WHERE head <> '' AND tail <> ''")
