@@ -7,23 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-#: The configurations an ablation compares: mode, rerank, graph, parents.
+#: The configurations an ablation compares, in order: name, mode, then the switches reranker, intent
+#: router, graph, query aligner, query rewriter, parents.
 EXPERIMENTS = [
-    ("vector_only", "vector", False, False, False),
-    ("bm25_only", "bm25", False, False, False),
-    ("hybrid", "hybrid", False, False, False),
-    ("hybrid_rerank", "hybrid", True, False, False),
-    ("hybrid_kg", "hybrid", False, True, False),
-    ("hybrid_kg_rerank", "hybrid", True, True, False),
-    ("vector_rerank", "vector", True, False, False),
-    ("bm25_rerank", "bm25", True, False, False),
-    ("vector_kg", "vector", False, True, False),
-    ("bm25_kg", "bm25", False, True, False),
-    ("parent_child", "hybrid", False, False, True),
-    ("parent_child_kg", "hybrid", False, True, True),
+    ("Base (Vector Only)", "vector", False, False, False, False, False, False),
+    ("Base + Hybrid", "hybrid", False, False, False, False, False, False),
+    ("Base + Hybrid + Reranker", "hybrid", True, False, False, False, False, False),
+    ("Base + Hybrid + Reranker + KG", "hybrid", True, False, True, False, False, False),
+    ("Base + H + R + KG + Aligner", "hybrid", True, False, True, True, False, False),
+    ("Base + H + R + KG + Aligner + Rewriter", "hybrid", True, False, True, True, True, False),
+    ("Full Pipeline (Auto Mode)", "auto", True, True, True, True, True, True),
+    ("Full w/o Intent Router", "hybrid", True, False, True, True, True, True),
+    ("Full w/o KG", "auto", True, True, False, True, True, True),
+    ("Full w/o Query Aligner", "auto", True, True, True, False, True, True),
+    ("Full w/o Query Rewriter", "auto", True, True, True, True, False, True),
+    ("Full w/o Parent-Child", "auto", True, True, True, True, True, False),
 ]
 
 
+def effective(experiment: tuple) -> tuple[str, bool, bool, bool]:
+    """(mode, rerank, graph, parents) of an experiment.  Without a model the aligner declines, a single question has no
+    history to be rewritten by, and a router without prototypes falls back to the local plan."""
+    _, mode, rerank, _, kg, _, _, parents = experiment
+    return "hybrid" if mode == "auto" else mode, rerank, kg, parents
+
+
 def average(c: Column) -> Column:
     """Mean without nulls, four decimals, 0 where there is nothing."""
     return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
@@ -40,23 +48,54 @@ def expected_keywords(query: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(X.tokens(query), lambda t: F.length(t) >= 6)), 1, 5)
 
 
-def evaluate(spark: SparkSession, sf_dir: str, **switches) -> DataFrame:
-    """(query_id, contexts, coverage): each benchmark text retrieved and its keywords looked up in what came back."""
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, keywords): the first half of each benchmark text asks, words of the other half are expected."""
+    from ..plans import tables as T
+
+    half = F.floor(F.length("query") / 2).cast("int")
+    rest = F.substring("query", half + 1, F.length("query"))
+    return T.questions(spark, sf_dir).select("query_id", F.substring("query", F.lit(1), half).alias("query"), expected_keywords(rest).alias("keywords"))
+
+
+def evaluate(spark: SparkSession, sf_dir: str, channels: dict[str, DataFrame] | None = None, **switches) -> DataFrame:
+    """(query_id, contexts, coverage): each case retrieved, and its expected keywords looked up in the question and in
+    what came back.  Keywords are found context by context and united, so that no text is put together."""
     from ..plans import retrieve as P
     from ..plans import tables as T
 
-    texts = T.notes(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "text")
-    got = P.retrieve(spark, sf_dir, **switches).join(texts, "id", "left")
-    joined = got.groupBy("query_id").agg(F.count("*").alias("contexts"), F.array_join(F.collect_list("text"), "\n").alias("found"))  # a few contexts a query
-    cases = T.questions(spark, sf_dir).join(joined, "query_id", "left")
-    return cases.select("query_id", F.coalesce("contexts", F.lit(0)).alias("contexts"), keyword_coverage(F.concat_ws("\n", "query", "found"), expected_keywords(F.col("query"))).alias("coverage"))
+    cases, notes = gold(spark, sf_dir), T.notes(spark, sf_dir)
+    got = P.retrieve(spark, sf_dir, asked=cases.select("query_id", "query"), channels=channels, **switches)
+    counted = got.groupBy("query_id").agg(F.count("*").alias("contexts"))
+    if switches.get("use_parents"):
+        texts = got.select("query_id", "source").join(notes.select("source", "text"), "source").select("query_id", "text")
+    else:
+        texts = got.select("query_id", F.col("id").cast("long").alias("id")).join(notes.select("id", "text"), "id").select("query_id", "text")
+    seen = texts.unionByName(cases.select("query_id", F.col("query").alias("text"))).join(cases.select("query_id", "keywords"), "query_id")
+    low = F.lower("text")
+    found = seen.select("query_id", F.explode(F.filter("keywords", lambda k: F.contains(low, k))).alias("k")).groupBy("query_id").agg(F.count_distinct("k").alias("found"))
+    share = F.when(F.size("keywords") > 0, F.round(F.coalesce("found", F.lit(0)) / F.size("keywords"), 6)).otherwise(F.lit(0.0))
+    return cases.join(counted, "query_id", "left").join(found, "query_id", "left").select("query_id", F.coalesce("contexts", F.lit(0)).alias("contexts"), share.alias("coverage"))
 
 
 def ablate(spark: SparkSession, sf_dir: str, experiments) -> DataFrame:
-    """(ordinal, experiment, num_cases, avg_contexts, avg_coverage), in the order of definition."""
+    """(ordinal, experiment, num_cases, avg_contexts, avg_coverage), in the order of definition.
+
+    The channels are searched once and kept (ten rows a query); experiments whose switches come to one plan share it.
+    """
+    from ..plans import retrieve as P
+
+    asked = gold(spark, sf_dir).select("query_id", "query")
+    channels = {"vector": P.vector_channel(spark, sf_dir, asked).persist(), "bm25": P.keyword_channel(spark, sf_dir, asked).persist(), "kg": P.graph_channel(spark, sf_dir).persist()}
+    known: dict[tuple, tuple] = {}
     rows = []
-    for i, (name, mode, rerank, kg, parents) in enumerate(experiments):
-        run = evaluate(spark, sf_dir, mode=mode, use_rerank=rerank, use_kg=kg, use_parents=parents)
-        one = run.agg(F.count("*").alias("n"), average(F.col("contexts")).alias("contexts"), average(F.col("coverage")).alias("coverage")).first()  # one row a configuration
-        rows.append((i, name, one["n"], one["contexts"], one["coverage"]))
+    for i, experiment in enumerate(experiments):
+        plan = effective(experiment)
+        if plan not in known:
+            mode, rerank, kg, parents = plan
+            run = evaluate(spark, sf_dir, channels, mode=mode, use_rerank=rerank, use_kg=kg, use_parents=parents)
+            one = run.agg(F.count("*").alias("n"), average(F.col("contexts")).alias("contexts"), average(F.col("coverage")).alias("coverage")).first()  # one row a configuration
+            known[plan] = one["n"], one["contexts"], one["coverage"]
+        rows.append((i, experiment[0], *known[plan]))
+    for c in channels.values():
+        c.unpersist()
     return spark.createDataFrame(rows, "ordinal int, experiment string, num_cases long, avg_contexts double, avg_coverage double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.evaluate import EXPERIMENTS, ablate, effective, evaluate
 from ..operators.match import substring_matches
 from . import retrieve as P
 from . import tables as T
@@ -311,17 +314,55 @@ def retrieve_parent_child(spark, d):
     return P.retrieve(spark, d, use_parents=True)
 
 
-@query()
+def _plan_sql(i: int, mode: str, rerank: bool, kg: bool, parents: bool) -> str:
+    """One retrieval plan over ``cases`` as CTEs; ``ev{i}`` has each case's contexts and coverage."""
+    own = lambda sql: re.sub(r"\b(sd|cand|lim|nb|offs|rr|rs|seedr|ru|pq|pw|ps|pr|hits)\b", rf"\1_{i}", sql)
+    base = {"vector": "vtop", "bm25": "btop", "hybrid": "hy"}[mode]
+    out = [f"bs_{i} AS (SELECT query_id, id, rank, score FROM {base})"]
+    if kg:
+        out = [
+            f"kf_{i} AS (SELECT query_id, id, round(sum(CASE channel WHEN 'kg' THEN 0.2::DOUBLE ELSE 1::DOUBLE END / (60 + rank)), 9) AS score FROM (SELECT 'base' AS channel, query_id, id, rank FROM {base} UNION ALL SELECT 'kg', query_id, id, rank FROM kgc) GROUP BY 1, 2)",
+            f"bs_{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM kf_{i})",
+        ]
+    if parents:
+        out.append(own(f"hits AS (SELECT query_id, source || '#p' AS parent_id, score FROM bs_{i} JOIN notes USING (id) WHERE rank <= 10), {_PARENTS}"))
+        out.append(own(f"cx_{i} AS (SELECT query_id, replace(parent_id, '#p', '') AS source FROM {'pr WHERE rank' if rerank else 'ru WHERE r'} <= 3), tx_{i} AS (SELECT query_id, text FROM cx_{i} JOIN notes USING (source))"))
+    else:
+        if rerank:
+            out.append(re.sub(r"\bq\b", f"q_{i}", own(_RER.replace("{base}", f"bs_{i}"))) + own(", sd AS (SELECT query_id, id, rank, source, chunk_index FROM seedr)"))
+        else:
+            out.append(own(f"sd AS (SELECT query_id, id, rank, source, chunk_index FROM bs_{i} JOIN notes USING (id) WHERE rank <= 3)"))
+        out.append(own(f"{_NEAR}, cx_{i} AS (SELECT query_id, id FROM sd UNION ALL SELECT query_id, id FROM nb), tx_{i} AS (SELECT query_id, text FROM cx_{i} JOIN notes USING (id))"))
+    out.append(f"""hit_{i} AS (SELECT query_id, count(DISTINCT w) AS found FROM (SELECT t.query_id, t.text, unnest(kw) AS w FROM (SELECT * FROM tx_{i} UNION ALL SELECT item_id, text FROM cases) t JOIN gold USING (query_id)) WHERE contains(lower(text), w) GROUP BY 1),
+    ev_{i} AS (SELECT query_id, coalesce(n, 0) AS contexts, CASE WHEN len(kw) > 0 THEN round(coalesce(found, 0) / len(kw), 6) ELSE 0 END AS coverage
+        FROM gold LEFT JOIN (SELECT query_id, count(*) AS n FROM cx_{i} GROUP BY 1) USING (query_id) LEFT JOIN hit_{i} USING (query_id))""")
+    return ", ".join(out)
+
+
+def _evaluation_sql(plans: list[tuple]) -> str:
+    """WITH clause of some plans, all over the first halves of the benchmark texts."""
+    words = f"list_filter({T.tok('rest')}, lambda t: length(t) >= 6)"
+    cases = f"""cases AS (SELECT item_id, substr(text, 1, length(text) // 2) AS text, substr(text, length(text) // 2 + 1) AS rest FROM benchmark),
+    said AS (SELECT item_id AS query_id, {words} AS a FROM cases),
+    gold AS (SELECT query_id, list_transform(list_sort(list_transform(list_distinct(a), lambda x: list_position(a, x))), lambda i: a[i])[1:5] AS kw FROM said)"""
+    body = f"{_HYBRID}, {_HOPS}, {T.NOTES}, " + ", ".join(_plan_sql(i, *p) for i, p in enumerate(plans))
+    return f"WITH {cases}, {body.replace('FROM benchmark', 'FROM cases')}"
+
+
+_PLANS = list(dict.fromkeys(effective(e) for e in EXPERIMENTS))
+_FIRST = ("hybrid", True, True, False)
+
+
+@query(_evaluation_sql(_PLANS) + " ".join(
+    f"{'UNION ALL' if i else ''} SELECT {i}::INT AS ordinal, '{e[0]}' AS experiment, count(*) AS num_cases, round(coalesce(avg(contexts), 0), 4) AS avg_contexts, round(coalesce(avg(coverage), 0), 4) AS avg_coverage FROM ev_{_PLANS.index(effective(e))}"
+    for i, e in enumerate(EXPERIMENTS)
+))
 def ablation(spark, d):
-    from ..operators.evaluate import EXPERIMENTS, ablate
-
     return ablate(spark, d, EXPERIMENTS)
 
 
-@query()
+@query(_evaluation_sql([_FIRST]) + " SELECT query_id, contexts, coverage FROM ev_0")
 def eval_run(spark, d):
-    from ..operators.evaluate import evaluate
-
     return evaluate(spark, d)
 
 
