@@ -366,9 +366,11 @@ def eval_run(spark, d):
     return evaluate(spark, d)
 
 
-@query("SELECT item_id AS query_id, n_name AS entity FROM benchmark JOIN nation ON (contains(lower(text), lower(n_name)) OR contains(lower(n_name), lower(text))) AND length(n_name) > 1")
+@query(f"""WITH e AS (SELECT DISTINCT unnest({T.tok('text')}) AS entity FROM documents UNION SELECT n_name FROM nation)
+    SELECT item_id AS query_id, entity FROM benchmark JOIN e ON (contains(lower(text), lower(entity)) OR contains(lower(entity), lower(text))) AND length(entity) > 1""")
 def entity_substring_join(spark, d):
-    return substring_matches(T.questions(spark, d), T.load(spark, d, "nation").select(F.col("n_name").alias("entity")))
+    words = T.load(spark, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("entity"))
+    return substring_matches(T.questions(spark, d), words.unionByName(T.load(spark, d, "nation").select(F.col("n_name").alias("entity"))).distinct())
 
 
 _ETOK = f"e AS (SELECT DISTINCT source AS entity, unnest({T.tok('source')}) AS t FROM documents), qt AS (SELECT DISTINCT item_id AS query_id, unnest({T.tok('text || chr(32) || chr(115) || chr(114) || chr(99) || (item_id % 20)')}) AS t FROM benchmark)"

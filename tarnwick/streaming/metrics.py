@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..config import DEFAULTS
+
 
 def index_stream(docs: DataFrame, index: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run ``index`` on every micro-batch of new files; the checkpoint takes the place of a hash map of files."""
@@ -24,6 +26,17 @@ def version_batches(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def keep_last(path: str, order: str, keep: int = DEFAULTS.metrics_history) -> Callable[[DataFrame, int], None]:
+    """An ``index`` that holds the last ``keep`` rows of a stream by ``order`` (a column without ties): batch n folds
+    into the state that batch n - 1 left and writes a state of its own, so a repeated batch changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch if number == 0 else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/state={number - 1}"))
+        rows.orderBy(F.desc(order)).limit(keep).write.mode("overwrite").parquet(f"{path}/state={number}")
+
+    return write
+
+
 def latest(rows: DataFrame, key: str) -> DataFrame:
     """The newest version of each key."""
     last = rows.groupBy(key).agg(F.max("version").alias("version"))

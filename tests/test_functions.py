@@ -1,3 +1,5 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnwick import config
@@ -161,6 +163,30 @@ def test_streaming(spark, tmp_path):
     assert one(spark, L.flushes(F.col("d"), 10), d=["abcd", "efgh", "ijkl", "m"]) == ["abcdefghijkl", "m"]
 
 
+def test_stream_keeps_the_last(spark, tmp_path):
+    for i in range(3):
+        spark.range(i * 4, i * 4 + 4).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        L.index_stream(stream, L.keep_last(str(tmp_path / "state"), "id", 5), str(tmp_path / "check")).awaitTermination()
+    last = max((tmp_path / "state").iterdir(), key=lambda p: int(p.name.split("=")[1]))
+    assert sorted(r["id"] for r in spark.read.parquet(str(last)).collect()) == [7, 8, 9, 10, 11]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["x", "x", "x", "。", "\n", "\n\n", "\n## ", " "]), max_size=200), st.integers(5, 60), st.integers(0, 4))
+def test_recursive_pieces_cover(marks, size, overlap):
+    """Pieces fit, stand in the text in order, and leave out no letter; each letter stands in the text once."""
+    text = "".join(chr(0x5000 + i) if m == "x" else m for i, m in enumerate(marks))
+    letters = [c for c in text if c >= "\u5000"]
+    pieces = S.recursive_pieces(text, size, overlap)
+    assert all(len(p) <= size and p in text for p in pieces)
+    held = [[c for c in p if c >= "\u5000"] for p in pieces]
+    assert sorted({c for h in held for c in h}) == letters
+    assert all(h == sorted(h) for h in held)
+    if not overlap:
+        assert [c for h in held for c in h] == letters
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("TARNWICK_RRF_K", "10")
     assert config.from_environment().rrf_k == 10
