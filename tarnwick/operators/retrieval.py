@@ -65,29 +65,49 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULTS.recall
     return ranked(out, "score", "id", k)
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, tf) of each document's tokens."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(X.tokens(F.col(text_col))).alias("t")).groupBy("id", "t").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dl, t, tf): each document's tokens, of ``terms`` (t) alone if given, and its length.  The texts are cut once;
+    tokens that are not wanted go before anything is shuffled."""
+    words = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("t"))
+    kept = words if terms is None else words.join(terms.select("t").distinct(), "t", "left_semi")
+    return kept.groupBy("id", "dl", "t").agg(F.count("*").alias("tf"))
 
 
 def bm25_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = DEFAULTS.bm25_epsilon) -> tuple[DataFrame, dict]:
-    """(t, df, idf) and the corpus numbers; a negative idf becomes ``epsilon`` times the mean idf."""
-    sizes = docs.select(F.size(X.tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl")).first()
-    df = postings(docs, id_col, text_col).groupBy("t").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(sizes["n"])) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.coalesce(F.avg("raw"), F.lit(0.0)).alias("m")).first()["m"]
-    return raw.select("t", "df", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf")), {"n": sizes["n"], "avgdl": sizes["avgdl"], "mean_idf": mean}
+    """(t, df, idf) and the corpus numbers; a negative idf becomes ``epsilon`` times the mean idf.
 
+    Terms are counted by document before the exchange, in one pass that also adds up the documents' lengths.
+    """
+    n = docs.count()
+    once = docs.select(X.tokens(F.col(text_col)).alias("w")).select(F.size("w").alias("dl"), F.posexplode(F.array_distinct("w")).alias("at", "t"))
+    terms = once.groupBy("t").agg(F.count("*").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl"))).alias("length"))
+    raw = terms.withColumn("raw", _raw_idf(n))
+    total = raw.agg(F.sum("length").alias("length"), F.coalesce(F.avg("raw"), F.lit(0.0)).alias("mean")).first()
+    about = {"n": n, "avgdl": (total["length"] or 0) / n if n else 1.0, "mean_idf": total["mean"]}
+    return raw.select("t", "df", _idf(about, epsilon)), about
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
+
+def _raw_idf(n: int) -> Column:
+    return F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def _idf(about: dict, epsilon: float) -> Column:
+    raw = _raw_idf(about["n"])
+    return F.when(raw < 0, F.lit(epsilon * about["mean_idf"])).otherwise(raw).alias("idf")
+
+
+def bm25(
+    docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b,
+    epsilon: float = DEFAULTS.bm25_epsilon,
+) -> DataFrame:
     """(query_id, id, score) of all documents that share a token with a query; repeated query tokens count again."""
-    idf, about = bm25_stats(docs, id_col, text_col)
-    size = docs.select(F.col(id_col).alias("id"), F.size(X.tokens(F.col(text_col))).alias("dl"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / about["avgdl"]))
+    _, about = bm25_stats(docs, id_col, text_col, epsilon)
     asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("q"))
-    wanted = asked.select("t").distinct().join(idf, "t")
-    # Only postings of asked tokens go on; their weight is known before they meet the queries.
-    part = postings(docs, id_col, text_col).join(wanted, "t").join(size, "id").select("t", "id", weight.alias("w"))
+    found = postings(docs, asked, id_col, text_col)
+    # An asked token's documents are all among its postings.
+    idf = found.groupBy("t").agg(F.count("*").alias("df")).select("t", _idf(about, epsilon))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / about["avgdl"]))
+    part = found.join(idf, "t").select("t", "id", weight.alias("w"))
     return part.join(asked, "t").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
 
 

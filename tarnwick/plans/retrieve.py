@@ -12,13 +12,13 @@ from . import tables as T
 
 
 def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
-    docs = R.dense(R.hashed_terms(T.load(spark, sf_dir, "documents"), "doc_id"))
+    docs = R.dense(R.hashed_terms(T.texts(spark, sf_dir), "doc_id"))
     asked = T.questions(spark, sf_dir) if asked is None else asked
     return R.vector_topk(docs, R.dense(R.hashed_terms(asked, "query_id", "query")).select(F.col("id").alias("query_id"), "vec"))
 
 
 def keyword_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
-    return R.bm25_topk(R.bm25(T.load(spark, sf_dir, "documents"), T.questions(spark, sf_dir) if asked is None else asked))
+    return R.bm25_topk(R.bm25(T.texts(spark, sf_dir), T.questions(spark, sf_dir) if asked is None else asked))
 
 
 def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ del _query
 
 @query(f"WITH {T.VECTORS} SELECT id, dim::INT AS dim, round(w, 6) AS w FROM dvec")
 def embed_hash(spark, d):
-    return R.hashed_terms(T.load(spark, d, "documents"), "doc_id").select("id", "dim", F.round("w", 6).alias("w"))
+    return R.hashed_terms(T.texts(spark, d), "doc_id").select("id", "dim", F.round("w", 6).alias("w"))
 
 
 @query("WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT vec_id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM v")
@@ -124,12 +124,12 @@ def emb_faithfulness(spark, d):
 
 @query(f"WITH {T.BM25} SELECT t, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark, d):
-    return R.bm25_stats(T.load(spark, d, "documents"))[0].select("t", "df", F.round("idf", 6).alias("idf"))
+    return R.bm25_stats(T.texts(spark, d))[0].select("t", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {T.BM25} SELECT query_id, id, score FROM bscore")
 def bm25_score(spark, d):
-    return R.bm25(T.load(spark, d, "documents"), T.questions(spark, d))
+    return R.bm25(T.texts(spark, d), T.questions(spark, d))
 
 
 @query(f"WITH {T.BM25} SELECT query_id, id, score, rank::INT AS rank FROM btop")

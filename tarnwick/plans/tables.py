@@ -10,6 +10,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for work on every word.  A table read in fewer splits than there are cores (one small file, say) is
+    dealt out first; a large one is scanned in many splits and gets no exchange."""
+    d, cores = load(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, head, relation, tail, source, chunk_id) from customers, suppliers, nations and regions."""
     t = lambda n: load(spark, sf_dir, n)
