@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field as datafield
+from zlib import crc32
 
 import numpy as np
 import regex
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, field, unit_hash
+from .common import append_columns, field, materialize, unit_hash
 
 WORD = regex.compile(r"\p{L}+")
 WINDOW, STEP = 64, 48
@@ -61,41 +62,56 @@ def summary(d: np.ndarray) -> list[float]:
     return [top[0], top[:3].mean(), top[:10].mean(), (d >= 3).mean(), (d >= 4).mean(), (d >= 5).mean(), d.clip(0).mean(), d.clip(None, 0).mean(), np.log(d.size), (d >= 4).sum() ** 0.5, (d >= 5).sum() ** 0.5, (d >= 6).sum() ** 0.5]
 
 
-def starts(text: str) -> dict[str, tuple[str, str]]:
-    """Words and their starts of four letters or more, each with the blank before it, and a pair of neighbour words."""
-    out: dict[str, tuple[str, str]] = {}
-    words = WORD.findall(text.lower())
-    for before, w, after in zip(["", *words], words, [*words[1:], ""]):  # noqa: B905
-        if len(w) >= 4 and " " + w + " " not in out:
-            for form in (" " + w + " ", *(" " + w[:k] for k in range(4, min(len(w), 9) + 1))):
-                out.setdefault(form, (before, after))
+def representatives(texts: list[str], toxic: list[int], share: float = 0.5, size: int = 64) -> list[int]:
+    """Rows that copy no earlier row of their label, neither wholly nor in ``share`` of their sampled word triples."""
+    kept: list[int] = []
+    whole: set[tuple[int, str]] = set()
+    holders: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, (text, y) in enumerate(zip(texts, toxic, strict=True)):
+        low = text.lower()
+        if (y, low) in whole:
+            continue
+        words = WORD.findall(low)
+        triples = sorted({crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(len(words) - 2)})[:size]
+        met = Counter(j for h in triples for j in holders.get((y, h), ()))
+        if met and max(met.values()) >= share * len(triples):
+            continue
+        kept.append(i)
+        whole.add((y, low))
+        for h in triples:
+            holders[y, h].append(i)
+    return kept
+
+
+def starts(text: str) -> set[str]:
+    """Words and their starts of four letters or more, each with the blank before it."""
+    out: set[str] = set()
+    for w in set(WORD.findall(text.lower())):
+        if len(w) >= 4:
+            out.add(" " + w + " ")
+            out.update(" " + w[:k] for k in range(4, min(len(w), 9) + 1))
     return out
 
 
 def dictionaries(texts: list[str], toxic: list[int], covers: int = 3, most: int = 200, support: float = 0.015) -> tuple[bytes, bytes]:
-    """Content of the toxic and the ordinary dictionary from labelled texts."""
+    """Content of the toxic and the ordinary dictionary from labelled texts, none of them a copy of another."""
     bad = [t for t, y in zip(texts, toxic, strict=True) if y]
     n_fine = len(texts) - len(bad)
     # Counted first and looked at closely after, so that few forms are held with all they stand for.
     seen: Counter[str] = Counter()
     for t in bad:
-        seen.update(starts(t).keys())
+        seen.update(starts(t))
     often = {w for w, n in seen.items() if n >= max(5, support * len(bad))}
     del seen
     fine: Counter[str] = Counter()
     where: dict[str, list[int]] = defaultdict(list)
-    beside: dict[str, set] = defaultdict(set)
     for i, t in enumerate(bad):
-        for w, neighbours in starts(t).items():
-            if w in often:
-                where[w].append(i)
-                beside[w].add(hash(neighbours))
-    # What stands between the same neighbours in many texts is a copied passage, not a habit of toxic texts.
-    where = {w: at for w, at in where.items() if len(beside[w]) >= max(5, support * len(bad), 0.6 * len(at))}
+        for w in starts(t) & often:
+            where[w].append(i)
     words: Counter[str] = Counter()
     for t, y in zip(texts, toxic, strict=True):
         if not y:
-            fine.update(s for s in starts(t) if s in where)
+            fine.update(starts(t) & often)
             words.update(WORD.findall(t.lower()))
     odds = {w: np.log((len(at) + 0.5) / (len(bad) + 1)) - np.log((fine[w] + 0.5) / (n_fine + 1)) for w, at in where.items()}
     where = {w: at for w, at in where.items() if odds[w] > 2.5}
@@ -120,7 +136,9 @@ def dictionaries(texts: list[str], toxic: list[int], covers: int = 3, most: int
 
 
 def fit(texts: list[str], toxic: list[int], ridge: float = 0.3) -> ToxicityModel:
-    """Dictionaries from the even rows of the sample, calibration on the odd ones; three to two where there are many."""
+    """Dictionaries from three fifths of the sample's rows without copies, calibration on the others."""
+    rows = representatives(texts, toxic)
+    texts, toxic = [texts[i] for i in rows], [toxic[i] for i in rows]
     part = [i % 5 < 3 for i in range(len(texts))]
     model = ToxicityModel(*dictionaries([t for t, p in zip(texts, part, strict=True) if p], [y for y, p in zip(toxic, part, strict=True) if p]))
     rest = [i for i, p in enumerate(part) if not p]
@@ -142,8 +160,11 @@ def fit(texts: list[str], toxic: list[int], ridge: float = 0.3) -> ToxicityModel
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_each: int = 3500, seed: str = "toxicity") -> ToxicityModel:
-    """Fit on at most about ``max_each`` labelled rows of each kind among the ``usable`` ones (a documented bound)."""
+    """Fit on at most about ``max_each`` distinct labelled texts of each kind among the ``usable`` rows (a documented bound)."""
     marked = labels.where(usable & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label")).dropDuplicates([id_col])
+    # One row for each distinct text, so that a large group of copies does not fill the sample.
+    digests = docs.select(id_col, F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"))
+    marked = materialize(marked.join(digests, id_col).groupBy("label", "digest").agg(F.min(id_col).alias(id_col)).select(id_col, "label"), "toxicity-texts")
     sizes = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, min(1.0, max_each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_each / max(1, sizes.get(0, 0))))
     u = unit_hash(F.col(id_col), F.lit(seed))

@@ -265,6 +265,30 @@ def test_toxicity_and_quality_rank_held_out_rows(spark):
         assert auc([r[column] for r in got], [r["score"] for r in got]) > least
 
 
+def labelled_words(seed, n, words):
+    """Texts of invented words; every third is toxic and holds two of ``words``."""
+    rng = np.random.default_rng(seed)
+    stock = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(400)]
+    texts, toxic = [], []
+    for i in range(n):
+        t = rng.choice(stock, 60).tolist()
+        if i % 3 == 0:
+            for k in rng.integers(0, 60, 2):
+                t[k] = words[rng.integers(len(words))]
+        texts.append(" ".join(t))
+        toxic.append(int(i % 3 == 0))
+    return texts, toxic
+
+
+def test_toxic_words_survive_copies():
+    texts, toxic = labelled_words(5, 300, ["zounderkite", "quisbyling"])
+    most = [texts[0]] * 100 + [texts[0] + " abc" * (k % 7) for k in range(40)]
+    rows = toxicity.representatives(texts + most, toxic + [1] * 140)
+    assert rows == list(range(300))
+    model = toxicity.fit(texts + most, toxic + [1] * 140)
+    assert b" zounderkite" in model.toxic and b" quisbyling" in model.toxic
+
+
 def test_scores_of_odd_rows(spark, docs, odd):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     for module, column in ((toxicity, "toxic_score"), (quality, "quality_score")):
