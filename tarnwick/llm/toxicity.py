@@ -5,7 +5,7 @@ with both; the window's distance is how many bytes the ordinary dictionary costs
 distances, fitted on labelled rows that the dictionaries have not seen, calibrates the score and its threshold.
 
 Both dictionaries share the most frequent ordinary words, so that ordinary text costs alike; they differ in a tail:
-here the word starts typical of toxic texts, chosen to cover the toxic training texts, there as many bytes of rarer
+here the word starts typical of toxic texts, as many as the training rows speak for, there as many bytes of rarer
 ordinary words.  All of it comes from a bounded, documented number of labelled rows; windows cover whole texts.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field as datafield
+from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import numpy as np
@@ -26,6 +27,8 @@ from .common import append_columns, field, materialize, unit_hash
 WORD = regex.compile(r"\p{L}+")
 WINDOW, STEP = 64, 48
 FEATURES = 12
+#: Bytes of word starts in the toxic dictionary at most.
+TAIL = 32 << 10
 
 
 def windows(text: str) -> list[bytes]:
@@ -84,49 +87,76 @@ def representatives(texts: list[str], toxic: list[int], share: float = 0.5, size
 
 
 def starts(text: str) -> set[str]:
-    """Words and their starts of four letters or more, each with the blank before it."""
+    """Words, each between blanks, and their starts of four letters or more with the blank before.
+
+    A form takes five bytes at least, as matches do: a word of two ASCII letters has none.
+    """
     out: set[str] = set()
     for w in set(WORD.findall(text.lower())):
-        if len(w) >= 4:
+        if len(w.encode("utf-8", "surrogatepass")) >= 3:
             out.add(" " + w + " ")
-            out.update(" " + w[:k] for k in range(4, min(len(w), 9) + 1))
+        out.update(" " + w[:k] for k in range(4, min(len(w), 9) + 1))
     return out
 
 
-def dictionaries(texts: list[str], toxic: list[int], covers: int = 3, most: int = 200, support: float = 0.015) -> tuple[bytes, bytes]:
-    """Content of the toxic and the ordinary dictionary from labelled texts, none of them a copy of another."""
+def dictionaries(texts: list[str], toxic: list[int], size: int = TAIL, support: int = 5) -> tuple[bytes, bytes]:
+    """Content of the toxic and the ordinary dictionary from labelled texts, none of them a copy of another.
+
+    Any form of ``support`` texts that stands in toxic ones more often than by chance is a candidate, whatever its
+    share; the tail takes them up to ``size`` bytes, those first that say most about texts with few others.
+    """
     bad = [t for t, y in zip(texts, toxic, strict=True) if y]
     n_fine = len(texts) - len(bad)
     # Counted first and looked at closely after, so that few forms are held with all they stand for.
     seen: Counter[str] = Counter()
     for t in bad:
         seen.update(starts(t))
-    often = {w for w, n in seen.items() if n >= max(5, support * len(bad))}
+    often = {w: n for w, n in seen.items() if n >= support}
     del seen
     fine: Counter[str] = Counter()
-    where: dict[str, list[int]] = defaultdict(list)
-    for i, t in enumerate(bad):
-        for w in starts(t) & often:
-            where[w].append(i)
     words: Counter[str] = Counter()
     for t, y in zip(texts, toxic, strict=True):
         if not y:
-            fine.update(starts(t) & often)
+            fine.update(starts(t) & often.keys())
             words.update(WORD.findall(t.lower()))
-    odds = {w: np.log((len(at) + 0.5) / (len(bad) + 1)) - np.log((fine[w] + 0.5) / (n_fine + 1)) for w, at in where.items()}
-    where = {w: at for w, at in where.items() if odds[w] > 2.5}
-    covered, chosen = [0] * len(bad), []
-    while where and len(chosen) < most:
-        gain = {w: sum(covered[i] < covers for i in at) for w, at in where.items()}
-        best = max(where, key=lambda w: (gain[w] * odds[w], len(w), w))
-        if gain[best] < max(2, support * len(bad)):
+    odds = {w: np.log((n + 0.5) / (len(bad) + 1)) - np.log((fine[w] + 0.5) / (n_fine + 1)) for w, n in often.items()}
+    # Of all forms looked at, one at most is to be expected among the candidates by chance (Chernoff bound).
+    share, enough = len(bad) / max(1, len(texts)), np.log(max(1, len(often)))
+    odds = {w: x for w, x in odds.items() if x > 2.5 and surprise(often[w], often[w] + fine[w], share) >= enough}
+    del often
+    where: dict[str, list[int]] = defaultdict(list)
+    for i, t in enumerate(bad):
+        for w in starts(t) & odds.keys():
+            where[w].append(i)
+    covered, chosen, used = [0] * len(bad), [], 0
+    bases, heads = set(), set()
+
+    def worth(w: str) -> float:
+        return odds[w] * sum(1 / (1 + covered[i]) for i in where[w])
+
+    # Worth only falls while texts get covered, so a candidate is weighed again when it comes first.
+    queue = [(-worth(w), -len(w), w) for w in where]
+    heapify(queue)
+    while queue:
+        before, _, w = heappop(queue)
+        base = w.rstrip()
+        # A start of the chosen, or a longer form of it, tells nothing new.
+        if base in heads or any(base[:k] in bases for k in range(2, len(base) + 1)):
+            continue
+        now = -worth(w)
+        if now > before:
+            heappush(queue, (now, -len(w), w))
+            continue
+        entry = ending(base)
+        if used + len(entry) > size:
             break
-        chosen.append(best)
-        for i in where.pop(best):
+        chosen.append(entry)
+        used += len(entry)
+        bases.add(base)
+        heads.update(base[:k] for k in range(2, len(base) + 1))
+        for i in where[w]:
             covered[i] += 1
-        # A start of the chosen, or a longer form of it, tells nothing new.
-        where = {w: at for w, at in where.items() if not (w.startswith(best.rstrip()) or best.startswith(w.rstrip()))}
-    tail = "".join(w.rstrip() + " " for w in reversed(chosen)).encode()
+    tail = b"".join(reversed(chosen))
     ranked = [w for w, _ in words.most_common(8000)]
     common = "".join(" " + w for w in reversed(ranked[:400])).encode()
     rare = "".join(" " + w for w in ranked[3000:] or ranked[400:]).encode()
@@ -135,6 +165,20 @@ def dictionaries(texts: list[str], toxic: list[int], covers: int = 3, most: int
     return common + tail + b" " * 8, common + pad + b" " * 8
 
 
+def surprise(k: int, n: int, share: float) -> float:
+    """Lower bound of minus the logarithm of the chance that ``k`` or more of ``n`` texts are toxic, ``share`` being."""
+    part = k / n
+    if part <= share:
+        return 0.0
+    return n * (part * np.log(part / share) + ((1 - part) * np.log((1 - part) / (1 - share)) if part < 1 else 0.0))
+
+
+def ending(base: str) -> bytes:
+    """A form as it stands in the dictionary: one too short to match by itself comes with what may follow it."""
+    raw = base.encode("utf-8", "surrogatepass")
+    return raw + b" " if len(raw) >= 5 else raw + b"." + raw + b"," + raw + b" "
+
+
 def fit(texts: list[str], toxic: list[int], ridge: float = 0.3) -> ToxicityModel:
     """Dictionaries from three fifths of the sample's rows without copies, calibration on the others."""
     rows = representatives(texts, toxic)

@@ -289,6 +289,14 @@ def test_toxic_words_survive_copies():
     assert b" zounderkite" in model.toxic and b" quisbyling" in model.toxic
 
 
+def test_rare_and_short_toxic_words_are_learned():
+    texts, toxic = labelled_words(6, 2400, ["zounderkite", "kwy"])
+    for i in range(0, 27, 3):  # 9 of 800 toxic texts
+        texts[i] += " quisbyling"
+    tail, _ = toxicity.dictionaries(texts, toxic)
+    assert all(w in tail for w in (b" zounderkite ", b" kwy ", b" quisbyling "))
+
+
 def test_scores_of_odd_rows(spark, docs, odd):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     for module, column in ((toxicity, "toxic_score"), (quality, "quality_score")):
