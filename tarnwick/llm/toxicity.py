@@ -1,6 +1,6 @@
 """Operator 7, toxicity: compression-distance classification.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  Every window of a text is compressed
+Two zstandard dictionaries are made from labelled rows, one of toxic and one of ordinary words.  Every window of a text is compressed
 with both; the window's distance is how many bytes the ordinary dictionary costs more.  A logistic map of the window
 distances, fitted on labelled rows that the dictionaries have not seen, calibrates the score and its threshold.
 
