@@ -4,7 +4,9 @@ A text is the mean of the embeddings of its hashed byte 2-, 3- and 4-grams; a li
 languages.  Both are trained by stochastic gradient descent in numpy on a bounded sample.  As the model is linear in
 the mean, prediction gathers one precomputed logit row an n-gram and averages over the whole text: no shuffle.
 
-A held-back part of the sample sets the softmax temperature and the score under which a prediction is rejected.
+A held-back part of the sample sets the softmax temperature and two bounds a prediction must keep to be accepted: the
+score, and how far the text's n-grams are from what the predicted language's training texts have.  The score alone tells
+languages apart but says little of texts of none of them.
 """
 
 from __future__ import annotations
@@ -59,9 +61,12 @@ class LanguageModel:
     bits: int
     temperature: float = 1.0
     reject_below: float = 0.0
+    usual: np.ndarray | None = None  # buckets x languages: log share of the n-gram in the language
+    centre: np.ndarray | None = None  # of each language: mean of ``usual``, its variance over n-grams and over texts
+    strange_above: float = np.inf
 
-    def raw(self, texts: list[str]) -> np.ndarray:
-        orders, start = ngram_buckets(texts, self.bits)
+    def raw(self, texts: list[str], grams=None) -> np.ndarray:
+        orders, start = grams or ngram_buckets(texts, self.bits)
         table = np.vstack([self.logits, np.zeros((1, len(self.languages)), np.float32)])  # -1 is the zero row
         total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for bucket in orders:
@@ -73,6 +78,34 @@ class LanguageModel:
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return softmax(self.raw(texts) / self.temperature)
 
+    def closeness(self, grams, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log share of each text's n-grams in its language of ``lang``, and the number of n-grams."""
+        orders, start = grams
+        table, width = np.append(self.usual.ravel(), np.float32(0)), len(self.languages)
+        column = np.repeat(lang, np.diff(start))
+        total, count = np.zeros(len(lang)), np.zeros(len(lang))
+        for bucket in orders:
+            if bucket.size:
+                total += np.add.reduceat(table[np.where(bucket < 0, table.size - 1, bucket * width + column)], start[:-1], dtype=np.float64)
+                count += np.add.reduceat((bucket >= 0).astype(np.int64), start[:-1])
+        return total / np.maximum(count, 1), count
+
+    def strangeness(self, grams, lang: np.ndarray) -> np.ndarray:
+        """How many deviations, for its length, a text is less close to its language than usual."""
+        close, count = self.closeness(grams, lang)
+        mean, gram, text = self.centre[lang].T
+        # N-grams of three orders overlap: about six in a row say the same.
+        return (mean - close) / np.sqrt(text + 6 * gram / np.maximum(count, 1) + 1e-9)
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, and whether the best one is accepted."""
+        grams = ngram_buckets(texts, self.bits)
+        p = softmax(self.raw(texts, grams) / self.temperature)
+        accepted = p.max(axis=1) >= self.reject_below
+        if self.usual is not None:
+            accepted &= self.strangeness(grams, p.argmax(axis=1)) <= self.strange_above
+        return p, accepted
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -131,29 +164,51 @@ def fit(texts: list[str], langs: list[str], bits: int = 16, dims: int = 16, epoc
     loss = [-np.log(np.maximum(softmax(z / s)[np.arange(len(t)), t], 1e-12)).mean() for s in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == t])
-    # Halved, so that what lies near the worst accepted calibration text still passes.
-    model.reject_below = float(right[int((1 - keep) * right.size)]) / 2 if right.size else 0.0
+    best = p.argmax(axis=1)
+    right = np.sort(p.max(axis=1)[best == t])
+    # Scores of one to the last digits are all one.
+    model.reject_below = min(float(right[int((1 - keep) * right.size)]), 1 - 1e-9) if right.size else 0.0
+    counts = np.zeros((1 << bits, len(names)))
+    for i in train:
+        grams = np.concatenate(ngram_buckets([texts[i]], bits)[0])
+        counts[:, y[i]] += np.bincount(grams[grams >= 0], minlength=1 << bits)
+    share = (counts + 0.1) / (counts + 0.1).sum(axis=0)
+    model.usual = np.log(share).astype(np.float32)
+    seen = counts / np.maximum(counts.sum(axis=0), 1)
+    mean = (seen * model.usual).sum(axis=0)
+    gram = (seen * (model.usual - mean) ** 2).sum(axis=0)
+    model.centre = np.stack([mean, gram, np.full(len(names), 1e-4)], axis=1)
+    # Texts that calibrate are those the training has not seen, each language around their own middle.
+    grams = ngram_buckets([texts[i] for i in held], bits)
+    close, count = model.closeness(grams, t)
+    for k in range(len(names)):
+        at = (t == k) & (count >= 200)
+        if at.sum() >= 5:
+            model.centre[k, 0] = np.median(close[at])
+            model.centre[k, 2] += (1.4826 * np.median(np.abs(close[at] - model.centre[k, 0]))) ** 2
+    far = np.sort(model.strangeness(grams, t)[best == t])[::-1]
+    model.strange_above = float(far[int((1 - keep) * far.size)]) if far.size else np.inf
     return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
     """``docs`` with ``<prefix>pred`` string, ``<prefix>score`` double in [0, 1] and ``<prefix>accepted`` boolean.
 
-    Null texts, and texts without a letter, get ``und``, score 0 and are not accepted.  Ties go to the first language
+    Null texts, and texts without a letter, get ``und``, score 0 and are not accepted; nor are texts that score lower
+    or look stranger than all but about 0.2 % of the held-back ones of the learned languages.  Ties go to the first language
     in name order.  Existing columns of these names are replaced; an empty table gives an empty table.
     """
 
     def make():
         def run(texts):
             lettered = [bool(t and LETTER.search(t)) for t in texts]
-            p = model.probabilities([t or "" for t in texts])
+            p, accepted = model.judge([t or "" for t in texts])
             best, score = p.argmax(axis=1).tolist(), np.clip(p.max(axis=1), 0, 1).tolist()
             known = [ok and bool(model.languages) for ok in lettered]
             return [
                 [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)],
                 [s if ok else 0.0 for s, ok in zip(score, known, strict=True)],
-                [ok and s >= model.reject_below for s, ok in zip(score, known, strict=True)],
+                [ok and a for a, ok in zip(accepted.tolist(), known, strict=True)],
             ]
 
         return run

@@ -87,6 +87,20 @@ def test_language(spark, docs, odd):
     assert langid.train(docs.limit(0), F.lit(True)).languages == ["und"]
 
 
+def test_unlearned_language_is_rejected():
+    rng = np.random.default_rng(8)
+    syllables = {k: ["".join(rng.choice(list("abcdefghijklmnoprstuvz"), 2)) for _ in range(25)] for k in "wxyz"}
+
+    def some(k, n):
+        return [" ".join("".join(rng.choice(syllables[k], rng.integers(1, 4))) for _ in range(80)) for _ in range(n)]
+
+    model = langid.fit([t for k in "wxy" for t in some(k, 60)], [k for k in "wxy" for _ in range(60)], bits=14)
+    assert np.mean([model.judge(some(k, 40))[1].mean() for k in "wxy"]) > 0.9
+    junk = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz  "), 500)) for _ in range(40)]
+    for strange in (some("z", 40), junk, ["Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια"]):
+        assert model.judge(strange)[1].mean() < 0.1
+
+
 def near(texts):
     """Components by comparing every pair."""
     sets = []
