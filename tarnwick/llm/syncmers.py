@@ -2,7 +2,7 @@
 
 A k-mer of the text's bytes is an anchor if the smallest of its inner s-mers, by hash, lies at one of its edges: a
 property of the k-mer alone, so an edit elsewhere moves no anchor's choice.  The fingerprint is the anchors of the
-smallest hashes, each with its place; two fingerprints are compared by the anchors they share at one displacement.
+smallest hashes, each with its place, as many as the text's length asks for; two fingerprints are compared by the anchors they share at one displacement.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from .common import bounded_batches, materialize
 from .shingles import mix
 
 K, S = 12, 6
-#: Anchors of a fingerprint at most: those of the smallest hashes.
+#: Anchors of a fingerprint where the text has as many: those of the smallest hashes, and all with a hash under DENSE.
 ANCHORS = 64
+#: One anchor in 64 has a hash under it: one in about 224 bytes of text, so that long texts have more anchors.
+DENSE = 2**32 // 64
 #: Bytes by which the displacements of anchors that count together may differ.
 SLACK = 256
 
@@ -53,12 +55,19 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(hashlib.sha256(raw).digest()[:4], np.uint32), np.zeros(1, np.uint32)
     if hashes.size > 8 * ANCHORS:
         # Only small hashes can be chosen; where too few of them are distinct, all are looked at.
-        few = hashes < np.uint32(2**32 // hashes.size * 4 * ANCHORS)
+        few = hashes < np.uint32(max(DENSE, 2**32 // hashes.size * 4 * ANCHORS))
         u, first = np.unique(hashes[few], return_index=True)
         if u.size >= ANCHORS:
-            return u[:ANCHORS], place[few][first[:ANCHORS]].astype(np.uint32)
+            n = chosen(u)
+            return u[:n], place[few][first[:n]].astype(np.uint32)
     u, first = np.unique(hashes, return_index=True)
-    return u[:ANCHORS], place[first[:ANCHORS]].astype(np.uint32)
+    n = chosen(u)
+    return u[:n], place[first[:n]].astype(np.uint32)
+
+
+def chosen(hashes: np.ndarray) -> int:
+    """How many of distinct ascending hashes count."""
+    return max(ANCHORS, int(np.searchsorted(hashes, np.uint32(DENSE))))
 
 
 def to_text(fp: tuple[np.ndarray, np.ndarray]) -> str:
@@ -71,7 +80,8 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
         return 1.0
     if not a[0].size or not b[0].size:
         return 0.0
-    both = np.union1d(a[0], b[0])[:ANCHORS]
+    both = np.union1d(a[0], b[0])
+    both = both[: chosen(both)]
     shared, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     ok = shared <= both[-1]
     move = np.sort(a[1][i[ok]].astype(np.int64) - b[1][j[ok]].astype(np.int64))

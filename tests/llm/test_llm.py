@@ -240,6 +240,16 @@ def test_syncmers_by_definition():
     assert len(set(hashes.tolist())) == len(hashes) <= syncmers.ANCHORS
 
 
+def test_fingerprints_of_long_texts_see_small_edits():
+    rng = np.random.default_rng(9)
+    raw = rng.integers(97, 123, 400_000, dtype=np.uint8)
+    whole = syncmers.anchors(bytes(raw))
+    for a in range(0, 400_000, 40_000):
+        other = raw.copy()
+        other[a : a + 1000] = rng.integers(97, 123, 1000, dtype=np.uint8)
+        assert 0.9 < syncmers.likeness(whole, syncmers.anchors(bytes(other))) < 1
+
+
 def test_vectors_equal_all_pairs(spark, duck):
     same(Q.op6_embedding_near_dedup(spark, SMALL).toPandas(), duck.execute(Q.ORACLE_SQL["op6_embedding_near_dedup"]).df())
     rng = np.random.default_rng(4)
