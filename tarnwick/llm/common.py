@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:
+    TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    TRIM = None
+
 #: Texts of at most so many characters are handled together inside one Arrow batch.
 SLICE_CHARS = 500_000
 
@@ -20,27 +29,50 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set."""
+    """The shared folder the cluster names; a temporary one of our own only where all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    import os
-    import tempfile
-
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"file://{os.path.join(tempfile.gettempdir(), 'tarnwick-shared')}"
 
 
+class Scratch:
+    """Tables written to the shared folder and read back, so that later stages restart from files, not the lineage.
+
+    ``drop`` deletes those that no plan reads any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append(table)
+        self.paths[id(table)] = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the given tables, or all."""
+        for table in tables or tuple(self.tables):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self.tables = [t for t in self.tables if t is not table]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages restart from the files, not the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back, for results that the caller goes on to read."""
+    return Scratch(df.sparkSession).keep(df, name)
 
 
 def fold(id_col: Column, modulus: int) -> Column:
-    """crc32 of the id's decimal text, modulo ``modulus``: the held-out folds."""
-    return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)
+    """crc32 of the id's decimal text, modulo ``modulus``: the held-out folds.  A null id is in fold 0."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus), F.lit(0))
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -61,8 +93,34 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
 
 
 def release() -> None:
-    """Give memory that Arrow holds for reuse back to the system."""
+    """Give memory that Arrow and the C library hold for reuse back to the system."""
     pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of batches sorted by integer ``keys``: the rows of one key after the other, each in one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys], axis=1)
+        cuts = [0, *(np.nonzero((at[1:] != at[:-1]).any(axis=1))[0] + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(at[a].tolist())
+            if held and key != last:
+                yield _joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

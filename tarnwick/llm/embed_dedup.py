@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, unit_hash
+from .common import Scratch, bounded_batches, materialize, unit_hash
 from .components import components
 
 #: Vectors of a tile's residents and members, and of the sample that gives axes and pivots.
@@ -39,12 +39,10 @@ def _keys(vectors: DataFrame) -> DataFrame:
                 key = unit = None
                 if v and None not in v:
                     x = np.array(v, np.float64)
-                    norm = np.sqrt(x @ x) if np.isfinite(x).all() else 0.0
-                    if norm > 0 and not np.isfinite(norm):
-                        x = x / np.abs(x).max()
-                        norm = np.sqrt(x @ x)
-                    if norm > 0:
-                        x = x / norm
+                    most = np.abs(x).max() if np.isfinite(x).all() else 0.0
+                    if most > 0:
+                        x = x / most  # squares of any finite components neither overflow nor vanish
+                        x = x / np.sqrt(x @ x)
                         key, unit = hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest(), x.tobytes()
                 keys.append(key)
                 units.append(unit)
@@ -114,28 +112,31 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
+    scratch = Scratch(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
-    keyed = materialize(_keys(rows), "vectors")
+    keyed = scratch.keep(_keys(rows), "vectors")
     good = keyed.where("key is not null and vec_id is not null")
-    classes = materialize(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
+    classes = scratch.keep(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
     same = F.col("vec_id") == F.col("rep")
-    reps = materialize(good.join(classes, "key").where(same).dropDuplicates(["key"]).select("rep", "n", "unit"), "vector-reps")
+    reps = scratch.keep(good.join(classes, "key").where(same).dropDuplicates(["key"]).select("rep", "n", "unit"), "vector-reps")
     total = reps.count()
     found = counts = None
     widths = [r[0] for r in reps.groupBy(F.octet_length("unit").alias("w")).count().orderBy("w").collect()]  # few widths
     for width in widths:
         part = reps.where(F.octet_length("unit") == width)
-        tiles = materialize(_compare(part, total, threshold, pivots), "vector-tiles")
+        tiles = scratch.keep(_compare(part, total, threshold, pivots), "vector-tiles")
         found = tiles if found is None else found.unionByName(tiles)
     if found is None:
         found = spark.createDataFrame([], "id long, links long, root long")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    joined = components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")), scratch)
     by_class = classes.join(counts, classes["rep"] == counts["id"], "left").join(joined, classes["rep"] == joined["node"], "left")
     by_class = by_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = keyed.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(by_class, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = materialize(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "vector-groups")
+    scratch.drop()
+    return out
 
 
 def _compare(reps: DataFrame, total: int, threshold: float, pivots: int | None) -> DataFrame:

@@ -1,33 +1,33 @@
 """Operator 3, n-gram Jaccard join: PartEnum signatures, verified exactly, joined into components.
 
 1. One pass over the texts gives each document's set size, a 128-bit key of its shingle set and a parity sketch.
-   Documents with equal keys are one class; only classes are compared.
-2. A second pass makes the signatures.  A batch of documents sends each hash partition one packed block (40-bit
-   signature, 16-bit local index), so the exchange carries about seven bytes a signature and few rows.  A partition
-   sorts its signatures in bounded runs; documents that share one are tied to the first of them.
+   Documents with equal keys are one class, which its smallest document stands for.
+2. A second pass makes the signatures.  A batch of documents sends each hash partition one packed block (32-bit
+   signatures, ids as short offsets), six to twelve bytes a signature.  A partition sorts its signatures in bounded
+   runs; documents that share one are tied to the first of them, the leader.  A tie carries a 64-bit mask of the
+   signatures, hashed, at which three documents or more met.
 3. Ties are filtered by the sketches: flipped parity bits never exceed the true set difference, so no similar pair is
-   lost.  What is left is verified on the whole shingle sets, and gives components.
-4. A tie within one component settles itself and its fellows.  Where a tie crosses components, the documents tied to
-   the same leader send their signatures again, with their components: all that share one with the leader, in groups
-   that are not of one component, are compared with each other by sketch, in blocks, and the survivors verified.  So
-   a chain the ties missed is closed.
-5. Components come from the verified links; copies and members follow their class.
+   lost.  What is left is verified on the whole texts, and gives components.  Both checks send a leader once to each
+   block of its fellows, so a leader of any number of ties is spread and its set is not repeated for each.
+4. A signature at which two documents met is settled by their tie.  Where more met, fellows of one leader may be
+   similar to one another.  If a tie of a leader crosses components, its fellows of different components whose masks
+   overlap are compared with each other by sketch, in blocks, and the survivors verified.  So no link is missed.
+5. Components come from the verified links; copies follow their class.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, bounded_batches, field, materialize, release, slices, unit_hash
+from .common import Scratch, append_columns, bounded_batches, field, materialize, release, slices, unit_hash, whole_groups
 from .components import components
-from .partenum import common_map, signatures
+from .partenum import MAP_BITS, common_map, signatures
 from .shingles import mix, shingle_sets
 
 #: Documents and signatures of one packed block set at most.
@@ -37,11 +37,10 @@ TASK, RUN, TASKS = 1_000_000, 1_500_000, 50_000
 #: Documents looked at to find common shingles, and in how many of them a common one stands.  A hint that saves
 #: comparisons: no result depends on it.
 HINT_DOCS, HINT_TIMES = 8000, 3
-#: Candidate ids up to which the filter on the texts is broadcast (8 bytes each); beyond it the join is shuffled.
+#: Rows of ids or ties up to which they are broadcast (24 bytes each at most); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
-#: Rows of a block of step 4.
-PAIR_BLOCK = 1024
-
+#: Fellows that one copy of their leader meets, and rows of a block of step 4.
+STAR_BLOCK, PAIR_BLOCK = 256, 1024
 
 def sketch(hashes: np.ndarray) -> bytes:
     """Parity of the elements in each of 2^j buckets, with as many buckets as elements or more, 128 to 8192."""
@@ -91,48 +90,82 @@ def _common(docs: DataFrame, total: int, words: int) -> np.ndarray:
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(texts[a:b], words)).view(np.int64))], names=["h"])
 
-    some = docs.where(unit_hash(F.col("doc_id"), F.lit("hint")) < min(1.0, HINT_DOCS / max(1, total))).limit(2 * HINT_DOCS).select("text")
-    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= HINT_TIMES).select("h")
-    return common_map(often.toArrow().column("h").to_numpy().view(np.uint64))
+    some = docs.where(unit_hash(F.col("doc_id"), F.lit("hint")) < min(1.0, HINT_DOCS / max(1, total))).select("text")
+    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= HINT_TIMES)
+    leading = often.select(F.shiftrightunsigned("h", 64 - MAP_BITS).alias("m")).distinct()  # 2^MAP_BITS rows at most
+    return common_map(leading.toArrow().column("m").to_numpy().astype(np.uint64) << np.uint64(64 - MAP_BITS))
+
+
+def _even_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of ``parts`` hash partitions a key that falls into it, so that blocks are dealt out one to one."""
+    tried = spark.range(32 * parts).select(F.col("id").cast("int").alias("k"))
+    found = tried.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("at")).agg(F.min("k").alias("k")).toArrow()
+    keys = np.arange(parts, dtype=np.int64) + 32 * parts  # in the rare case that no key was found
+    keys[found.column("at").to_numpy()] = found.column("k").to_numpy()
+    return keys
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of little-endian integers, byte by byte: leading bytes of sorted ones pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+
+
+def unplanes(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view(np.uint64).ravel()
 
 
-def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int, common: np.ndarray) -> DataFrame:
-    """(bucket, sigs, local, ids): packed signatures by hash partition; ids are pairs of document and component."""
+def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int, common: np.ndarray, keys: np.ndarray) -> DataFrame:
+    """(bucket, base, width, sigs, local, ids): packed signatures by hash partition.
+
+    ``ids`` are offsets from ``base`` in ``width`` bytes: one a signature, or, where ``local`` is set, one a document
+    with ``local`` naming the document of each signature.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[tuple[int, int]] = []
-        keys: set[bytes] = set()
+        ids: list[int] = []
+        seen: set[bytes] = set()
         whose: list[np.ndarray] = []
         sigs: list[np.ndarray] = []
         held = 0
 
         def flush():
-            w, s, of = np.concatenate(whose), np.concatenate(sigs), np.array(ids, np.int64)
-            # The low bits choose the partition, the upper 40 stay as the signature.
-            bucket = ((s & np.uint64(0xFFFFFF)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-            order = np.argsort((bucket.astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24)))
-            w, s, bucket = w[order], s[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(parts + 1))
-            cols = [[], [], [], []]
+            w, s, of = np.concatenate(whose).astype(np.uint16), np.concatenate(sigs), np.array(ids, np.int64)
+            base = int(of.min())
+            of = (of - base).view(np.uint64)  # wraps like the addition that undoes it
+            width = max(1, -(-int(of.max()).bit_length() // 8))
+            # The low bits choose the partition, the upper 32 stay as the signature.
+            bucket = ((s & np.uint64(0xFFFFFF)) * np.uint64(parts) >> np.uint64(24)) << np.uint64(32)
+            s >>= np.uint64(32)
+            bucket |= s
+            order = np.argsort(bucket)
+            w, bucket = w[order], bucket[order]
+            del order, s
+            ends = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+            cols: list[list] = [[] for _ in range(6)]
             for p in range(parts):
                 a, b = ends[p], ends[p + 1]
                 if a < b:
                     used, local = np.unique(w[a:b], return_inverse=True)
-                    plane = s[a:b].view(np.uint8).reshape(-1, 8)[:, 3:].T  # byte by byte: sorted leading bytes pack well
-                    for c, v in zip(cols, (p, np.ascontiguousarray(plane).tobytes(), local.astype("<u2").tobytes(), of[used].tobytes()), strict=True):
+                    few = 2 * (b - a) + width * used.size < width * (b - a)
+                    row = (int(keys[p]), base, width, planes(bucket[a:b], 4), local.astype("<u2").tobytes() if few else None, planes(of[used if few else w[a:b]], width))
+                    for c, v in zip(cols, row, strict=True):
                         c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "sigs", "local", "ids"])
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "base", "width", "sigs", "local", "ids"])
 
         for batch in batches:
-            doc_ids, texts, comps = (batch.column(n).to_pylist() for n in ("doc_id", "text", "component"))
+            doc_ids, texts = (batch.column(n).to_pylist() for n in ("doc_id", "text"))
             for a, b in slices([t or "" for t in texts]):
                 sets = shingle_sets([t or "" for t in texts[a:b]], words)
                 fresh = []
                 for i, s in enumerate(sets):
                     if len(s) and doc_ids[a + i] is not None:
                         key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                        if key not in keys:  # copies within a block send their signatures once
-                            keys.add(key)
+                        if key not in seen:  # copies within a block send their signatures once
+                            seen.add(key)
                             fresh.append(i)
                 for c in range(0, len(fresh), 512):
                     some = fresh[c : c + 512]
@@ -140,28 +173,36 @@ def _blocks(docs: DataFrame, words: int, num: int, den: int, parts: int, common:
                     if held and (len(ids) + len(some) > BLOCK_DOCS or held + s.size > BLOCK_SIGNATURES):
                         yield flush()
                         ids, whose, sigs, held = [], [], [], 0
-                        keys = set()
+                        seen = set()
                     whose.append(w + len(ids))
                     sigs.append(s)
                     held += s.size
-                    ids += [(doc_ids[a + i], comps[a + i]) for i in some]
+                    ids += [doc_ids[a + i] for i in some]
             del batch, texts
             release()
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text", "component").mapInArrow(run, "bucket int, sigs binary, local binary, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, base long, width int, sigs binary, local binary, ids binary")
+
 
+def _merged(lead: np.ndarray, other: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each tie once, its masks united."""
+    if not lead.size:
+        return lead, other, mask
+    order = np.lexsort((other, lead))
+    lead, other = lead[order], other[order]
+    start = np.nonzero(np.r_[True, (lead[1:] != lead[:-1]) | (other[1:] != other[:-1])])[0]
+    return lead[start], other[start], np.bitwise_or.reduceat(mask[order], start)
 
-def _shared(blocks: DataFrame, parts: int, split: bool) -> DataFrame:
-    """Documents that share a signature.  As ties: (a, b), the smallest document ``a`` with each other one.  With
-    ``split``, as lists: (lead, doc_id, component), the same for signatures whose documents are of several components,
-    the leader included."""
 
-    meet = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _ties(blocks: DataFrame, parts: int, meet_keys: np.ndarray) -> DataFrame:
+    """(lead, other, mask): documents that share a signature with its leader, the smallest of them as a rule.  A tie
+    may be listed more than once."""
+    meet = len(meet_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen_sig, seen_doc = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)  # earlier runs: one document a signature
+        seen_sig, seen_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # earlier runs: one document a signature
         sigs: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         held = 0
@@ -169,154 +210,184 @@ def _shared(blocks: DataFrame, parts: int, split: bool) -> DataFrame:
         def groups(last: bool):
             nonlocal seen_sig, seen_doc
             s, d = np.concatenate(sigs), np.concatenate(docs)
-            order = np.argsort(d[:, 0])
-            s, d = np.concatenate([seen_sig, s[order]]), np.concatenate([seen_doc, d[order]])
-            order = np.argsort(s, kind="stable")  # first an earlier run's leader, else the smallest document
+            sigs.clear()
+            docs.clear()
+            order = np.lexsort((d, s))
             s, d = s[order], d[order]
+            whole = last and not seen_sig.size
+            if seen_sig.size:
+                order = np.argsort(np.concatenate([seen_sig, s]), kind="stable")  # an earlier run's leader comes first
+                s, d = np.concatenate([seen_sig, s])[order], np.concatenate([seen_doc, d])[order]
+            del order
             start = np.nonzero(np.r_[True, s[1:] != s[:-1]])[0]
             size = np.diff(np.r_[start, s.size])
-            more = size > 1
-            if split:
-                # Of several runs none sees a signature whole: then all that share one are listed.
-                if last and not seen_sig.size:
-                    more &= np.minimum.reduceat(d[:, 1], start) != np.maximum.reduceat(d[:, 1], start)
-                keep = np.repeat(more, size)
-                lead, own, comp = np.repeat(d[start, 0], size)[keep], d[keep, 0], d[keep, 1]
-                order = np.lexsort((own, lead))
-                lead, own, comp = lead[order], own[order], comp[order]
-                new = np.r_[True, (lead[1:] != lead[:-1]) | (own[1:] != own[:-1])] if lead.size else np.zeros(0, bool)
-                out = pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (lead, own, comp)], names=["lead", "doc_id", "component"])
-            else:
-                keep = np.repeat(more, size)
-                lead, other = np.repeat(d[start, 0], size)[keep], d[keep, 0]
-                pairs = np.stack([np.minimum(lead, other), np.maximum(lead, other)], axis=1)[lead != other]
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
-                to = (mix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64)) % np.uint64(meet)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                to, pairs = to[order], pairs[order]
-                cut = np.searchsorted(to, np.arange(meet + 1))
-                full = np.nonzero(np.diff(cut))[0]
-                out = pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pairs[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()], pa.binary())], names=["bucket", "pairs"])
-            seen_sig, seen_doc = s[start], d[start]
-            return out
+            keep = np.repeat(size > 1, size)
+            lead, other = np.repeat(d[start], size)[keep], d[keep]
+            # Of several runs none sees a signature whole: then any group may be larger than it looks.
+            many = np.repeat(size > 2, size)[keep] | (not whole)
+            mask = np.where(many, np.uint64(1) << (mix(s[keep]) >> np.uint64(58)), np.uint64(0))
+            apart = lead != other
+            lead, other, mask = _merged(lead[apart], other[apart], mask[apart])
+            if not last:
+                seen_sig, seen_doc = s[start], d[start]
+            to = (mix(lead.view(np.uint64) ^ other.view(np.uint64)) % np.uint64(meet)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(meet + 1))
+            packed = np.stack([lead, other, mask.view(np.int64)], axis=1)[order]
+            full = np.nonzero(np.diff(cut))[0]
+            return pa.RecordBatch.from_arrays([pa.array(meet_keys[full].astype(np.int32)), pa.array([planes(packed[cut[i] : cut[i + 1]].ravel(), 8) for i in full.tolist()], pa.binary())], names=["bucket", "ties"])
 
         for batch in batches:
-            for bucket, packed, local, ids in zip(*[batch.column(n).to_pylist() for n in ("bucket", "sigs", "local", "ids")], strict=True):
-                n = len(packed) // 5
-                s = np.zeros((n, 8), np.uint8)
-                s[:, 3:] = np.frombuffer(packed, np.uint8).reshape(5, n).T
-                # Partitions can share a task: the bucket joins the 40 bits again.
-                sigs.append(s.view(np.uint64).ravel() | np.uint64(bucket & 0xFFFFFF))
-                docs.append(np.frombuffer(ids, np.int64).reshape(-1, 2)[np.frombuffer(local, "<u2")])
-                held += n
+            for bucket, base, width, packed, local, ids in zip(*[batch.column(n).to_pylist() for n in ("bucket", "base", "width", "sigs", "local", "ids")], strict=True):
+                # Partitions can share a task: the bucket joins the 32 bits again.
+                s = unplanes(packed, 4) | np.uint64(bucket << 32)
+                d = unplanes(ids, width).view(np.int64) + base
+                sigs.append(s)
+                docs.append(d if local is None else d[np.frombuffer(local, "<u2")])
+                held += s.size
                 if held >= RUN:
                     yield groups(False)
-                    sigs, docs, held = [], [], 0
+                    held = 0
             del batch
             release()
         if held:
             yield groups(True)
 
-    dealt = blocks.repartition(parts, "bucket")
-    if split:
-        return dealt.mapInArrow(run, "lead long, doc_id long, component long")
-
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Similar documents meet in many tasks: each tie counts once."""
-        held = np.zeros((0, 2), np.int64)
+        """Similar documents meet in many tasks: their ties are united, as many as can be held at a time."""
+        held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)]
+        waiting: list[np.ndarray] = []
+
+        def unite():
+            new = np.concatenate(waiting) if waiting else np.zeros((0, 3), np.int64)
+            waiting.clear()
+            return list(_merged(*[np.concatenate([h, new[:, i].copy().view(h.dtype)]) for i, h in enumerate(held)]))
 
-        def distinct(pairs: np.ndarray) -> np.ndarray:
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            return pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2].view(np.int64))], names=["lead", "other", "mask"])
 
         for batch in batches:
-            for packed in batch.column("pairs"):
-                held = np.concatenate([held, np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, 2)])
-                if len(held) > RUN:
-                    held = distinct(held)
-                    if len(held) > RUN // 2:  # too many to hold: the rest of them are told apart later
-                        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], names=["a", "b"])
-                        held = held[:0]
-        held = distinct(held)
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], names=["a", "b"])
+            for packed in batch.column("ties"):
+                waiting.append(unplanes(packed.as_buffer(), 8).view(np.int64).reshape(-1, 3))
+                if sum(map(len, waiting)) > RUN // 2:
+                    held = unite()
+                    if held[0].size > RUN // 2:
+                        yield out()
+                        held = [h[:0] for h in held]
+        held = unite()
+        yield out()
+
+    dealt = blocks.repartition(parts, "bucket").mapInArrow(run, "bucket int, ties binary")
+    return dealt.repartition(meet, "bucket").mapInArrow(once, "lead long, other long, mask long")
 
-    return dealt.mapInArrow(run, "bucket int, pairs binary").repartition(meet, "bucket").mapInArrow(once, "a long, b long")
 
+def _star(ties: DataFrame, count: int, payload: DataFrame, read: Callable[[pa.RecordBatch], list], fits: Callable[[object, object], bool]) -> DataFrame:
+    """The ties (lead, other) of which some payload row of ``lead`` fits one of ``other``.
 
-def _sketched(pairs: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sketches leave the threshold possible."""
-    side = lambda n: about.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where((den * F.least("na", "nb")) >= (num * F.greatest("na", "nb")))
+    Fellows are dealt into blocks of about ``STAR_BLOCK``, and the leader goes to each block once, so a leader of any
+    number of fellows is spread.  ``payload`` has ``doc_id`` and what ``read`` turns into one object a row.
+    """
+    sizes = ties.groupBy("lead").count().where(F.col("count") > STAR_BLOCK)
+    sizes = sizes.select("lead", F.ceil(F.col("count") / STAR_BLOCK).cast("int").alias("blocks"))
+    dealt = ties.select("lead", "other").join(sizes, "lead", "left")
+    dealt = dealt.select("lead", "other", F.pmod(F.xxhash64("other"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    leaders = dealt.select("lead", "block").distinct().select("lead", "block", F.lit(0).alias("role"), F.col("lead").alias("doc_id"))
+    rows = dealt.select("lead", "block", F.lit(1).alias("role"), F.col("other").alias("doc_id")).unionByName(leaders)
+    if 2 * count <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    full = payload.join(rows, "doc_id")
+    full = full.repartition("lead", "block").sortWithinPartitions("lead", "block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine = None, []
         for batch in batches:
-            a, b, na, nb, sa, sb = (batch.column(n).to_pylist() for n in ("a", "b", "na", "nb", "sa", "sb"))
-            keep = [may_link(na[i], nb[i], flipped(sa[i], sb[i]), num, den) for i in range(len(a))]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
+            lead, block, role, doc = (batch.column(n).to_numpy().tolist() for n in ("lead", "block", "role", "doc_id"))
+            out = []
+            for i, theirs in enumerate(read(batch)):
+                if not role[i]:
+                    if key != (lead[i], block[i]):
+                        key, mine = (lead[i], block[i]), []
+                    mine.append(theirs)
+                elif any(fits(x, theirs) for x in mine):
+                    out.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([lead[i] for i in out], pa.int64()), pa.array([doc[i] for i in out], pa.int64())], names=["lead", "other"])
+            del batch
+            release()
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return full.mapInArrow(run, "lead long, other long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs whose whole shingle sets reach the threshold."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _likely(ties: DataFrame, count: int, about: DataFrame, num: int, den: int) -> DataFrame:
+    """Ties whose sketches leave the threshold possible."""
+    read = lambda batch: list(zip(batch.column("n_shingles").to_pylist(), batch.column("sketch").to_pylist(), strict=True))
 
-    def make():
-        return lambda texts: [[s.tobytes() for s in shingle_sets([t or "" for t in texts], words)]]
+    def fits(x, y) -> bool:
+        return den * min(x[0], y[0]) >= num * max(x[0], y[0]) and may_link(x[0], y[0], flipped(x[1], y[1]), num, den)
 
-    sets = append_columns(docs.join(wanted, "doc_id", "left_semi"), "text", make, [field("hashes", "binary")]).drop("text")
-    sets = materialize(sets.dropDuplicates(["doc_id"]), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
+    return _star(ties, count, about.select("doc_id", "n_shingles", "sketch"), read, fits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(den * shared >= num * (x.size + y.size - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+def _verified(ties: DataFrame, count: int, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Ties whose whole shingle sets reach the threshold."""
+
+    def read(batch):
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for a, b in slices(texts):
+            yield from shingle_sets(texts[a:b], words)
+
+    def fits(x, y) -> bool:
+        shared = np.intersect1d(x, y, assume_unique=True).size
+        return den * shared >= num * (x.size + y.size - shared)
+
+    return _star(ties, count, docs, read, fits)
 
 
 def _crowded(listed: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components listed under one leader that pass by sketch; in blocks of bounded size."""
-    at = listed.distinct()
-    sizes = at.groupBy("lead").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
-    rows = at.join(sizes, "lead")
-    mine = (F.abs(F.xxhash64("doc_id", F.lit(7))) % F.col("blocks")).cast("int")
+    """Pairs (lead, other) of different components, listed under one leader with overlapping masks, that pass by
+    sketch; in blocks of bounded size."""
+    sizes = listed.groupBy("lead").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    rows = listed.join(sizes, "lead")
+    mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")
     # A member of block i meets every block: as (i, j) for j >= i and (j, i) for j < i.
     spread = rows.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("lead", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "doc_id", "component")
+    spread = spread.select("lead", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "doc_id", "component", "mask")
     full = spread.join(about.select("doc_id", "n_shingles", "sketch"), "doc_id")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        n, raw = table.column("n_shingles").to_numpy(), table.column("sketch").to_pylist()
-        left, right = np.nonzero(table.column("left").to_numpy())[0], np.nonzero(table.column("right").to_numpy())[0]
-        out: set[tuple[int, int]] = set()
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {len(raw[j]) for j in right.tolist()}:
-            some = np.array([j for j in right.tolist() if len(raw[j]) == size])
-            by_size[size] = some, np.frombuffer(b"".join(raw[j] for j in some.tolist()), np.uint64).reshape(len(some), -1)
-        for i in left.tolist():
-            mine = np.frombuffer(raw[i], np.uint64)
-            for some, theirs in by_size.values():
-                a, b = mine, theirs
+    full = full.repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y")
+
+    def compare(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, comp, mask, n = (batch.column(c).to_numpy() for c in ("doc_id", "component", "mask", "n_shingles"))
+        raw = batch.column("sketch").to_pylist()
+        width = np.fromiter(map(len, raw), np.int64, len(raw))
+        left, right = (np.nonzero(batch.column(c).to_numpy(zero_copy_only=False))[0] for c in ("left", "right"))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in np.unique(width[right]).tolist():
+            some = right[width[right] == size]
+            theirs = np.frombuffer(b"".join([raw[j] for j in some.tolist()]), np.uint64).reshape(len(some), -1)
+            for i in left.tolist():
+                near = np.nonzero((comp[some] != comp[i]) & ((mask[some] & mask[i]) != 0) & (den * np.minimum(n[some], n[i]) >= num * np.maximum(n[some], n[i])))[0]
+                if not near.size:
+                    continue
+                a, b = np.frombuffer(raw[i], np.uint64), theirs[near]
                 while a.size > b.shape[1]:
                     a = a[: a.size // 2] ^ a[a.size // 2 :]
                 while b.shape[1] > a.size:
                     b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
                 differ = np.bitwise_count(b ^ a).sum(axis=1, dtype=np.int64)
-                ok = (comp[some] != comp[i]) & (den * np.minimum(n[some], n[i]) >= num * np.maximum(n[some], n[i])) & ((n[some] + n[i]) * (den - num) >= differ * (den + num))
-                out.update((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in some[ok].tolist())
-        pairs = sorted(out)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+                hit = ids[some[near[(n[some[near]] + n[i]) * (den - num) >= differ * (den + num)]]]
+                if hit.size:
+                    found.append((np.minimum(hit, ids[i]), np.maximum(hit, ids[i])))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
 
-    return full.groupBy("lead", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["lead", "x", "y"]):
+            a, b = compare(group)
+            if a.size:
+                a, b, _ = _merged(a, b, np.zeros(a.size, np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["lead", "other"])
+
+    return full.mapInArrow(run, "lead long, other long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,48 +395,55 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_
 
     Null and empty texts, and texts of white space, have the empty set and link with nothing.  Equal sets are one
     class, so ties and repeated rows share a component.  Rows with a null id keep a null component and link with
-    nothing.  Rows that share an id share its links.  Other columns are ignored; an empty table gives an empty table.
+    nothing.  Rows that share an id are one document, with the links of all its texts.  Texts of any length are hashed
+    in pieces.  Other columns are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    about = materialize(describe(docs, words), "sets-of")
+    about = scratch.keep(describe(docs, words), "sets-of")
     named = about.where("doc_id is not null and set_key is not null")
-    classes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    of = materialize(named.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "class-of")
-    one = named.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch")
     rows, total = about.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    repeated = named.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    sets, texts, sketches = named.select("doc_id", "set_key"), docs.where("doc_id is not null"), named
+    if repeated.limit(1).count():  # saves work only: equal rows of one id need no second look
+        sets, texts, sketches = sets.distinct(), texts.distinct(), named.dropDuplicates(["doc_id", "set_key"])
+    classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    follows = scratch.keep(sets.join(classes, "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct(), "class-of")
+    # Documents of several sets stay themselves, linked to the classes of all their sets.
+    several = repeated.join(follows, "doc_id", "left_semi")
+    equal = scratch.keep(follows.join(several, "doc_id", "left_semi"), "equal")
+    if equal.limit(1).count():
+        follows = scratch.keep(follows.join(several, "doc_id", "left_anti"), "class-of")
+    small = follows.count() <= BROADCAST_IDS
+    side = lambda n: (F.broadcast if small else lambda x: x)(follows.select(F.col("doc_id").alias(n), F.col("rep").alias(f"r_{n}")))
+
     common = _common(docs, rows, words)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, total * 3 // (2 * TASK)))
-
-    def by_class(pairs: DataFrame) -> DataFrame:
-        """Pairs of documents as pairs of their classes' smallest documents; pairs within a class need no check."""
-        left, right = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-        return pairs.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    def members(found: DataFrame) -> DataFrame:
-        return of.join(found, of["rep"] == found["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-
-    all_ties = materialize(_shared(_blocks(docs.withColumn("component", F.lit(0).cast("long")), words, num, den, parts, common), parts, False).distinct(), "ties")
-    links = [materialize(_verified(materialize(_sketched(by_class(all_ties), one, num, den), "likely"), docs, words, num, den), "links")]
-    found = components(links[0].toDF("src", "dst"))
-    member = materialize(members(found), "members")
-    side = lambda n: member.select(F.col("doc_id").alias(n), F.col("component").alias(f"c{n}"))
-    # A leader's fellows matter once one of its ties crosses; the smaller id leads, but in later runs of a large task.
-    crossing = all_ties.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.explode(F.array("a", "b")).alias("lead")).distinct()
-    fellows = all_ties.select("a", "b").unionByName(all_ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(crossing, F.col("a") == F.col("lead")).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    again = materialize(member.join(fellows, "doc_id", "left_semi").select("doc_id", "rep", "component").distinct(), "again")
-    # Of a class only the smallest document is needed.
-    again = again.select(F.col("rep").alias("doc_id"), "component").groupBy("doc_id").agg(F.min("component").alias("component"))
-    n = again.count()
-    if n:
-        side = F.broadcast(again) if n <= BROADCAST_IDS else again
-        listed = materialize(_shared(_blocks(docs.join(side, "doc_id"), words, num, den, parts, common), parts, True), "listed")
-        more = materialize(_crowded(listed, one, num, den), "crowded")
-        if more.limit(1).count():
-            links.append(materialize(_verified(more, docs, words, num, den), "links"))
-            found = components(reduce(DataFrame.unionByName, links).toDF("src", "dst"))
-    final = of.join(found, of["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    # An id may stand on several rows: its component is the smallest of theirs.
-    final = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return about.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    meet = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(meet, min(TASKS, total * 3 // (2 * TASK)))
+    listed = _ties(_blocks(docs, words, num, den, parts, common, _even_keys(spark, parts)), parts, _even_keys(spark, meet))
+    ties = listed.join(side("lead"), "lead", "left").join(side("other"), "other", "left")
+    ties = ties.select(F.coalesce("r_lead", "lead").alias("lead"), F.coalesce("r_other", "other").alias("other"), "mask").where("lead <> other")
+    ties = scratch.keep(ties.groupBy("lead", "other").agg(F.bit_or("mask").alias("mask")), "ties")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return scratch.keep(_verified(pairs, pairs.count(), texts, words, num, den), "links").toDF("src", "dst")
+
+    likely = scratch.keep(_likely(ties, ties.count(), sketches, num, den), "likely")
+    edges = links_of(likely).unionByName(equal.toDF("src", "dst"))
+    found = components(edges, scratch)
+    of = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+    crowd = ties.where("mask <> 0").join(of("lead"), "lead", "left").join(of("other"), "other", "left")
+    crowd = scratch.keep(crowd.select("lead", "other", "mask", F.coalesce("c_lead", "lead").alias("c_lead"), F.coalesce("c_other", "other").alias("c_other")), "crowd")
+    crossing = scratch.keep(crowd.where("c_lead <> c_other").select("lead").distinct(), "crossing")
+    crowd = crowd.join(crossing, "lead", "left_semi")
+    fellows = crowd.select("lead", F.col("other").alias("doc_id"), F.col("c_other").alias("component"), "mask")
+    more = scratch.keep(_crowded(fellows, sketches, num, den), "crowded")
+    if more.limit(1).count():
+        found = components(edges.unionByName(links_of(more)), scratch)
+    final = about.select("doc_id", "n_shingles").join(follows, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    final = final.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    final = materialize(final, "groups")
+    scratch.drop()
+    return final
