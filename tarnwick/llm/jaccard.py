@@ -409,22 +409,29 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_
     sets, texts, sketches = named.select("doc_id", "set_key"), docs.where("doc_id is not null"), named
     if repeated.limit(1).count():  # saves work only: equal rows of one id need no second look
         sets, texts, sketches = sets.distinct(), texts.distinct(), named.dropDuplicates(["doc_id", "set_key"])
-    classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep")
+    classes = scratch.keep(classes, "classes")
+    if classes.count() <= BROADCAST_IDS // 2:
+        classes = F.broadcast(classes)
     follows = scratch.keep(sets.join(classes, "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct(), "class-of")
     # Documents of several sets stay themselves, linked to the classes of all their sets.
     several = repeated.join(follows, "doc_id", "left_semi")
     equal = scratch.keep(follows.join(several, "doc_id", "left_semi"), "equal")
     if equal.limit(1).count():
         follows = scratch.keep(follows.join(several, "doc_id", "left_anti"), "class-of")
-    small = follows.count() <= BROADCAST_IDS
-    side = lambda n: (F.broadcast if small else lambda x: x)(follows.select(F.col("doc_id").alias(n), F.col("rep").alias(f"r_{n}")))
+    few = follows.count() <= BROADCAST_IDS
+    # Of a class one document's signatures do: the others stay behind where their ids can be broadcast; where they are
+    # too many for that, their ties are turned into their class's instead.
+    first = docs.join(F.broadcast(follows.select("doc_id")), "doc_id", "left_anti") if few else docs
 
     common = _common(docs, rows, words)
     meet = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(meet, min(TASKS, total * 3 // (2 * TASK)))
-    listed = _ties(_blocks(docs, words, num, den, parts, common, _even_keys(spark, parts)), parts, _even_keys(spark, meet))
-    ties = listed.join(side("lead"), "lead", "left").join(side("other"), "other", "left")
-    ties = ties.select(F.coalesce("r_lead", "lead").alias("lead"), F.coalesce("r_other", "other").alias("other"), "mask").where("lead <> other")
+    ties = _ties(_blocks(first, words, num, den, parts, common, _even_keys(spark, parts)), parts, _even_keys(spark, meet))
+    if not few:
+        side = lambda n: follows.select(F.col("doc_id").alias(n), F.col("rep").alias(f"r_{n}"))
+        ties = ties.join(side("lead"), "lead", "left").join(side("other"), "other", "left")
+        ties = ties.select(F.coalesce("r_lead", "lead").alias("lead"), F.coalesce("r_other", "other").alias("other"), "mask").where("lead <> other")
     ties = scratch.keep(ties.groupBy("lead", "other").agg(F.bit_or("mask").alias("mask")), "ties")
 
     def links_of(pairs: DataFrame) -> DataFrame:
