@@ -81,6 +81,12 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def passage_of(text: Column, size: int) -> Column:
+    """The text, or of a longer one a passage of ``size`` characters at a place chosen by its hash: for training samples."""
+    room = F.length(text) - F.lit(size) + 1
+    return F.when(room <= 1, text).otherwise(F.substring(text, 1 + F.pmod(F.xxhash64(text), F.greatest(room, F.lit(1))).cast("int"), F.lit(size)))
+
+
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Hold the bytes of an Arrow batch down, so that a worker's memory depends on neither row count nor text length;
     and have unions exchange their rows anew, as Spark 4.1 can mix up partitions where they keep their children's."""
@@ -176,5 +182,13 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     }[kind.simpleString()]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column has it, in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}[kind])

@@ -2,8 +2,9 @@
 
 A linear model on character-class bigrams and repetition statistics of the whole text minimises the non-negative
 unbiased risk: trusted positives and unlabelled web text, with an estimated class prior, and no negatives.  The prior
-is the share of positives among the labelled training rows.  A final monotone (Platt) map, fitted on labelled training
-rows of both kinds where they exist, makes the score a probability.
+is estimated from positives and unlabelled rows alone, by the best bin of a positive-against-unlabelled score: where
+hardly a negative is, the unlabelled share over the positive share is the prior.  A final monotone map, by the unbiased
+logistic risk on the same two kinds of rows, makes the score a probability; no negative label is read.
 
 Features are computed where the texts are read; only a bounded, documented number of feature rows reaches the driver.
 """
@@ -114,22 +115,50 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return QualityModel(w[:-1], float(w[-1]), mean, scale, prior)
 
 
-def calibrate(model: QualityModel, x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> None:
-    """Platt's map from margins to probabilities, its slope held down by ``ridge`` where the kinds part cleanly;
-    without rows of both kinds the risk's own sigmoid stays."""
-    if len(set(y.tolist())) < 2:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, ridge: float = 1.0, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled rows, by best bin estimation.
+
+    A logistic score tells half of the positives from half of the unlabelled rows.  On the other halves, the share of
+    unlabelled rows above a threshold over that of positives bounds the prior from above, and meets it where no
+    negative scores so high; the threshold with the lowest confident bound is taken.
+    """
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    p, u = positive[::2], unlabelled[::2]
+    both = np.vstack([p, u])
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    x = np.c_[(both - mean) / scale, np.ones(len(both))]
+    y = np.r_[np.ones(len(p)), np.zeros(len(u))]
+    weight = np.r_[np.full(len(p), 0.5 / len(p)), np.full(len(u), 0.5 / len(u))] * len(both)
+    w = np.zeros(x.shape[1])
+    for _ in range(15):
+        q = sigmoid(x @ w)
+        hessian = (x * (weight * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w))
+        w -= np.linalg.solve(hessian, x.T @ (weight * (q - y)) + ridge * w)
+    sp, su = (np.sort(np.c_[(r - mean) / scale, np.ones(len(r))] @ w) for r in (positive[1::2], unlabelled[1::2]))
+    at = np.unique(sp)
+    share_p = 1 - np.searchsorted(sp, at) / len(sp)
+    share_u = 1 - np.searchsorted(su, at) / len(su)
+    doubt = np.sqrt(np.log(4 / delta) / 2) * (len(su) ** -0.5 + 1.01 * len(sp) ** -0.5)
+    best = int(np.argmin((share_u + doubt) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
+
+
+def calibrate(model: QualityModel, positive: np.ndarray, unlabelled: np.ndarray, ridge: float = 1e-3) -> None:
+    """A map from margins to probabilities by the unbiased logistic risk of positives and unlabelled rows,
+    E_unl[log(1 + e^z)] - prior * E_pos[z]; its slope is held down by ``ridge`` where the kinds part cleanly."""
+    if not len(positive) or not len(unlabelled):
         return
-    z = model.margin(x)
-    mid, wide = z.mean(), z.std() + 1e-9
-    z = (z - mid) / wide
-    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    slope, offset = 1.0, 0.0
-    for _ in range(4000):
-        off = sigmoid(slope * z + offset) - t
-        slope -= 2 * ((off * z).mean() + ridge * slope)
-        offset -= 2 * off.mean()
-    if slope > 0:
-        model.slope, model.offset = float(slope / wide), float(offset - slope * mid / wide)
+    zp, zu = model.margin(positive), model.margin(unlabelled)
+    mid, wide = zu.mean(), zu.std() + 1e-9
+    x, pull = np.c_[(zu - mid) / wide, np.ones(len(zu))], model.prior * np.array([((zp - mid) / wide).mean(), 1.0])
+    w, hold = np.array([1.0, 0.0]), np.array([ridge, 1e-9])
+    for _ in range(100):
+        q = sigmoid(x @ w)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x / len(x) + np.diag(hold), x.T @ q / len(x) - pull + hold * w)
+        w = w - np.clip(step, -1, 1)
+    if np.isfinite(w).all() and w[0] > 0:
+        model.slope, model.offset = float(w[0] / wide), float(w[1] - w[0] * mid / wide)
 
 
 def feature_rows(rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -139,37 +168,44 @@ def feature_rows(rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return append_columns(rows.select(*keep, text_col), text_col, make, [field("features", "binary")]).drop(text_col)
 
 
-def _matrix(table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("features").to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
+def _matrix(rows: DataFrame) -> np.ndarray:
+    found = rows.toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
+    return np.frombuffer(b"".join(found.column("features").to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = 6000, max_unlabelled: int = 6000, seed: str = "quality") -> QualityModel:
-    """Fit on at most about ``max_labelled`` labelled and ``max_unlabelled`` unlabelled rows among the ``usable`` ones
-    (documented bounds), picked by a hash of the id while scanning.  The labels of the unlabelled rows are not read."""
-    marked = labels.where(usable & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label")).dropDuplicates([id_col])
-    share = min(1.0, max_labelled / max(1, marked.count()))
-    few = marked.where(unit_hash(F.col(id_col), F.lit(seed)) < share).limit(2 * max_labelled)
-    known = feature_rows(docs.join(F.broadcast(few), id_col), text_col, ["label", id_col]).toArrow().sort_by(id_col)
-    y = np.array(known.column("label").to_pylist(), int)
-    x = _matrix(known)
-    pool = docs.where(usable)
+    """Fit on at most about ``max_labelled`` trusted positives and ``max_unlabelled`` unlabelled rows among the ``usable``
+    ones (documented bounds), picked by a hash of the id while scanning.
+
+    Rows labelled 1, and never otherwise, are trusted; no other label is read.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    trusted = labels.where(usable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("good")).where("good = 1").select("id")
+    share = min(1.0, max_labelled / max(1, trusted.count()))
+    few = trusted.where(unit_hash(F.col("id"), F.lit(seed)) < share)
+    p = _matrix(feature_rows(texts.join(F.broadcast(few), "id"), "text", ["id"]))
+    pool = docs.where(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     share = min(1.0, max_unlabelled / max(1, pool.count()))
-    web = pool.where(unit_hash(F.col(id_col), F.lit(seed + "-web")) < share).limit(2 * max_unlabelled)
-    u = _matrix(feature_rows(web, text_col, [id_col]).toArrow().sort_by(id_col))
-    prior = float(np.clip(y.mean(), 0.05, 0.98)) if len(y) else 0.5
-    model = fit(x[y == 1], u, prior)
-    calibrate(model, x, y)
+    u = _matrix(feature_rows(pool.where(unit_hash(F.col("id"), F.lit(seed + "-web")) < share), "text", ["id"]))
+    model = fit(p, u, class_prior(p, u))
+    calibrate(model, p, u)
     return model
 
 
-def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """``docs`` with ``score_col`` double in [0, 1] to nine places, higher for text more like the trusted positives.
+def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "quality_score", risk_col: str | None = None) -> DataFrame:
+    """``docs`` with ``score_col`` double in [0, 1] to nine places, higher for text more like the trusted positives, and
+    if asked ``risk_col``, the risk's own sigmoid before calibration.
 
-    Null and empty texts are scored like any other (all features zero); equal texts score equally; an existing
-    ``score_col`` is replaced and other columns pass through.
+    Null and empty texts are scored like any other (all features zero); equal texts and repeated rows score equally;
+    texts of any length are scored whole.  Existing columns of these names are replaced and other columns pass through;
+    an empty table gives an empty table.
     """
 
     def make():
-        return lambda texts: [np.round(model.score(np.array([features(t or "") for t in texts], np.float64)), 9).tolist()]
+        def run(texts):
+            x = np.array([features(t or "") for t in texts], np.float64)
+            return [np.round(model.score(x), 9).tolist(), *([np.round(sigmoid(model.margin(x)), 9).tolist()] if risk_col else [])]
+
+        return run
 
-    return append_columns(docs, text_col, make, [field(score_col, "double")])
+    return append_columns(docs, text_col, make, [field(score_col, "double"), *([field(risk_col, "double")] if risk_col else [])])

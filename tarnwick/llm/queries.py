@@ -65,8 +65,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 3) == 1
     model = quality.train(docs, load(spark, sf_dir, "labels"), ~held_out)
-    done = quality.score(docs.select("doc_id", "text"), model)
-    return done.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= GOOD_FROM).cast("int").alias("predicted"))
+    done = quality.score(docs.select("doc_id", "text"), model, risk_col="risk_score")
+    return done.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= GOOD_FROM).cast("int").alias("predicted"), "risk_score")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
