@@ -9,6 +9,7 @@ plain files where a folder is mounted.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 import struct
@@ -100,7 +101,8 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """(page_id, url, html, digest, refers_to): which record each page becomes.
 
     Of equal payloads of ``LEAST_REVISIT`` bytes or more the largest page_id is the response.  Null html is the empty
-    payload; rows that repeat the response's page_id are responses too; null ids never refer.
+    payload; rows that repeat the response's page_id are responses too; null ids never refer.  An empty table gives an
+    empty table.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
@@ -160,7 +162,10 @@ def bundles(planned: DataFrame, frame: int = FRAME, bundle: int = BUNDLE, date:
 
 
 def read(bundles: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles, frame by frame.  A revisit has no payload of its own, so its ``payload`` is null."""
+    """Every record of the bundles, frame by frame; ``payload_digest`` is checked against the payload read.
+
+    A revisit has no payload of its own, so its ``payload`` is null, its length what its header claims (see ``resolve``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,6 +209,8 @@ def _row(plain: bytes, entry: dict, payloads: bool) -> tuple:
     digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     first = head["WARC-Type"] == "response"
     refers = head.get("X-Refers-To-Page")
+    if first and hashlib.sha1(payload).hexdigest() != digest:
+        raise ValueError(f"the payload of record {entry['record_id']} is not that of its digest")
     length = len(payload) if first else int(head["X-Payload-Length"])
     return entry["record_id"], length, digest, head["WARC-Type"], int(refers) if refers else None, head.get("WARC-Target-URI"), payload if first and payloads else None
 
@@ -228,7 +235,32 @@ def export(bundles: DataFrame, folder: str) -> None:
     bundles.select("bundle_id", "archive").foreachPartition(put)
 
 
+def resolve(records: DataFrame) -> DataFrame:
+    """``records`` (page_id, payload_bytes, payload_digest, record_type, refers_to), each revisit held against the
+    response it refers to: one that has no response of its digest and length is an error.
+
+    ``records`` is read twice, so it should be a stored table.  An empty table gives an empty table.
+    """
+    revisits = records.where("record_type = 'revisit'")
+    asked = revisits.select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    few = asked.count()
+    side = F.broadcast if few <= BROADCAST_DIGESTS else (lambda x: x)
+    found = records.where("record_type = 'response'").join(side(asked), ["page_id", "payload_digest"], "left_semi")
+    found = found.groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("held")).select(F.col("page_id").alias("refers_to"), "payload_digest", "held")
+    joined = records.join(side(found), ["refers_to", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("page_id").cast("string"))).cast("long")
+    right = (F.col("record_type") == "response") | (F.col("held") == F.col("payload_bytes"))
+    size = F.when(right, F.col("payload_bytes")).otherwise(lost)
+    return joined.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write every page to bundles in the shared folder and report what the archives hold."""
+    """Write every page to bundles in the shared folder and report what the archives hold: digests and lengths are those
+    of the payloads read back, a revisit's those of its response.
+
+    Null html is the empty payload.  Repeated rows and rows of a null id each give a record; payloads of any size are
+    one record.  Other columns are ignored; an empty table gives an empty table.
+    """
     stored = materialize(bundles(plan(pages)), "warc")
-    return read(stored, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    listed = read(stored, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return resolve(materialize(listed, "warc-records"))
