@@ -15,8 +15,8 @@ import regex
 #: The published byte-level pre-tokenizer pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = np.int32(2**31 - 1)
-#: Memo entries a worker keeps before it starts anew.
-MEMO = 200_000
+#: Memo entries a worker keeps before it starts anew, and characters up to which a pre-token is kept.
+MEMO, LONG = 200_000, 128
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -27,14 +27,32 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
+def refuse(spec: dict) -> None:
+    """Raise on a tokenizer file with settings that this encoder does not follow."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = {
+        "model type": model.get("type", "BPE") != "BPE",
+        "normalizer": spec.get("normalizer") is not None,
+        "pre-tokenizer": pre.get("type") != "ByteLevel" or not pre.get("use_regex", True),
+        "prefix space": bool(pre.get("add_prefix_space")),
+        "affixes": bool(model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+        "dropout": bool(model.get("dropout")),
+        "ignore_merges": bool(model.get("ignore_merges")),
+        "added token rules": any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")),
+    }
+    if any(odd.values()):
+        raise ValueError("unsupported tokenizer file: " + ", ".join(k for k, v in odd.items() if v))
+
+
 class PairTable:
     """A hash table from (left id, right id) to rank with vectorised lookups; open addressing at low load."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, bits: int = 19):
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray):
+        bits = max(10, (8 * len(rank)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
         self.ranks = np.full(1 << bits, NEVER, np.int32)
-        key = (left.astype(np.int64) << 17) | right
+        key = (left.astype(np.int64) << 32) | right
         for k, s, r in zip(key.tolist(), self._slot(key).tolist(), rank.tolist(), strict=True):
             while self.keys[s] >= 0:
                 s = (s + 1) & self.mask
@@ -44,7 +62,7 @@ class PairTable:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left.astype(np.int64) << 17) | right
+        key = (left.astype(np.int64) << 32) | right
         slot = self._slot(key)
         seen = self.keys[slot]
         out = np.where(seen == key, self.ranks[slot], NEVER)
@@ -64,6 +82,7 @@ class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse(spec)
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -217,8 +236,8 @@ class ByteBPE:
         failing |= np.bincount(whose, self.size_of[proposed], len(words)) != size
         seam = np.nonzero(whose[1:] == whose[:-1])[0]
         if seam.size:
-            key, back = np.unique((proposed[seam] << 17) | proposed[seam + 1], return_inverse=True)
-            fits = self.compatible(key >> 17, key & 0x1FFFF)
+            key, back = np.unique((proposed[seam] << 32) | proposed[seam + 1], return_inverse=True)
+            fits = self.compatible(key >> 32, key & 0xFFFFFFFF)
             failing[whose[seam[~fits[back]]]] = True
         raw = proposed.astype("<u4").tobytes()
         ends = np.cumsum(count) * 4
@@ -237,6 +256,13 @@ def bpe(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def forget(memo: dict, pieces: list[str]) -> None:
+    """Long pre-tokens leave the memo with their batch, so that its entries bound its bytes."""
+    for piece in pieces:
+        if len(piece) > LONG:
+            del memo[piece]
+
+
 class Counter:
     """Token counts of texts through a bounded memo of pre-tokens."""
 
@@ -252,8 +278,9 @@ class Counter:
         if fresh:
             counts, _ = self.bpe.merge([w.encode("utf-8", "surrogatepass") for w in fresh], want_ids=False)
             self.memo.update(zip(fresh, counts.tolist(), strict=True))
-        get = self.memo.__getitem__
-        return [sum(map(get, p)) for p in pieces]
+        out = [sum(map(self.memo.__getitem__, p)) for p in pieces]
+        forget(self.memo, fresh)
+        return out
 
 
 class Codec:
@@ -271,8 +298,9 @@ class Codec:
         fresh = list(set().union(*pieces).difference(self.memo)) if pieces else []
         if fresh:
             self.memo.update(zip(fresh, self.bpe.speculate([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        out = [b"".join(map(self.memo.__getitem__, p)) for p in pieces]
+        forget(self.memo, fresh)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes the ids stand for, with malformed sequences replaced as text decoders do."""
