@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, field, unit_hash
+from .common import append_columns, field, passage_of, unit_hash
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -112,19 +112,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column, bound: int, seed: str) -> tuple[list[str], list[str]]:
-    """At most ``bound`` rows of each language, chosen by a hash of the id; texts and languages, in a fixed order.
+def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column, bound: int, seed: str, most_languages: int, passage: int) -> tuple[list[str], list[str]]:
+    """At most about ``bound`` rows of each language, chosen by a hash of the id; texts and languages, in a fixed order.
 
     Counting reads two columns; the rows are then picked by a hash threshold while scanning, so nothing is shuffled
-    but the chosen rows.
+    but the chosen rows.  Of a text longer than ``passage`` characters a hash-chosen passage of so many is taken.
     """
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(most_languages + 1).collect()}
     if not sizes:
         return [], []
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than most_languages={most_languages} languages")
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, bound / n)))])
     u = unit_hash(F.col(id_col), F.lit(seed))
-    rows = known.where(u < share[F.col(lang_col)]).select(u.alias("u"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = known.where(u < share[F.col(lang_col)]).select(u.alias("u"), F.col(lang_col).alias("lang"), passage_of(F.col(text_col), passage).alias("text"))
     rows = rows.limit(bound * len(sizes) * 2).toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
     return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
 
@@ -216,6 +218,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
     return append_columns(docs, text_col, make, [field(prefix + "pred", "string"), field(prefix + "score", "double"), field(prefix + "accepted", "boolean")])
 
 
-def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, seed: str = "langid") -> LanguageModel:
-    """Fit on at most about ``per_language`` documents of each language among the ``usable`` ones (a documented bound)."""
-    return fit(*sample(docs, text_col, lang_col, id_col, usable, per_language, seed))
+def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, seed: str = "langid", most_languages: int = 256, passage: int = 50_000) -> LanguageModel:
+    """Fit on at most about ``per_language`` documents of each language among the ``usable`` ones, and on a passage of
+    ``passage`` characters of longer texts (documented bounds).
+
+    The model has a row of 512 KB a language; more than ``most_languages`` of them are an error, none is left out.
+    """
+    return fit(*sample(docs, text_col, lang_col, id_col, usable, per_language, seed, most_languages, passage))
