@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, field, materialize, unit_hash
+from .common import append_columns, field, materialize, passage_of, unit_hash
 
 WORD = regex.compile(r"\p{L}+")
 WINDOW, STEP = 64, 48
@@ -203,9 +203,10 @@ def fit(texts: list[str], toxic: list[int], ridge: float = 0.3) -> ToxicityModel
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_each: int = 3500, seed: str = "toxicity") -> ToxicityModel:
-    """Fit on at most about ``max_each`` distinct labelled texts of each kind among the ``usable`` rows (a documented bound)."""
-    marked = labels.where(usable & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label")).dropDuplicates([id_col])
+def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_each: int = 3500, seed: str = "toxicity", passage: int = 50_000) -> ToxicityModel:
+    """Fit on at most about ``max_each`` distinct labelled texts of each kind among the ``usable`` rows, and on a passage
+    of ``passage`` characters of longer ones (documented bounds).  An id labelled both ways counts as toxic."""
+    marked = labels.where(usable & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     # One row for each distinct text, so that a large group of copies does not fill the sample.
     digests = docs.select(id_col, F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"))
     marked = materialize(marked.join(digests, id_col).groupBy("label", "digest").agg(F.min(id_col).alias(id_col)).select(id_col, "label"), "toxicity-texts")
@@ -213,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
     share = F.when(F.col("label") == 1, min(1.0, max_each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_each / max(1, sizes.get(0, 0))))
     u = unit_hash(F.col(id_col), F.lit(seed))
     few = marked.where(u < share).withColumn("u", u).limit(4 * max_each)
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(few), id_col).select("u", "label", "text").toArrow().sort_by("u")
+    rows = docs.select(id_col, passage_of(F.coalesce(text_col, F.lit("")), passage).alias("text")).join(F.broadcast(few), id_col).select("u", "label", "text").toArrow().sort_by("u")
     return fit(rows.column("text").to_pylist(), rows.column("label").to_pylist())
 
 
