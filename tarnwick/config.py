@@ -33,6 +33,7 @@ class Settings:
     max_chunk: int = 1200
     parent_min: int = 500
     parent_max: int = 2500
+    child_min: int = 80
     child_max: int = 400
     max_parents: int = 5
     kg_top_k: int = 5

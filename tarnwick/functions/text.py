@@ -9,7 +9,7 @@ from ..config import DEFAULTS
 
 #: Where a sentence ends or a block begins.
 SENTENCE_CUT = r"(?<=[。！？!?])|(?<=\n\n)|(?<=\n)(?=#{1,6} )|(?<=[.!?])(?=[ \t][A-Z])"
-FENCE = r"(?s)```([^\n]*)\n(.*?)```"
+FENCE = r"(?s)```[a-zA-Z0-9+#.\-]*\n.*?```"
 HEADING_CUT = r"(?m)(?=^#{1,3}\s+)"
 WORD = r"[\p{L}\p{N}]+"
 #: Term dictionary for query alignment, in order.
@@ -53,8 +53,8 @@ def sentences(c: Column, least: int = 5) -> Column:
 
 def code_aware_sentences(c: Column, least: int = 5) -> Column:
     """Sentences as struct(text, is_code, code_language); a fenced block stays one piece whatever its length."""
-    fences = F.regexp_extract_all(c, F.lit(r"(?s)```[^\n]*\n.*?```"), F.lit(0))
-    prose = F.split(c, r"(?s)```[^\n]*\n.*?```", -1)
+    fences = F.regexp_extract_all(c, F.lit(FENCE), F.lit(0))
+    prose = F.split(c, FENCE, -1)
 
     def piece(text: Column, code: bool, language: Column) -> Column:
         return F.struct(text.alias("text"), F.lit(code).alias("is_code"), language.cast("string").alias("code_language"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as X
-
-#: Queries held in one block of the vector search; more are searched block by block.
-QUERY_BLOCK = 4096
+from . import nearest
 
 
 def bucket(token: Column, dims: int = DEFAULTS.vector_dims) -> Column:
@@ -40,29 +36,18 @@ def ranked(rows: DataFrame, score: str, ident: str, k: int | None = None, keys:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULTS.recall_k) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULTS.recall_k, most_queries: int = nearest.QUERIES, group_rows: int = nearest.GROUP_ROWS) -> DataFrame:
     """(query_id, id, score, rank): nearest unit vectors, score 2 cos - 1.  The stated query set meets all rows in
-    blocks of ``QUERY_BLOCK``; each Arrow batch keeps its own best before the exchange."""
-    table = queries.select("query_id", "vec").orderBy("query_id").toArrow()
-    total, out = table.num_rows, None
-    for a in range(0, max(1, total), QUERY_BLOCK):
-        part = table.slice(a, QUERY_BLOCK)
-        ids = np.array(part.column("query_id").to_pylist(), np.int64)
-        q = np.array(part.column("vec").to_pylist(), np.float64).reshape(len(ids), -1)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
-                v = np.array(batch.column("vec").to_pylist(), np.float64)
-                own = np.array(batch.column("id").to_pylist(), np.int64)
-                score = np.round(2 * (q @ v.T) - 1, 6)
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "id", "score"])
-
-        one = vectors.select("id", "vec").mapInArrow(run, "query_id long, id long, score double")
-        out = one if out is None else out.unionByName(one)
-    return ranked(out, "score", "id", k)
+    blocks; each block keeps its own best before the exchange."""
+
+    def work(ids: np.ndarray, q: np.ndarray, own: pa.Array, v: np.ndarray) -> pa.RecordBatch:
+        own = own.to_numpy()
+        score = np.round(2 * (q @ v.T) - 1, 6)
+        i, j = nearest.best(score, own, k)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(score[i, j])], names=["query_id", "id", "score"])
+
+    corpus = vectors.select(F.col("id").cast("long").alias("id"), "vec")
+    return ranked(nearest.meet(corpus, queries, "id", work, "query_id long, id long, score double", most_queries, group_rows), "score", "id", k)
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -16,7 +15,6 @@ from ..operators.evaluate import EXPERIMENTS, ablate, effective, evaluate
 from ..operators.match import substring_matches
 from . import retrieve as P
 from . import tables as T
-from .text_queries import query as _query
 
 Q: dict = {}
 SQL: dict = {}
@@ -32,9 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-del _query
-
-
 @query(f"WITH {T.VECTORS} SELECT id, dim::INT AS dim, round(w, 6) AS w FROM dvec")
 def embed_hash(spark, d):
     return R.hashed_terms(T.texts(spark, d), "doc_id").select("id", "dim", F.round("w", 6).alias("w"))
@@ -81,10 +76,10 @@ def _routes(spark, d, how):
     from ..operators.route import route
 
     e, asked = _asked(spark, d)
-    return route(asked, e.where("id < 200").select(F.col("label").cast("string").alias("intent"), "vec"), how)
+    return route(asked, e.select(F.col("label").cast("string").alias("intent"), "vec"), how)
 
 
-_ROUTE = """WITH {ask}, s AS (SELECT q.vec_id AS query_id, v.label::VARCHAR AS intent, round(list_inner_product(q.e, v.e), 6) AS s FROM asked q, v WHERE v.vec_id < 200),
+_ROUTE = """WITH {ask}, s AS (SELECT q.vec_id AS query_id, v.label::VARCHAR AS intent, round(list_inner_product(q.e, v.e), 6) AS s FROM asked q, v WHERE v.label IS NOT NULL),
     a AS (SELECT query_id, intent, round({agg}, 7) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, intent ORDER BY s DESC) AS r FROM s) GROUP BY 1, 2),
     b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, intent) AS r, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, intent) AS second FROM a)
     SELECT query_id, intent AS best, score, round(score - coalesce(second, 0), 7) AS margin, CASE WHEN score < 0.45 OR score - coalesce(second, 0) < 0.1 THEN 'fallback' ELSE 'routed' END AS decision FROM b WHERE r = 1"""
@@ -100,9 +95,6 @@ def intent_route_top2(spark, d):
     return _routes(spark, d, "top2")
 
 
-_CTX = f"WITH {_ASK}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_inner_product(q.e, v.e), 6) AS s FROM asked q, v)"
-
-
 def _products(spark, d):
     e, asked = _asked(spark, d)
     return R.vector_topk(e, asked, 10).withColumn("s", (F.col("score") + 1) / 2)
@@ -463,5 +455,3 @@ def triple_postprocess(spark, d):
     rows = _twice(spark, d).withColumn("seq", F.col("origin") * F.lit(10000000000000) + F.col("seq"))
     return G.postprocess_triples(rows).select("seq", "head", "relation", "tail", "chunk_id")
 
-
-_ = Window

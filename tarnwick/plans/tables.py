@@ -54,16 +54,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, text): each document as Markdown with two headings around its halves."""
-    d = load(spark, sf_dir, "documents")
-    half = F.floor(F.length("text") / 2).cast("int")
-    return d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.concat(F.lit("Intro of "), F.col("source"), F.lit("\n# One\n"), F.substring("text", F.lit(1), half), F.lit("\n## Two\n"), F.substring("text", half + 1, F.length("text"))).alias("text"))
-
-
-MARKDOWN = """md AS (SELECT 'd/' || doc_id || '.md' AS source, 'Intro of ' || source || chr(10) || '# One' || chr(10) || substr(text, 1, length(text) // 2)
-    || chr(10) || '## Two' || chr(10) || substr(text, length(text) // 2 + 1) AS text FROM documents)"""
-
 TOK = r"regexp_extract_all(regexp_replace(lower(coalesce({c}, '')), '([\x{{4e00}}-\x{{9fff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
 
 
@@ -106,3 +96,72 @@ BM25 = f"""
     bscore AS (SELECT query_id, tf.id, round(sum(q * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM corpus)))), 6) AS score
                FROM asked JOIN idf USING (t) JOIN tf USING (t) JOIN dl ON dl.id = tf.id GROUP BY ALL),
     btop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bscore QUALIFY rank <= 10) WHERE score > 0)"""
+
+
+def fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents, every third with a fenced block after its first half."""
+    d = load(spark, sf_dir, "documents")
+    half = F.floor(F.length("text") / 2).cast("int")
+    code = F.concat(F.lit("\n```py\nx = "), F.md5("text"), F.lit("\n\nThe end. No cut! Here\n```\n"))
+    return d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", F.lit(1), half), code, F.substring("text", half + 1, F.length("text")))).otherwise(F.col("text")).alias("text"))
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, text): each document, fenced blocks included, as Markdown with a heading every 1500 characters."""
+    d = fenced(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    last = F.floor((F.length("text") - 1) / 1500).cast("int")
+    part = lambda k: F.concat(F.repeat(F.lit("#"), k % 3 + 1), F.lit(" Part "), k.cast("string"), F.lit("\n"), F.substring(F.col("text"), k * 1500 + 1, F.lit(1500)), F.lit("\n"))
+    parts = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), part), "")
+    return d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.concat(F.lit("Intro of "), F.col("source"), F.lit("\n"), parts).alias("text"))
+
+
+FENCE = "(?s)```[a-zA-Z0-9+#.-]*\\n.*?```"
+FENCED = """
+    fenced AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, length(text) // 2) || chr(10) || '```py' || chr(10) || 'x = ' || md5(text) || chr(10) || chr(10) || 'The end. No cut! Here' || chr(10) || '```' || chr(10)
+        || substr(text, length(text) // 2 + 1) ELSE text END AS text FROM documents)"""
+
+MARKDOWN = FENCED + """,
+    md AS (SELECT 'd/' || doc_id || '.md' AS source, 'Intro of ' || source || chr(10) || array_to_string(list_transform(generate_series(0, greatest(0, (length(f.text) - 1) // 1500)),
+        lambda k: repeat('#', CAST(k % 3 + 1 AS INT)) || ' Part ' || k || chr(10) || substr(f.text, k * 1500 + 1, 1500) || chr(10)), '') AS text FROM fenced f JOIN documents USING (doc_id))"""
+
+
+def semantic(source: str, least: int, most: int) -> str:
+    """The semantic chunker over ``source`` (doc_id, text): pieces, hashed vectors, smoothed similarities, breakpoints,
+    merging, halving."""
+    return f"""
+    parts AS (SELECT doc_id, string_split_regex(text, '{FENCE}') AS p, regexp_extract_all(text, '{FENCE}') AS f FROM {source}),
+    numbered AS (SELECT doc_id, unnest(p) AS prose, unnest(list_concat(f, [NULL])) AS code, generate_subscripts(p, 1) AS part FROM parts),
+    marked AS (SELECT doc_id, part, code, regexp_replace(regexp_replace(regexp_replace(regexp_replace(prose,
+        '([。！？!?])', '\\1' || chr(1), 'g'), '(\\n\\n)', '\\1' || chr(1), 'g'), '(\\n)(#{{1,6}} )', '\\1' || chr(1) || '\\2', 'g'),
+        '([.!?])([ \\t][A-Z])', '\\1' || chr(1) || '\\2', 'g') AS t FROM numbered),
+    listed AS (SELECT doc_id, part, code, list_filter(list_transform(string_split(t, chr(1)), lambda x: {trimmed('x')}), lambda x: length(x) >= 5) AS s FROM marked),
+    unnested AS (SELECT doc_id, part, unnest(s) AS text, generate_subscripts(s, 1) AS k, false AS is_code, CAST(NULL AS VARCHAR) AS lang FROM listed
+        UNION ALL SELECT doc_id, part, {trimmed('code')}, 1000000, true, {trimmed("regexp_extract(code, '^```([^\\n]*)', 1)")} FROM listed WHERE code IS NOT NULL),
+    sent AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, k) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n, text, is_code, lang,
+        sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY part, k) AS upto FROM unnested),
+    word AS (SELECT doc_id, pos, n, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS dim, count(*)::DOUBLE AS tf FROM (SELECT doc_id, pos, n, unnest({tok('text')}) AS t FROM sent WHERE n >= 3) GROUP BY ALL),
+    vec AS (SELECT *, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id, pos)) AS w FROM word),
+    spread AS (SELECT doc_id, n, pos + o AS pos, dim, sum(w) AS w FROM vec, (VALUES (-1), (0), (1)) AS off(o) WHERE pos + o BETWEEN 0 AND n - 1 GROUP BY ALL),
+    smoothed AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, pos)) AS v FROM spread),
+    prod AS (SELECT a.doc_id, a.pos, sum(a.v * b.v) AS sim FROM smoothed a JOIN smoothed b ON a.doc_id = b.doc_id AND a.pos + 1 = b.pos AND a.dim = b.dim GROUP BY ALL),
+    gap AS (SELECT s.doc_id, s.pos, round(coalesce(sim, 0), 6) AS sim FROM sent s LEFT JOIN prod p ON s.doc_id = p.doc_id AND s.pos = p.pos WHERE s.n >= 3 AND s.pos < s.n - 1),
+    limits AS (SELECT doc_id, quantile_cont(sim, 0.85) AS th FROM gap GROUP BY 1),
+    begun AS (SELECT s.*, CASE WHEN s.n >= 3 AND (sim < th OR is_code <> lag(is_code) OVER (PARTITION BY s.doc_id ORDER BY s.pos)) THEN 1 ELSE 0 END AS b
+        FROM sent s LEFT JOIN gap g ON g.doc_id = s.doc_id AND g.pos = s.pos - 1 LEFT JOIN limits l ON l.doc_id = s.doc_id),
+    isl AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM begun),
+    islands AS MATERIALIZED (SELECT doc_id, island AS i, min(pos) AS a, max(pos) AS z, bool_and(is_code) AS code, min(upto - length(text) - 1) AS lo, max(upto) AS hi, max(n) AS n FROM isl GROUP BY ALL),
+    fold AS (SELECT doc_id, i, a AS s, lo AS slo, hi, code FROM islands WHERE i = 0
+        UNION ALL SELECT x.doc_id, x.i, CASE WHEN f.hi - f.slo - 1 < {least} AND f.code = x.code THEN f.s ELSE x.a END, CASE WHEN f.hi - f.slo - 1 < {least} AND f.code = x.code THEN f.slo ELSE x.lo END, x.hi, x.code
+        FROM fold f JOIN islands x ON x.doc_id = f.doc_id AND x.i = f.i + 1),
+    spans AS (SELECT f.doc_id, f.s AS a, max(x.z) AS z, max(x.n) AS n FROM fold f JOIN islands x ON x.doc_id = f.doc_id AND x.i = f.i GROUP BY ALL),
+    sized AS (SELECT p.doc_id, a, z, p.n, (hi.upto - lo.upto + length(lo.text)) AS size, lo.is_code AND a = z AS one_code
+        FROM spans p JOIN sent lo ON lo.doc_id = p.doc_id AND lo.pos = a JOIN sent hi ON hi.doc_id = p.doc_id AND hi.pos = z),
+    halves AS (SELECT doc_id, a, z, size, one_code, n < 3 OR size <= {most} OR a = z AS done FROM sized
+        UNION ALL SELECT h.doc_id, c.a, c.z, hi.upto - lo.upto + length(lo.text), lo.is_code AND c.a = c.z, hi.upto - lo.upto + length(lo.text) <= {most} OR c.a = c.z
+        FROM halves h, LATERAL (SELECT h.a AS a, h.a + (h.z - h.a + 1) // 2 - 1 AS z UNION ALL SELECT h.a + (h.z - h.a + 1) // 2, h.z) c
+        JOIN sent lo ON lo.doc_id = h.doc_id AND lo.pos = c.a JOIN sent hi ON hi.doc_id = h.doc_id AND hi.pos = c.z WHERE NOT h.done),
+    joined AS (SELECT h.doc_id, h.a, h.z, h.size, string_agg(s.text, ' ' ORDER BY s.pos) AS text, bool_and(s.is_code) AS is_code, arg_min(s.lang, s.pos) AS lang, max(s.n) AS n
+        FROM halves h JOIN sent s ON s.doc_id = h.doc_id AND s.pos BETWEEN h.a AND h.z WHERE h.done GROUP BY ALL),
+    sliced AS (SELECT doc_id, a, is_code, lang, CASE WHEN n < 3 OR a < z OR is_code THEN [text] ELSE list_transform(generate_series(0, (length(text) - 1) // {most}), lambda k: substr(text, k * {most} + 1, {most})) END AS pieces FROM joined),
+    cutup AS (SELECT doc_id, a, is_code, lang, {trimmed('unnest(pieces)')} AS text, generate_subscripts(pieces, 1) AS k FROM sliced),
+    semantic AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, k) - 1 AS chunk_index, text, is_code, CASE WHEN is_code THEN lang END AS code_language FROM cutup WHERE text <> '')"""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import chunker as C
 from ..operators import segment as S
 from . import tables as T
 
@@ -111,13 +112,17 @@ def breakpoints(spark, d):
     return S.breakpoints(_sims(spark, d))
 
 
-@query(f"""WITH {_SIMS}, {T.SENTENCES},
-    f AS (SELECT s.doc_id AS doc, s.pos, sentence, sum(CASE WHEN c.doc IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS chunk
-          FROM sentences s LEFT JOIN cuts c ON c.doc = s.doc_id AND c.pos + 1 = s.pos)
-    SELECT doc, chunk::INT AS chunk, string_agg(sentence, ' ' ORDER BY pos) AS text, count(*)::INT AS n FROM f GROUP BY 1, 2""")
+@query(f"WITH RECURSIVE {T.FENCED}, {T.semantic('fenced', 80, 1200)} SELECT doc_id AS doc, pos::INT AS pos, sim FROM sent JOIN gap USING (doc_id, pos)".replace("WHERE s.n >= 3 AND s.pos < s.n - 1", "WHERE s.pos < s.n - 1").replace("FROM sent WHERE n >= 3)", "FROM sent)"))
+def sentence_sims(spark, d):
+    return S.sentence_sims(S.split_code_aware(T.fenced(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {T.FENCED}, {T.semantic('fenced', 80, 1200).replace("CASE WHEN s.n >= 3 AND (", "CASE WHEN s.n >= 1 AND (")}
+    SELECT doc_id AS doc, island::INT AS chunk, string_agg(text, ' ' ORDER BY pos) AS text, count(*)::INT AS n, bool_and(is_code) AS is_code, CASE WHEN bool_and(is_code) THEN arg_min(lang, pos) END AS code_language FROM isl GROUP BY doc_id, island""")
 def build_chunks(spark, d):
-    s = S.split_sentences(T.load(spark, d, "documents")).withColumnRenamed("doc_id", "doc")
-    return S.chunks(s, S.breakpoints(_sims(spark, d)))
+    """Sentences up to each breakpoint of their own vectors, before merging and halving."""
+    s = S.split_code_aware(T.fenced(spark, d))
+    return S.chunks(s, S.breakpoints(S.sentence_sims(s)))
 
 
 @query(f"""WITH RECURSIVE {T.SENTENCES}, fold AS (
@@ -129,6 +134,12 @@ def merge_small(spark, d):
     return rows.select("doc_id", F.size("m").alias("pieces"), F.md5(F.array_join("m", "|")).alias("digest"))
 
 
+@query(f"WITH RECURSIVE {T.FENCED}, {T.semantic('fenced', 80, 1200)} SELECT doc_id, chunk_index::INT AS chunk_index, text, is_code, code_language FROM semantic")
+def semantic_chunks(spark, d):
+    """Text to chunks in one operator, fenced code kept whole."""
+    return C.semantic_chunks(T.fenced(spark, d), ["doc_id"]).drop("chunker")
+
+
 @query("SELECT doc_id, i::INT AS i, substr(text, i * 400 + 1, 400) AS piece FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, (length(text) - 1) // 400))) AS i FROM documents)")
 def hard_slice(spark, d):
     return T.load(spark, d, "documents").select("doc_id", F.posexplode(S.hard_slices(F.col("text"), 400)).alias("i", "piece"))
@@ -149,22 +160,37 @@ def heading_split(spark, d):
     return rows.select("source", F.size("s").alias("sections"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query(f"""WITH RECURSIVE {_SECTIONS}, fold AS (
+_PARENTS = f"""{_SECTIONS}, pfold AS (
       SELECT source, s, 1 AS i, [s[1]] AS acc FROM sec
-      UNION ALL SELECT source, s, i + 1, CASE WHEN length(acc[-1]) < 500 THEN list_append(acc[1:len(acc) - 1], acc[-1] || chr(10) || chr(10) || s[i + 1]) ELSE list_append(acc, s[i + 1]) END FROM fold WHERE i < len(s)),
-    sized AS (SELECT source, flatten(list_transform(acc, lambda t: list_transform(generate_series(0, greatest(0, (length(t) - 1) // 2500)), lambda k: substr(t, k * 2500 + 1, 2500)))) AS p FROM fold WHERE i = len(s)),
-    par AS (SELECT source, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS parent_index FROM sized),
-    pid AS (SELECT *, regexp_replace(replace(source, '/', '_'), '\\.[^._]+$', '') AS stem FROM par),
-    kid AS (SELECT stem, source, parent_index, text, unnest(generate_series(0, greatest(0, (length(text) - 1) // 400))) AS child_index FROM pid)
-    SELECT stem || '_child_' || parent_index || '_' || child_index AS child_id, stem || '_parent_' || parent_index AS parent_id, parent_index::INT AS parent_index, child_index::INT AS child_index,
-        (greatest(0, (length(text) - 1) // 400) + 1)::INT AS child_count, source, substr(text, child_index * 400 + 1, 400) AS text FROM kid""")
+      UNION ALL SELECT source, s, i + 1, CASE WHEN length(acc[-1]) < 500 THEN list_append(acc[1:len(acc) - 1], acc[-1] || chr(10) || chr(10) || s[i + 1]) ELSE list_append(acc, s[i + 1]) END FROM pfold WHERE i < len(s)),
+    par AS (SELECT source, regexp_replace(replace(source, '/', '_'), '\\.[^._]+$', '') AS stem, unnest(acc) AS text, generate_subscripts(acc, 1) - 1 AS parent_index FROM pfold WHERE i = len(s)),
+    sections AS (SELECT stem || '_parent_' || parent_index AS doc_id, text FROM par)"""
+
+
+@query(f"""WITH RECURSIVE {_PARENTS}, {T.semantic('sections', 80, 400)}
+    SELECT stem || '_child_' || parent_index || '_' || chunk_index AS child_id, doc_id AS parent_id, parent_index::INT AS parent_index, chunk_index::INT AS child_index, source, c.text, is_code, code_language
+    FROM semantic c JOIN par ON doc_id = stem || '_parent_' || parent_index""")
 def parent_child(spark, d):
-    return S.children(S.parents(T.markdown(spark, d))).select("child_id", "parent_id", "parent_index", "child_index", "child_count", "source", "text")
+    return C.children(C.parents(T.markdown(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {_PARENTS}, {T.semantic('sections', 80, 400)}, n AS (SELECT doc_id, count(*)::INT AS child_count FROM semantic GROUP BY 1)
+    SELECT doc_id AS parent_id, source, parent_index::INT AS parent_index, md5(text) AS digest, coalesce(child_count, 0) AS child_count,
+        (starts_with(text, '```') AND ends_with(text, '```') AND len(string_split(text, '```')) = 3) AS is_code FROM par LEFT JOIN n ON doc_id = stem || '_parent_' || parent_index""".replace("SELECT doc_id AS parent_id, source", "SELECT stem || '_parent_' || parent_index AS parent_id, source"))
+def parent_table(spark, d):
+    p = C.parents(T.markdown(spark, d))
+    return C.with_child_count(p, C.children(p)).select("parent_id", "source", "parent_index", F.md5("text").alias("digest"), "child_count", "is_code")
 
 
-@query("""SELECT doc_id, doc_id % 2 = 0 AS whole_code FROM documents""")
+@query("""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '```py' || chr(10) || text || chr(10) || '```' WHEN 1 THEN 'see ```py' || chr(10) || text || chr(10) || '```'
+      WHEN 2 THEN ' ```' || chr(10) || text || chr(10) || '``` ' ELSE '```a' || chr(10) || text || '```' || text || '```b' || chr(10) || '```' END AS t FROM documents)
+    SELECT doc_id, t LIKE '%```' AND t LIKE '```%' AND len(t) - len(replace(t, '```', '')) = 6 AS whole_code FROM (SELECT doc_id, trim(t) AS t FROM s)""")
 def parent_is_code(spark, d):
-    shown = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```py\n"), F.md5("text"), F.lit("\n```"))).otherwise(F.concat(F.lit("see ```py\n"), F.md5("text"), F.lit("\n```")))
+    k, t, nl, mark = F.col("doc_id") % 4, F.col("text"), F.lit("\n"), F.lit("```")
+    shown = (
+        F.when(k == 0, F.concat(F.lit("```py\n"), t, nl, mark)).when(k == 1, F.concat(F.lit("see ```py\n"), t, nl, mark))
+        .when(k == 2, F.concat(F.lit(" ```\n"), t, nl, F.lit("``` "))).otherwise(F.concat(F.lit("```a\n"), t, mark, t, F.lit("```b\n```")))
+    )
     return T.load(spark, d, "documents").select("doc_id", S.is_code_only(shown).alias("whole_code"))
 
 
