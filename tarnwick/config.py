@@ -43,8 +43,12 @@ class Settings:
     kg_hops: int = 2
     kg_max_triples: int = 30
     metrics_history: int = 200
+    rerank_cache: int = 10_000
     history_turns: int = 3
     history_budget: int = 400
+    prompt_tokens: int = 32000
+    output_tokens: int = 2048
+    token_margin: int = 500
     judge_context_chars: int = 2000
     judge_answer_chars: int = 800
     bm25_k1: float = 1.5
@@ -53,6 +57,14 @@ class Settings:
     vector_dims: int = 64
 
 
+def required(names: tuple[str, ...]) -> dict[str, str]:
+    """The values of environment variables that must be there, such as the keys of a caller's models."""
+    missing = [n for n in names if not os.environ.get(n)]
+    if missing:
+        raise ValueError("not set: " + ", ".join(missing))
+    return {n: os.environ[n] for n in names}
+
+
 def from_environment(prefix: str = "TARNWICK_", base: Settings = Settings()) -> Settings:  # noqa: B008
     """Settings with typed overrides from environment variables; a value that does not parse raises."""
     given = {f.name: type(getattr(base, f.name))(os.environ[prefix + f.name.upper()]) for f in fields(base) if prefix + f.name.upper() in os.environ}

@@ -152,8 +152,17 @@ def chunk_id(path: Column, index: Column) -> Column:
     return F.concat_ws("_", F.regexp_replace(F.translate(path, "/", "_"), r"(?<=.)\.[^._]+$", ""), index.cast("string"))
 
 
-def evidence(source: Column, channels: Column, scores: Column, score_type: Column, score: Column, text: Column) -> Column:
-    """A context as header lines, the channels' scores in name order, and its text."""
+#: Metadata that the lines of an evidence show already, or that is not for a reader.
+SHOWN = ("source", "channel_metadata", "score_type", "raw_rerank_logit", "scope", "is_global_summary_block")
+
+
+def evidence(source: Column, channels: Column, scores: Column, score_type: Column, score: Column, text: Column, logit: Column | None = None, metadata: Column | None = None) -> Column:
+    """A context as header lines, the channels' scores in name order, the reranker's logit and what else its metadata
+    (map of texts, in order) tells, and its text."""
+    logit = F.lit(None).cast("double") if logit is None else logit
+    rest = F.filter(F.map_entries(metadata), lambda e: ~e["key"].isin(*SHOWN)) if metadata is not None else F.array().cast("array<struct<key:string,value:string>>")
+    shown = lambda v: F.when(v.rlike(r"^(-?\d+(\.\d+)?|True|False|None)$"), v).otherwise(F.concat(F.lit("'"), v, F.lit("'")))
+    residual = F.array_join(F.transform(rest, lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), shown(e["value"]))), ", ")
     four = lambda x: F.format_string("%.4f", x)
     chain = F.array_join(F.transform(F.array_sort(F.map_entries(scores)), lambda e: F.concat(e["key"], F.lit("="), four(e["value"]))), ", ")
     return F.concat_ws(
@@ -162,5 +171,7 @@ def evidence(source: Column, channels: Column, scores: Column, score_type: Colum
         F.when(F.size(channels) > 0, F.concat(F.lit("[通道: "), F.array_join(channels, ", "), F.lit("]"))),
         F.when(F.size(scores) > 0, F.concat(F.lit("[raw_scores: "), chain, F.lit("]"))),
         F.when(score.isNotNull(), F.concat(F.lit("["), F.coalesce(score_type, F.lit("fused_score")), F.lit(": "), four(score), F.lit("]"))),
+        F.when(logit.isNotNull(), F.concat(F.lit("[raw_rerank_logit: "), four(logit), F.lit("]"))),
+        F.when(F.size(rest) > 0, F.concat(F.lit("[metadata: {"), residual, F.lit("}]"))),
         F.coalesce(text, F.lit("")),
     )

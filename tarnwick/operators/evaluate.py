@@ -78,7 +78,7 @@ def evaluate(spark: SparkSession, sf_dir: str, channels: dict[str, DataFrame] |
 
 
 def ablate(spark: SparkSession, sf_dir: str, experiments) -> DataFrame:
-    """(ordinal, experiment, num_cases, avg_contexts, avg_coverage), in the order of definition.
+    """(ordinal, experiment, num_cases, avg_contexts, avg_coverage, error), in the order of definition.
 
     The channels are searched once and kept (ten rows a query); experiments whose switches come to one plan share it.
     """
@@ -92,10 +92,23 @@ def ablate(spark: SparkSession, sf_dir: str, experiments) -> DataFrame:
         plan = effective(experiment)
         if plan not in known:
             mode, rerank, kg, parents = plan
-            run = evaluate(spark, sf_dir, channels, mode=mode, use_rerank=rerank, use_kg=kg, use_parents=parents)
-            one = run.agg(F.count("*").alias("n"), average(F.col("contexts")).alias("contexts"), average(F.col("coverage")).alias("coverage")).first()  # one row a configuration
-            known[plan] = one["n"], one["contexts"], one["coverage"]
+            try:
+                run = evaluate(spark, sf_dir, channels, mode=mode, use_rerank=rerank, use_kg=kg, use_parents=parents)
+                one = run.agg(F.count("*").alias("n"), average(F.col("contexts")).alias("contexts"), average(F.col("coverage").cast("decimal(18,6)")).cast("double").alias("coverage")).first()  # one row a configuration
+                known[plan] = one["n"], one["contexts"], one["coverage"], None
+            except Exception as e:  # one that fails is a row with its error; the others go on
+                known[plan] = 0, 0.0, 0.0, (str(e) or type(e).__name__)[:500]
         rows.append((i, experiment[0], *known[plan]))
     for c in channels.values():
         c.unpersist()
-    return spark.createDataFrame(rows, "ordinal int, experiment string, num_cases long, avg_contexts double, avg_coverage double")
+    return spark.createDataFrame(rows, "ordinal int, experiment string, num_cases long, avg_contexts double, avg_coverage double, error string")
+
+def comparison(results: DataFrame) -> DataFrame:
+    """(experiment, line) of results (experiment, relevance, faithfulness, error): fixed-width lines, the best relevance
+    above zero marked; an experiment that failed counts as zero and shows its error."""
+    counted = results.withColumn("relevance", F.when(F.col("error").isNull(), F.col("relevance")).otherwise(F.lit(0.0))).withColumn("faithfulness", F.when(F.col("error").isNull(), F.col("faithfulness")).otherwise(F.lit(0.0)))
+    top = counted.agg(F.max("relevance").alias("top"))  # one row
+    rows = counted.join(F.broadcast(top), F.col("relevance") == F.col("top"), "left")
+    mark = F.when(F.col("top").isNotNull() & (F.col("relevance") > 0), " ★").otherwise("")
+    line = F.concat(F.format_string("%-40s %8.4f %10.4f", "experiment", F.col("relevance").cast("double"), F.col("faithfulness").cast("double")), mark)
+    return rows.select("experiment", F.when(F.col("error").isNotNull(), F.concat(F.format_string("%-40s", "experiment"), F.lit(" [ERROR] "), F.col("error"))).otherwise(line).alias("line"))

@@ -52,27 +52,44 @@ def hops(triples: DataFrame, seeds: DataFrame, count: int = DEFAULTS.kg_hops, mo
 
     Each hop follows out-edges, then in-edges, of the entities reached last and not visited before; every traversed
     edge votes for its chunk, a triple is kept once.  The order (hop, entity, out before in, seq) makes the cap definite.
+
+    The traversal stops with the edge that fills the subgraph, so of every (entity, way) only its first edges can be
+    walked: an entity's edges of one way hold no more than ``most`` distinct triples before the stop, and a repeated
+    triple stands next to its like.  Edges are cut to those first of each entity once, for all queries, and a query's
+    walk is cut to the stop at each hop before the next one joins; no step holds a hub's edges for every query.
     """
     e = edges(triples)
+    both = e.withColumn("entity", F.col("head")).withColumn("way", F.lit(0)).unionByName(e.withColumn("entity", F.col("tail")).withColumn("way", F.lit(1)))
+    key = ("entity", "way")
+    # The place of a triple among an entity's distinct ones is that of its first edge; edges up to place ``most`` stay.
+    first = both.groupBy(*key, "head", "relation", "tail").agg(F.min("seq").alias("first"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("first"))
+    last = first.withColumn("n", place).where(F.col("n") <= most).groupBy(*key).agg(F.max("first").alias("until"), F.max("n").alias("n"))
+    near = both.join(last, list(key)).where((F.col("n") < most) | (F.col("seq") <= F.col("until"))).drop("until", "n")
+    at = F.struct("hop", "entity", "way", "seq")
     front, walked, visited = seeds.distinct(), None, seeds.distinct()
     for hop in range(count):
-        out = front.join(e, front["entity"] == e["head"]).select("query_id", F.lit(hop).alias("hop"), "entity", F.lit(0).alias("way"), *e.columns)
-        into = front.join(e, front["entity"] == e["tail"]).select("query_id", F.lit(hop).alias("hop"), "entity", F.lit(1).alias("way"), *e.columns)
-        step = out.unionByName(into)
-        walked = step if walked is None else walked.unionByName(step)
+        step = front.join(near, "entity").select("query_id", F.lit(hop).alias("hop"), "entity", "way", *e.columns)
+        walked = _until_full(step if walked is None else walked.unionByName(step), at, most)
         if hop + 1 < count:
-            front = step.select("query_id", F.when(F.col("way") == 0, F.col("tail")).otherwise(F.col("head")).alias("entity")).distinct().join(visited, ["query_id", "entity"], "left_anti")
+            reached = walked.where(F.col("hop") == hop).select("query_id", F.when(F.col("way") == 0, F.col("tail")).otherwise(F.col("head")).alias("entity")).distinct()
+            # What is reached past the stop is not walked from, as the walk is over then.
+            front = reached.join(visited, ["query_id", "entity"], "left_anti")
             visited = visited.unionByName(front)
-    at = F.struct("hop", "entity", "way", "seq")
     kept = walked.groupBy("query_id", "head", "relation", "tail").agg(F.min(at).alias("at"), F.min_by("chunk_id", at).alias("chunk_id"))
     kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).where(F.col("n") <= most)
-    last = kept.groupBy("query_id").agg(F.max("n").alias("n"), F.max("at").alias("last"))
-    # Traversal stops with the edge that fills the subgraph.
-    counted = walked.join(last, "query_id").where((F.col("n") < most) | (at <= F.col("last")))
-    votes = counted.groupBy("query_id", "chunk_id").agg(F.count("*").alias("votes"))
+    votes = walked.groupBy("query_id", "chunk_id").agg(F.count("*").alias("votes"))
     return kept.select("query_id", F.col("at.hop").alias("hop"), "head", "relation", "tail", "chunk_id", "n"), votes
 
 
+def _until_full(walked: DataFrame, at: Column, most: int) -> DataFrame:
+    """The walk of each query up to the edge that makes its ``most``-th distinct triple, or all of it."""
+    once = walked.groupBy("query_id", "head", "relation", "tail").agg(F.min(at).alias("at"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
+    full = once.withColumn("n", place).where(F.col("n") == most).select("query_id", F.col("at").alias("stop"))
+    return walked.join(full, "query_id", "left").where(F.col("stop").isNull() | (at <= F.col("stop"))).drop("stop")
+
+
 def central(triples: DataFrame, top: int = 5, most: int = 50) -> DataFrame:
     """Triples around the ``top`` entities of highest degree, out-edges before in-edges, each once, at most ``most``."""
     best = degrees(triples).orderBy(F.desc("degree"), "entity").limit(top)
@@ -86,6 +103,15 @@ def central(triples: DataFrame, top: int = 5, most: int = 50) -> DataFrame:
     return first.withColumn("n", F.row_number().over(Window.orderBy("at"))).select("n", "head", "relation", "tail", "chunk_id")  # ``most`` rows
 
 
+def refresh(spark, path: str, *stale: DataFrame) -> DataFrame:
+    """The edges of a triple store as it is now; what was kept of it before (edges, entity vectors) is let go."""
+    from ..sources.collection import read_triples
+
+    for table in stale:
+        table.unpersist()
+    return edges(read_triples(spark, path))
+
+
 def candidate_score(rank: Column, k: int = DEFAULTS.kg_top_k) -> Column:
     """Score of the graph channel at a rank counted from 0."""
     return F.round(F.lit(DEFAULTS.kg_score_base) + F.greatest(F.lit(k) - rank, F.lit(0)) / F.lit(max(k, 1)) * 0.1, 6)

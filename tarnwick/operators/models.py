@@ -22,8 +22,10 @@ TRIES = 3
 #: Texts handed to an embedder or a text model at a time.
 BATCH = 64
 
+#: What follows the reasoning of a reply that has no content.
+FOLLOW = '\n\nFrom this reasoning, return only JSON: a list, or {"triples": [...]}, of objects with head, relation and tail.'
+
 _ITEM = "array<struct<head:string,h:string,entity1:string,relation:string,rel:string,predicate:string,tail:string,t:string,entity2:string>>"
-_ALIGN = "struct<should_expand:boolean,confidence:double,expansions:array<string>>"
 _SCORES = ("retrieval_relevance", "faithfulness", "completeness")
 
 
@@ -85,13 +87,18 @@ def extract_triples(chunks: DataFrame, model: Batch, prompt: Callable[[Column],
     """(seq, head, relation, tail, source, chunk_id) from chunks (chunk_id, source, text, is_code).
 
     Code chunks are not asked about.  A reply may be a list or an object with ``triples``; one that fails or does not
-    parse gives no triples.
+    parse gives no triples.  A reply of the form ``{"content": "", "reasoning": ...}`` is followed by a request for the
+    JSON alone, from its reasoning.
     """
     prose = chunks.where(~F.coalesce("is_code", F.lit(False)))
-    replies = ask(prose.select("chunk_id", "source", "text"), prompt(F.col("text")), model, wait)
-    payload = X.json_payload(F.col("reply"))
+    first = ask(prose.select("chunk_id", "source", "text"), prompt(F.col("text")), model, wait).withColumnRenamed("reply", "__first").drop("error", "text")
+    whole = X.json_payload(F.col("__first"))
+    content, reasoning = F.try_variant_get(whole, "$.content", "string"), F.try_variant_get(whole, "$.reasoning", "string")
+    only = (F.coalesce(X.strip(content), F.lit("")) == "") & (F.coalesce(reasoning, F.lit("")) != "")
+    again = ask(first, F.when(only, F.concat(reasoning, F.lit(FOLLOW))), model, wait)
+    payload = X.json_payload(F.coalesce(F.col("reply"), F.when(~F.coalesce(only, F.lit(False)), F.col("__first"))))
     listed = F.coalesce(F.to_json(F.try_variant_get(payload, "$.triples", "variant")), F.to_json(payload))
-    items = replies.select("chunk_id", "source", F.posexplode(F.from_json(listed, _ITEM)).alias("seq", "i")).where("i is not null").select("seq", "chunk_id", "source", "i.*")
+    items = again.select("chunk_id", "source", F.posexplode(F.from_json(listed, _ITEM)).alias("seq", "i")).where("i is not null").select("seq", "chunk_id", "source", "i.*")
     return G.postprocess_triples(G.normalize_triples(items)).select("seq", "head", "relation", "tail", "source", "chunk_id")
 
 
@@ -113,17 +120,27 @@ def judge(cases: DataFrame, model: Batch, wait: float = 1.0) -> DataFrame:
 
 
 def align(queries: DataFrame, model: Batch, prompt: Callable[[Column], Column] = lambda q: q, wait: float = 1.0) -> DataFrame:
-    """``queries`` (query_id, query) with ``triggered``, ``fallback_reason`` (null where the alignment is used) and
-    ``search_query``.  Only queries that pass the gate reach the model."""
+    """``queries`` (query_id, query) with ``triggered``, ``fallback_reason`` (null where the alignment is used),
+    ``search_query`` and the whole result as ``alignment``.  Only queries that pass the gate reach the model, as
+    ``prompt`` (``understand.align_prompt``, say) words them.
+
+    A reply of the form ``{"content": ..., "reasoning": ...}`` without content is read from its reasoning.
+    """
     gate = X.align_gate(F.col("query"))
     got = ask(queries.withColumn("__gate", gate), F.when(gate == "gate_passed", prompt(F.col("query"))), model, wait)
-    parsed = F.from_json(F.to_json(X.json_payload(F.col("reply"))), _ALIGN)
-    got = got.withColumn("__p", parsed)
-    clean = U.sanitize_expansions(F.col("__p.expansions"), F.col("query"))
-    decided = U.align_decide(F.col("query"), F.col("__p.should_expand"), F.col("__p.confidence"), clean)
     passed = F.col("__gate") == "gate_passed"
-    early = F.when(~passed, F.col("__gate")).when(F.col("error") == "empty reply", "empty_response").when(F.col("error").isNotNull(), "llm_error").when(F.col("__p").isNull(), "invalid_payload")
-    return got.select(*queries.columns, passed.alias("triggered"), F.coalesce(early, decided["fallback_reason"]).alias("fallback_reason"), F.when(early.isNull(), decided["search_query"]).otherwise(F.col("query")).alias("search_query"))
+    whole = X.json_payload(F.col("reply"))
+    content, reasoning = F.try_variant_get(whole, "$.content", "string"), F.try_variant_get(whole, "$.reasoning", "string")
+    only = (F.coalesce(X.strip(content), F.lit("")) == "") & (F.coalesce(reasoning, F.lit("")) != "")
+    payload = F.when(only, X.json_payload(reasoning)).when(content.isNotNull(), X.json_payload(content)).otherwise(whole)
+    early = (
+        F.when(~passed, F.col("__gate")).when(F.col("error") == "empty reply", "empty_response").when(F.col("error").isNotNull(), "llm_error")
+        .when(only & F.col("__v").isNull(), "reasoning_only_no_json")
+        .when(F.col("__v").isNull() | ~F.schema_of_variant(F.col("__v")).startswith("OBJECT"), "invalid_payload")
+    )
+    got = got.withColumn("__v", payload)
+    done = got.withColumn("alignment", U.align_result(F.col("query"), F.col("__gate"), F.col("__v"), early))
+    return done.select(*queries.columns, passed.alias("triggered"), F.col("alignment.fallback_reason").alias("fallback_reason"), F.col("alignment.search_query").alias("search_query"), "alignment")
 
 
 def rewrite(queries: DataFrame, history: DataFrame, model: Batch, wait: float = 1.0) -> DataFrame:
@@ -184,3 +201,10 @@ def rerank(candidates: DataFrame, scorer: Callable[[list[tuple[str, str]]], list
         scored = scored.unionByName(cache.select("query", "id", "logit"))
     joined = cut.drop("logit", "score", "rank").join(scored, ["query", "id"])
     return ranked(joined.withColumn("score", F.round(1 / (1 + F.exp(-F.col("logit"))), 6)), "score", "id")
+
+def remember(cache: DataFrame, scored: DataFrame, at: int, most: int = DEFAULTS.rerank_cache) -> DataFrame:
+    """The cache (query, id, logit, used) after a request at time ``at`` used the pairs ``scored`` (query, id, logit):
+    the ``most`` pairs used last stay."""
+    fresh = scored.select("query", "id", "logit").dropDuplicates(["query", "id"]).withColumn("used", F.lit(at).cast("long"))
+    both = cache.join(fresh.select("query", "id"), ["query", "id"], "left_anti").select("query", "id", "logit", "used").unionByName(fresh)
+    return both.orderBy(F.desc("used"), "query", "id").limit(most)

@@ -160,8 +160,11 @@ def neighbors(seeds: DataFrame, notes: DataFrame, window: int = DEFAULTS.neighbo
 
 
 def rollup_parents(hits: DataFrame, most: int = DEFAULTS.max_parents) -> DataFrame:
-    """(query_id, parent_id, score, child_hit_count, rank) from child hits (query_id, parent_id, score)."""
-    best = hits.where("parent_id is not null").groupBy("query_id", "parent_id").agg(F.max("score").alias("score"), F.count("*").alias("child_hit_count"))
+    """(query_id, parent_id, score, child_hit_count, channels, rank) from child hits (query_id, parent_id, score, channels
+    as a comma-separated text, if any); a parent has its children's channels and ``parent_child``."""
+    named = F.split("channels", ",") if "channels" in hits.columns else F.array().cast("array<string>")
+    found = F.sort_array(F.array_distinct(F.flatten(F.collect_set(named))))
+    best = hits.where("parent_id is not null").groupBy("query_id", "parent_id").agg(F.max("score").alias("score"), F.count("*").alias("child_hit_count"), F.array_join(F.concat(found, F.array(F.lit("parent_child"))), ",").alias("channels"))
     return ranked(best, "score", "parent_id", most)
 
 

@@ -24,9 +24,14 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT count(*) AS n, round(coalesce(avg(value), 0), 4) AS avg_ms, round(coalesce(quantile_cont(value, 0.95), 0), 4) AS p95_ms FROM events")
+_STAGES = {"total": 1.0, "embed": 0.125, "search": 0.25, "align": 0.0625, "rerank": 0.1875, "generate": 0.375}
+
+
+@query("SELECT count(*) AS total_requests, " + ", ".join(f"round(coalesce(avg(value * {w}::DOUBLE), 0), 4) AS avg_{s}_ms" for s, w in _STAGES.items()) + ", round(coalesce(quantile_cont(value * 1.0::DOUBLE, 0.95), 0), 4) AS p95_total_ms FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 200)")
 def metrics_summary(spark, d):
-    return M.summary(T.load(spark, d, "events"))
+    """Over the requests that the bounded history keeps."""
+    kept = M.bounded(T.load(spark, d, "events"), "event_id")
+    return M.summary(kept.select(*[(F.col("value") * F.lit(w)).alias(f"{s}_ms") for s, w in _STAGES.items()]))
 
 
 @query("SELECT source, round(coalesce(avg(quality), 0), 4) AS quality, round(coalesce(avg(toxic), 0), 4) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
@@ -59,12 +64,14 @@ def best_marker(spark, d):
 @query(f"""WITH {T.TRIPLES}, c AS (SELECT chunk_id, count(*) AS n FROM triples GROUP BY 1), e AS (SELECT entity, count(*) AS n FROM (SELECT head AS entity FROM triples UNION ALL SELECT tail FROM triples) GROUP BY 1)
     SELECT (SELECT count(*) FROM triples) AS total_triples, (SELECT count(*) FROM c) AS unique_chunks, (SELECT round(avg(n), 6) FROM c) AS avg_per_chunk, (SELECT round(median(n), 6) FROM c) AS median_per_chunk,
     count(*) AS unique_entities, min(length(entity)) AS len_min, max(length(entity)) AS len_max, round(avg(length(entity)), 6) AS len_mean, count(*) FILTER (WHERE n = 1) AS singletons,
-    count(*) FILTER (WHERE regexp_matches(entity, '[^0-9A-Za-z_]')) AS non_alnum FROM e""")
+    round(count(*) FILTER (WHERE n = 1) / count(*), 6) AS singletons_pct, count(*) FILTER (WHERE regexp_matches(entity, '[^0-9A-Za-z_]')) AS non_alnum, round(count(*) FILTER (WHERE regexp_matches(entity, '[^0-9A-Za-z_]')) / count(*), 6) AS non_alnum_pct FROM e""")
 def kg_stats(spark, d):
     t = T.triples(spark, d)
     c = t.groupBy("chunk_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total_triples"), F.count("*").alias("unique_chunks"), F.round(F.avg("n"), 6).alias("avg_per_chunk"), F.round(F.expr("percentile(n, 0.5)"), 6).alias("median_per_chunk"))
     size = F.length("entity")
     e = G.degrees(t).agg(F.count("*").alias("unique_entities"), F.min(size).alias("len_min"), F.max(size).alias("len_max"), F.round(F.avg(size), 6).alias("len_mean"), F.count_if(F.col("degree") == 1).alias("singletons"), F.count_if(F.col("entity").rlike(r"(?U)[^\w\x{4e00}-\x{9fff}]")).alias("non_alnum"))
+    share = lambda n: F.round(F.coalesce(F.try_divide(n, "unique_entities"), F.lit(0.0)), 6).alias(f"{n}_pct")
+    e = e.select("*", share("singletons"), share("non_alnum"))
     return c.withColumn("k", F.lit(1)).join(e.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
 
 
@@ -95,9 +102,25 @@ def examples_per_group(spark, d):
     return M.first_per_group(_outcomes(spark, d).where("outcome <> 'success'"), "outcome", "event_id").select("outcome", "event_id", "n")
 
 
-@query("SELECT source, max(n_chars)::DOUBLE AS score, min(doc_id) AS first_pos FROM documents GROUP BY 1")
+_CONTEXTS = """c AS (SELECT doc_id AS pos, lang, source, CASE doc_id % 4 WHEN 0 THEN [source, ' ' || lang || ' ', ''] WHEN 1 THEN [] END AS sources, CASE WHEN doc_id % 3 > 0 THEN 'kind' || doc_id % 3 END AS score_type, CASE WHEN doc_id % 5 > 0 THEN (n_chars % 50)::DOUBLE END AS score FROM documents),
+    n AS (SELECT pos, coalesce(score, 0) AS score, coalesce(score_type, 'unknown') AS score_type, unnest(CASE WHEN len(sources) > 0 THEN sources ELSE [source] END) AS name, generate_subscripts(CASE WHEN len(sources) > 0 THEN sources ELSE [source] END, 1) AS spot FROM c),
+    b AS (SELECT trim(name) AS source, first(score_type ORDER BY score DESC, pos, spot) AS score_type, max(score) AS score, min(pos) AS first_pos FROM n WHERE trim(name) <> '' GROUP BY 1)"""
+
+
+def _contexts(spark, d):
+    k = F.col("doc_id")
+    sources = F.when(k % 4 == 0, F.array(F.col("source"), F.concat(F.lit(" "), F.col("lang"), F.lit(" ")), F.lit(""))).when(k % 4 == 1, F.array().cast("array<string>"))
+    return T.load(spark, d, "documents").select(k.alias("pos"), "source", sources.alias("sources"), F.when(k % 3 > 0, F.concat(F.lit("kind"), (k % 3).cast("string"))).alias("score_type"), F.when(k % 5 > 0, (F.col("n_chars") % 50).cast("double")).alias("score"))
+
+
+@query(f"WITH {_CONTEXTS} SELECT source, score_type, score, first_pos FROM b")
 def source_block(spark, d):
-    return M.source_block(T.load(spark, d, "documents").select("source", F.col("n_chars").cast("double").alias("score"), F.col("doc_id").alias("pos")))
+    return M.source_block(_contexts(spark, d)).drop("first_at")
+
+
+@query(f"""WITH {_CONTEXTS.replace('min(pos) AS first_pos', 'min(pos * 10 + spot) AS first_pos')} SELECT '---' || chr(10) || '📎 **参考来源**' || chr(10) || string_agg('- ' || source || ' <span style="color:#6c7086;font-size:0.82em">[' || score_type || '] ' || format('{{:.4f}}', score) || '</span>', chr(10) ORDER BY first_pos) AS text FROM b""")
+def source_lines(spark, d):
+    return M.source_text(M.source_block(_contexts(spark, d)))
 
 
 @query("WITH s AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, round(n / (SELECT max(n) FROM s), 6) AS share FROM s")

@@ -10,6 +10,9 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from . import tables as T
 
+#: Fixed value: what stands before the central structure.
+MACRO = "以下是整个知识库的宏观核心知识结构（核心实体关系）：\n"
+
 
 def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     docs = R.dense(R.hashed_terms(T.texts(spark, sf_dir), "doc_id"))
@@ -43,6 +46,34 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(vector_channel(spark, sf_dir), keyword_channel(spark, sf_dir))
 
 
+def global_contexts(spark: SparkSession, triples: DataFrame | None, texts: DataFrame, sources: int = 3, summarise=None, wait: float = 1.0) -> DataFrame:
+    """(id, text, source, score_type, score): the graph's central structure as one text, and the ``sources`` chunks
+    (chunk_id, text, source) it stands on most.  Without a graph, one row that says so.  ``summarise``, a batch
+    function from texts to texts, turns all of it into one row; where it fails, the rows stay."""
+    kind = "id string, text string, source string, score_type string, score double"
+    if triples is None:
+        return spark.createDataFrame([("global_fallback", "An overview of everything needs the knowledge graph; only local retrieval is on.", "system", None, 1.0)], kind)
+    kept = G.central(triples)
+    macro = G.as_lines(kept).where("text <> ''").select(F.lit("global_kg_macro").alias("id"), F.concat(F.lit(MACRO), F.col("text")).alias("text"), F.lit("Knowledge Graph Macro").alias("source"), F.lit("kg_centrality").alias("score_type"), F.lit(1.0).alias("score"))
+    best = kept.groupBy("chunk_id").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "chunk_id").limit(sources)
+    found = texts.join(F.broadcast(best), "chunk_id").select(F.col("chunk_id").alias("id"), "text", "source", F.lit(None).cast("string").alias("score_type"), F.lit(0.9).alias("score"))
+    rows = macro.unionByName(found)
+    if summarise is None:
+        return rows
+    from ..operators import models as M
+
+    told = rows.agg(F.array_sort(F.collect_list(F.struct(-F.col("score"), "id", "source", "text"))).alias("c"))  # ``sources`` rows and one
+    asked = M.ask(told, F.when(F.size("c") > 0, F.array_join(F.transform("c", lambda c: F.concat(F.lit("[来源: "), c["source"], F.lit("]\n"), c["text"])), "\n\n---\n\n")), summarise, wait)
+    done = asked.where("error is null and trim(reply) <> ''").first()  # one row
+    return rows if done is None else spark.createDataFrame([("global_summary", done["reply"], "global_summary", "derived_context_max_score", 1.0)], kind)
+
+
+def children_instead(base: DataFrame, parents: DataFrame, notes: DataFrame) -> DataFrame:
+    """The best children themselves, for queries of which no parent was found."""
+    alone = base.where(F.col("rank") <= DEFAULTS.final_k).join(parents.select("query_id"), "query_id", "left_anti").join(notes.select("id", "source", "chunk_index"), "id", "left")
+    return alone.select("query_id", F.col("rank").alias("ctx_pos"), F.col("id").cast("string").alias("id"), "source", "chunk_index", F.lit("child").alias("kind"), "score")
+
+
 def retrieve(
     spark: SparkSession, sf_dir: str, mode: str = "hybrid", use_kg: bool = True, use_rerank: bool = True, use_parents: bool = False,
     asked: DataFrame | None = None, channels: dict[str, DataFrame] | None = None,
@@ -70,7 +101,8 @@ def retrieve(
         if use_rerank:  # all rolled-up parents are rescored before the cut
             rows = R.rerank_parents(rows, notes.withColumn("parent_id", F.concat("source", F.lit("#p"))), asked)
         rows = rows.where(F.col("rank") <= DEFAULTS.final_k)
-        return rows.select("query_id", F.col("rank").alias("ctx_pos"), F.col("parent_id").alias("id"), F.regexp_replace("parent_id", "#p$", "").alias("source"), F.lit(0).alias("chunk_index"), F.lit("parent").alias("kind"), "score")
+        out = rows.select("query_id", F.col("rank").alias("ctx_pos"), F.col("parent_id").alias("id"), F.regexp_replace("parent_id", "#p$", "").alias("source"), F.lit(0).alias("chunk_index"), F.lit("parent").alias("kind"), "score")
+        return out.unionByName(children_instead(base, out, notes))
     seeds = base.where(F.col("rank") <= DEFAULTS.final_k).join(notes, "id")
     if use_rerank:
         seeds = R.rerank(seeds.join(asked, "query_id"))
@@ -79,3 +111,23 @@ def retrieve(
     place = F.lit(1000) + F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     every = seeds.select("query_id", "id", "source", "chunk_index", "score", F.lit("seed").alias("kind"), F.col("rank").alias("pos")).unionByName(near.select("query_id", "id", "source", "chunk_index", "score", F.lit("neighbor").alias("kind"), place.alias("pos")))
     return R.order_contexts(every).select("query_id", "ctx_pos", F.col("id").cast("string").alias("id"), "source", "chunk_index", "kind", "score")
+
+def retrieve_with_trace(spark: SparkSession, sf_dir: str, mode: str = "hybrid", use_kg: bool = True, use_rerank: bool = True, use_parents: bool = False, asked: DataFrame | None = None, times: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, contexts, trace): a request's contexts in order, with how they were come by.  ``times`` are stage
+    milliseconds that the caller took with ``metrics.Timer``; a request without contexts has an empty list."""
+    from ..operators.answer import trace
+
+    asked = T.questions(spark, sf_dir) if asked is None else asked
+    rows = retrieve(spark, sf_dir, mode, use_kg, use_rerank, use_parents, asked)
+    fields = ("ctx_pos", "id", "source", "chunk_index", "kind", "score")
+    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("contexts"))  # a request's few contexts
+    every = asked.select("query_id", "query").join(listed, "query_id", "left")
+    none = F.filter(F.array(F.struct(*[F.lit(None).cast(rows.schema[f].dataType).alias(f) for f in fields])), lambda c: F.lit(False))
+    every = every.withColumn("contexts", F.coalesce("contexts", none))
+    kinds = F.transform("contexts", lambda c: c["kind"])
+    parents = F.size(F.filter(kinds, lambda k: k == "parent"))
+    told = trace(
+        route_decision=F.lit("local"), mode=F.lit(mode), original_query=F.col("query"), rerank_active=F.lit(use_rerank) & (F.size("contexts") > 0),
+        parent_child_active=F.lit(use_parents) & (parents > 0), parent_child_unique_parents=parents, **{k: F.lit(float(v)) for k, v in (times or {}).items()},
+    )
+    return every.select("query_id", "contexts", told.alias("trace"))

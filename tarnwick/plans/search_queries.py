@@ -232,12 +232,12 @@ def context_concat(spark, d):
     return a.select("query_id", "id", F.lit("first").alias("part"), F.col("rank").alias("pos")).unionByName(b.select("query_id", "id", F.lit("then").alias("part"), (F.lit(100) + F.col("rank")).alias("pos")))
 
 
-_HITS = f"{_HYBRID}, {T.NOTES}, hits AS (SELECT query_id, source || '#p' AS parent_id, score FROM hy JOIN notes USING (id))"
+_HITS = f"{_HYBRID}, {T.NOTES}, hits AS (SELECT query_id, source || '#p' AS parent_id, score, channels FROM hy JOIN notes USING (id))"
 
 
-@query(f"WITH {_HITS} SELECT query_id, parent_id, max(score) AS score, count(*) AS child_hit_count, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, parent_id)::INT AS rank FROM hits GROUP BY 1, 2 QUALIFY rank <= 5")
+@query(f"WITH {_HITS} SELECT query_id, parent_id, max(score) AS score, count(*) AS child_hit_count, array_to_string(list_sort(list_distinct(flatten(list(string_split(channels, ','))))), ',') || ',parent_child' AS channels, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, parent_id)::INT AS rank FROM hits GROUP BY 1, 2 QUALIFY rank <= 5")
 def parent_rollup(spark, d):
-    hits = P.hybrid(spark, d).join(T.notes(spark, d), "id").select("query_id", F.concat("source", F.lit("#p")).alias("parent_id"), "score")
+    hits = P.hybrid(spark, d).join(T.notes(spark, d), "id").select("query_id", F.concat("source", F.lit("#p")).alias("parent_id"), "score", "channels")
     return R.rollup_parents(hits)
 
 
@@ -346,7 +346,7 @@ _FIRST = ("hybrid", True, True, False)
 
 
 @query(_evaluation_sql(_PLANS) + " ".join(
-    f"{'UNION ALL' if i else ''} SELECT {i}::INT AS ordinal, '{e[0]}' AS experiment, count(*) AS num_cases, round(coalesce(avg(contexts), 0), 4) AS avg_contexts, round(coalesce(avg(coverage), 0), 4) AS avg_coverage FROM ev_{_PLANS.index(effective(e))}"
+    f"{'UNION ALL' if i else ''} SELECT {i}::INT AS ordinal, '{e[0]}' AS experiment, count(*) AS num_cases, round(coalesce(avg(contexts), 0), 4) AS avg_contexts, round(coalesce(avg(coverage::DECIMAL(18, 6)), 0), 4) AS avg_coverage, CAST(NULL AS VARCHAR) AS error FROM ev_{_PLANS.index(effective(e))}"
     for i, e in enumerate(EXPERIMENTS)
 ))
 def ablation(spark, d):
@@ -420,13 +420,13 @@ def subgraph_text(spark, d):
 
 
 @query(f"""WITH {_CENTRAL}, v AS (SELECT chunk_id, count(*) AS votes FROM cen GROUP BY 1), best AS (SELECT chunk_id FROM v ORDER BY votes DESC, chunk_id LIMIT 3)
-    SELECT 'global_kg_macro' AS id, (SELECT string_agg('(' || head || ') -[' || relation || ']-> (' || tail || ')', chr(10) ORDER BY n) FROM cen) AS text, 1.0::DOUBLE AS score
-    UNION ALL SELECT chunk_id, d.text, 0.9::DOUBLE FROM best JOIN documents d ON d.doc_id = regexp_extract(chunk_id, '(\\d+)$', 1)::BIGINT""")
+    SELECT 'global_kg_macro' AS id, '以下是整个知识库的宏观核心知识结构（核心实体关系）：' || chr(10) || (SELECT string_agg('(' || head || ') -[' || relation || ']-> (' || tail || ')', chr(10) ORDER BY n) FROM cen) AS text, 'Knowledge Graph Macro' AS source, 'kg_centrality' AS score_type, 1.0::DOUBLE AS score
+    UNION ALL SELECT chunk_id, d.text, d.source, NULL, 0.9::DOUBLE FROM best JOIN documents d ON d.doc_id = regexp_extract(chunk_id, '(\\d+)$', 1)::BIGINT""")
 def global_retrieve(spark, d):
-    kept = G.central(T.triples(spark, d))
-    best = kept.groupBy("chunk_id").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "chunk_id").limit(3).withColumn("doc_id", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long"))
-    texts = T.load(spark, d, "documents").join(F.broadcast(best), "doc_id").select(F.col("chunk_id").alias("id"), "text", F.lit(0.9).alias("score"))
-    return G.as_lines(kept).select(F.lit("global_kg_macro").alias("id"), "text", F.lit(1.0).alias("score")).unionByName(texts)
+    # The derived triples' chunks stand for documents, as in the graph channel.
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("customer", "nation", "supplier")])).alias("kind")
+    texts = T.load(spark, d, "documents").select(kinds, "doc_id", "text", "source").select(F.concat_ws("_", "kind", "doc_id").alias("chunk_id"), "text", "source")
+    return P.global_contexts(spark, T.triples(spark, d), texts)
 
 
 _DOUBLE = f"{T.TRIPLES}, twice AS (SELECT 0 AS origin, * FROM triples UNION ALL SELECT 1, seq, upper(head) || ' ', relation, tail, source, chunk_id FROM triples WHERE seq % 2 = 0)"

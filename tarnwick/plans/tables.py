@@ -11,10 +11,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` for work on every word.  A table read in fewer splits than there are cores (one small file, say) is
-    dealt out first; a large one is scanned in many splits and gets no exchange."""
+    """``documents`` for work on every word.  A table of fewer bytes than would give each core a split is dealt out
+    first; a large one is scanned in many splits and gets no exchange."""
     d, cores = load(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    split = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return d.repartition(cores) if size < cores * split else d
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +91,14 @@ VECTORS = f"""
     vtop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vscore QUALIFY rank <= 10)"""
 
 BM25 = f"""
-    tf AS (SELECT doc_id AS id, t, count(*) AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS t FROM documents) GROUP BY ALL),
-    dl AS (SELECT doc_id AS id, len({tok('text')}) AS dl FROM documents),
-    corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-    rawidf AS (SELECT t, count(*) AS df, ln((SELECT n FROM corpus) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM tf GROUP BY t),
-    idf AS (SELECT t, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rawidf) ELSE raw END AS idf FROM rawidf),
+    dtok AS MATERIALIZED (SELECT doc_id AS id, {tok('text')} AS w FROM documents),
+    tf AS MATERIALIZED (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(w) AS t FROM dtok) GROUP BY ALL),
+    dl AS (SELECT id, len(w) AS dl FROM dtok),
+    corpus AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+    counted AS MATERIALIZED (SELECT t, count(*) AS df FROM tf GROUP BY t),
+    rawidf AS MATERIALIZED (SELECT t, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM counted, corpus),
+    meanidf AS MATERIALIZED (SELECT avg(raw) AS mean FROM rawidf),
+    idf AS (SELECT t, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rawidf, meanidf),
     asked AS (SELECT query_id, t, count(*) AS q FROM (SELECT item_id AS query_id, unnest({tok('text')}) AS t FROM benchmark) GROUP BY ALL),
     bscore AS (SELECT query_id, tf.id, round(sum(q * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM corpus)))), 6) AS score
                FROM asked JOIN idf USING (t) JOIN tf USING (t) JOIN dl ON dl.id = tf.id GROUP BY ALL),

@@ -254,10 +254,14 @@ def truncate_text(spark, d):
     return T.load(spark, d, "documents").select("doc_id", X.truncate(F.col("text"), 800, "...").alias("shown"))
 
 
-@query("""SELECT doc_id, concat_ws(chr(10), '[来源: ' || source || ']', '[通道: bm25, vector]', '[raw_scores: bm25=' || format('{:.4f}', n_chars::DOUBLE) || ', vector=' || format('{:.4f}', (doc_id / 8)::DOUBLE) || ']', '[rrf: ' || format('{:.4f}', (doc_id / 4)::DOUBLE) || ']', text) AS evidence FROM documents""")
+@query("""SELECT doc_id, concat_ws(chr(10), '[来源: ' || source || ']', '[通道: bm25, vector]', '[raw_scores: bm25=' || format('{:.4f}', n_chars::DOUBLE) || ', vector=' || format('{:.4f}', (doc_id / 8)::DOUBLE) || ']', '[rrf: ' || format('{:.4f}', (doc_id / 4)::DOUBLE) || ']',
+    CASE WHEN doc_id % 2 = 0 THEN '[raw_rerank_logit: ' || format('{:.4f}', (doc_id / 16)::DOUBLE) || ']' END, '[metadata: {''lang'': ''' || lang || ''', ''chunk_index'': ' || (doc_id % 5) || '}]', text) AS evidence FROM documents""")
 def evidence_chain(spark, d):
-    scores = F.create_map(F.lit("vector"), F.col("doc_id") / 8, F.lit("bm25"), F.col("n_chars").cast("double"))
-    return T.load(spark, d, "documents").select("doc_id", X.evidence(F.col("source"), F.array(F.lit("bm25"), F.lit("vector")), scores, F.lit("rrf"), F.col("doc_id") / 4, F.col("text")).alias("evidence"))
+    k = F.col("doc_id")
+    scores = F.create_map(F.lit("vector"), k / 8, F.lit("bm25"), F.col("n_chars").cast("double"))
+    meta = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"), F.lit("score_type"), F.lit("rrf"), F.lit("chunk_index"), (k % 5).cast("string"))
+    chain = X.evidence(F.col("source"), F.array(F.lit("bm25"), F.lit("vector")), scores, F.lit("rrf"), k / 4, F.col("text"), F.when(k % 2 == 0, k / 16), meta)
+    return T.load(spark, d, "documents").select("doc_id", chain.alias("evidence"))
 
 
 @query(f"SELECT doc_id, count(*) AS n_tokens, count(DISTINCT t) AS n_distinct FROM (SELECT doc_id, unnest({T.tok('text')}) AS t FROM documents) GROUP BY 1")
