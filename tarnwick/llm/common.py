@@ -38,6 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'tarnwick-shared')}"
 
 
+#: Files of a small table at least, and narrow rows of a file.
+FILES, FILE_ROWS = 6, 1_000_000
+
+
 class Scratch:
     """Tables written to the shared folder and read back, so that later stages restart from files, not the lineage.
 
@@ -49,9 +53,11 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.tables: list[DataFrame] = []
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write a table.  One of narrow rows comes from as many tasks as the last exchange had; ``rows``, about how many
+        there can be, has it written in few files instead."""
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df if rows is None else df.repartition(max(FILES, -(-rows // FILE_ROWS)))).write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append(table)
         self.paths[id(table)] = path
@@ -65,9 +71,9 @@ class Scratch:
             self.tables = [t for t in self.tables if t is not table]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back, for results that the caller goes on to read."""
-    return Scratch(df.sparkSession).keep(df, name)
+    return Scratch(df.sparkSession).keep(df, name, rows)
 
 
 def fold(id_col: Column, modulus: int) -> Column:

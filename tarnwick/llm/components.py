@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (src, dst: long, never null).
 
     Nodes without an edge, or only with an edge to themselves, are not listed.  Rounds go on until nothing changes.
+    ``rows`` is about how many edges there can be.
     """
     scratch = scratch or Scratch(edges.sparkSession)
-    now = scratch.keep(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
+    # Without a count yet, the first table is written as it comes.
+    now = scratch.keep(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges", rows)
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
@@ -32,6 +34,6 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         # Small star: a node and its smaller neighbours are tied to the smallest of them.
         least = large.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), "m")
         small = large.join(least, large["src"] == least["node"]).select(F.explode(F.array("src", "dst")).alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        earlier, now = now, scratch.keep(small, "edges")
+        earlier, now = now, scratch.keep(small, "edges", 2 * state["n"])
         scratch.drop(earlier)
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

@@ -6,9 +6,10 @@
    signatures, ids as short offsets), six to twelve bytes a signature.  A partition sorts its signatures in bounded
    runs; documents that share one are tied to the first of them, the leader.  A tie carries a 64-bit mask of the
    signatures, hashed, at which three documents or more met.
-3. Ties are filtered by the sketches: flipped parity bits never exceed the true set difference, so no similar pair is
-   lost.  What is left is verified on the whole texts, and gives components.  Both checks send a leader once to each
-   block of its fellows, so a leader of any number of ties is spread and its set is not repeated for each.
+3. Each document's best tie is checked first, and gives components; then the ties that still cross components.  The
+   check is by sketch, as flipped parity bits never exceed the true set difference, so no similar pair is lost, and
+   then on the whole texts.  Both send a leader once to each block of its fellows, so a leader of any number of ties is
+   spread and its set is not repeated for each.
 4. A signature at which two documents met is settled by their tie.  Where more met, fellows of one leader may be
    similar to one another.  If a tie of a leader crosses components, its fellows of different components whose masks
    overlap are compared with each other by sketch, in blocks, and the survivors verified.  So no link is missed.
@@ -287,12 +288,11 @@ def _star(ties: DataFrame, count: int, payload: DataFrame, read: Callable[[pa.Re
     Fellows are dealt into blocks of about ``STAR_BLOCK``, and the leader goes to each block once, so a leader of any
     number of fellows is spread.  ``payload`` has ``doc_id`` and what ``read`` turns into one object a row.
     """
-    sizes = ties.groupBy("lead").count().where(F.col("count") > STAR_BLOCK)
-    sizes = sizes.select("lead", F.ceil(F.col("count") / STAR_BLOCK).cast("int").alias("blocks"))
-    dealt = ties.select("lead", "other").join(sizes, "lead", "left")
-    dealt = dealt.select("lead", "other", F.pmod(F.xxhash64("other"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
-    leaders = dealt.select("lead", "block").distinct().select("lead", "block", F.lit(0).alias("role"), F.col("lead").alias("doc_id"))
-    rows = dealt.select("lead", "block", F.lit(1).alias("role"), F.col("other").alias("doc_id")).unionByName(leaders)
+    sizes = ties.groupBy("lead").count().select("lead", F.ceil(F.col("count") / STAR_BLOCK).cast("int").alias("blocks"))
+    leaders = sizes.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("lead").alias("doc_id"))
+    dealt = ties.select("lead", "other").join(sizes.where("blocks > 1"), "lead", "left")
+    block = F.pmod(F.xxhash64("other"), F.coalesce("blocks", F.lit(1))).cast("int")
+    rows = dealt.select("lead", block.alias("block"), F.lit(1).alias("role"), F.col("other").alias("doc_id")).unionByName(leaders)
     if 2 * count <= BROADCAST_IDS:
         rows = F.broadcast(rows)
     full = payload.join(rows, "doc_id")
@@ -406,19 +406,20 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_
     named = about.where("doc_id is not null and set_key is not null")
     rows, total = about.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     repeated = named.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    again = repeated.limit(1).count() > 0
     sets, texts, sketches = named.select("doc_id", "set_key"), docs.where("doc_id is not null"), named
-    if repeated.limit(1).count():  # saves work only: equal rows of one id need no second look
+    if again:  # saves work only: equal rows of one id need no second look
         sets, texts, sketches = sets.distinct(), texts.distinct(), named.dropDuplicates(["doc_id", "set_key"])
     classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep")
-    classes = scratch.keep(classes, "classes")
+    classes = scratch.keep(classes, "classes", rows)
     if classes.count() <= BROADCAST_IDS // 2:
         classes = F.broadcast(classes)
-    follows = scratch.keep(sets.join(classes, "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct(), "class-of")
-    # Documents of several sets stay themselves, linked to the classes of all their sets.
-    several = repeated.join(follows, "doc_id", "left_semi")
-    equal = scratch.keep(follows.join(several, "doc_id", "left_semi"), "equal")
-    if equal.limit(1).count():
-        follows = scratch.keep(follows.join(several, "doc_id", "left_anti"), "class-of")
+    follows = scratch.keep(sets.join(classes, "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct(), "class-of", rows)
+    equal = spark.createDataFrame([], "src long, dst long")
+    if again:
+        # Documents of several sets stay themselves, linked to the classes of all their sets.
+        equal = scratch.keep(follows.join(repeated, "doc_id", "left_semi").toDF("src", "dst"), "equal", rows)
+        follows = scratch.keep(follows.join(repeated, "doc_id", "left_anti"), "class-of", rows)
     few = follows.count() <= BROADCAST_IDS
     # Of a class one document's signatures do: the others stay behind where their ids can be broadcast; where they are
     # too many for that, their ties are turned into their class's instead.
@@ -432,25 +433,34 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_
         side = lambda n: follows.select(F.col("doc_id").alias(n), F.col("rep").alias(f"r_{n}"))
         ties = ties.join(side("lead"), "lead", "left").join(side("other"), "other", "left")
         ties = ties.select(F.coalesce("r_lead", "lead").alias("lead"), F.coalesce("r_other", "other").alias("other"), "mask").where("lead <> other")
-    ties = scratch.keep(ties.groupBy("lead", "other").agg(F.bit_or("mask").alias("mask")), "ties")
+    ties = scratch.keep(ties.groupBy("lead", "other").agg(F.bit_or("mask").alias("mask")), "ties", 4 * rows)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return scratch.keep(_verified(pairs, pairs.count(), texts, words, num, den), "links").toDF("src", "dst")
-
-    likely = scratch.keep(_likely(ties, ties.count(), sketches, num, den), "likely")
-    edges = links_of(likely).unionByName(equal.toDF("src", "dst"))
-    found = components(edges, scratch)
-    of = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
-    crowd = ties.where("mask <> 0").join(of("lead"), "lead", "left").join(of("other"), "other", "left")
-    crowd = scratch.keep(crowd.select("lead", "other", "mask", F.coalesce("c_lead", "lead").alias("c_lead"), F.coalesce("c_other", "other").alias("c_other")), "crowd")
-    crossing = scratch.keep(crowd.where("c_lead <> c_other").select("lead").distinct(), "crossing")
-    crowd = crowd.join(crossing, "lead", "left_semi")
-    fellows = crowd.select("lead", F.col("other").alias("doc_id"), F.col("c_other").alias("component"), "mask")
-    more = scratch.keep(_crowded(fellows, sketches, num, den), "crowded")
+        """Pairs that may be similar by sketch, verified on the texts."""
+        likely = scratch.keep(_likely(pairs, pairs.count(), sketches, num, den), "likely", rows)
+        return scratch.keep(_verified(likely, likely.count(), texts, words, num, den), "links", rows).toDF("src", "dst")
+
+    def with_components(pairs: DataFrame) -> DataFrame:
+        of = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+        both = pairs.join(of("lead"), "lead", "left").join(of("other"), "other", "left")
+        return both.select("lead", "other", "mask", F.coalesce("c_lead", "lead").alias("c_lead"), F.coalesce("c_other", "other").alias("c_other"))
+
+    # A document's tie of most signatures comes first; of the others those count that it leaves between components.
+    best = ties.groupBy("other").agg(F.min_by("lead", F.struct(-F.bit_count("mask"), F.col("lead"))).alias("lead"))
+    edges = links_of(scratch.keep(best.select("lead", "other"), "first-ties", rows)).unionByName(equal)
+    found = components(edges, scratch, rows)
+    rest = scratch.keep(with_components(ties).where("c_lead <> c_other").select("lead", "other", "mask"), "rest", rows)
+    edges = edges.unionByName(links_of(rest))
+    found = components(edges, scratch, rows)
+    crossing = with_components(rest.where("mask <> 0")).where("c_lead <> c_other").select("lead").distinct()
+    crossing = scratch.keep(crossing, "crossing", rows)
+    crowd = with_components(ties.where("mask <> 0").join(crossing, "lead", "left_semi"))
+    fellows = scratch.keep(crowd.select("lead", F.col("other").alias("doc_id"), F.col("c_other").alias("component"), "mask"), "crowd", 4 * rows)
+    more = scratch.keep(_crowded(fellows, sketches, num, den), "crowded", rows)
     if more.limit(1).count():
-        found = components(edges.unionByName(links_of(more)), scratch)
+        found = components(edges.unionByName(scratch.keep(_verified(more, more.count(), texts, words, num, den), "links", rows).toDF("src", "dst")), scratch, rows)
     final = about.select("doc_id", "n_shingles").join(follows, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     final = final.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    final = materialize(final, "groups")
+    final = materialize(final, "groups", rows)
     scratch.drop()
     return final
