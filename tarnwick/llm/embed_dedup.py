@@ -89,18 +89,17 @@ def tile_links(home: np.ndarray, member: np.ndarray, axes: np.ndarray, threshold
                 yield x[ok], y[ok]
 
 
-def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest index reachable within the tile."""
-    root = np.arange(n)
+def _unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``root`` (the smallest index known to be reachable from each) with the pairs x, y united."""
     while True:
-        before = root.copy()
-        for x, y in pairs:
-            low = np.minimum(root[x], root[y])
-            np.minimum.at(root, x, low)
-            np.minimum.at(root, y, low)
-        root = root[root]
-        if (root == before).all():
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
             return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (down := root[root])).any():
+            root = down
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int | None = None) -> DataFrame:
@@ -108,7 +107,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
     another width than theirs.  Equal vectors link with each other, so repeated rows count one another; rows that share
-    an id each get a row.  Rows with a null id are returned with no links.  Other columns are ignored.
+    an id each get a row.  Rows with a null id are returned with no links.  Other columns are ignored; an empty table
+    gives an empty table.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -129,7 +129,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     if found is None:
         found = spark.createDataFrame([], "id long, links long, root long")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")), scratch)
+    joined = components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")), scratch, total)
     by_class = classes.join(counts, classes["rep"] == counts["id"], "left").join(joined, classes["rep"] == joined["node"], "left")
     by_class = by_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = keyed.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(by_class, "key", "left")
@@ -184,18 +184,17 @@ def _compare(reps: DataFrame, total: int, threshold: float, pivots: int | None)
         lives = table.column("resident").to_numpy()
         a, b = np.nonzero(lives)[0], np.nonzero(~lives)[0]
         b = b[np.argsort(rep[b])]
-        links, pairs = np.zeros(len(rep), np.int64), []
+        # Indices follow the ids, so that the smallest index is the smallest id.  Links are counted and united as they
+        # come, so a dense tile holds none of them.
+        links = np.zeros(len(rep), np.int64)
+        ids, slot = np.unique(rep, return_inverse=True)
+        root = np.arange(len(ids))
         for x, y in tile_links(unit[a], unit[b], axes, threshold):
             u, v = a[x], b[y]
             other = rep[u] != rep[v]
             u, v = u[other], v[other]
             np.add.at(links, u, n[v])
-            if u.size:
-                pairs.append((u, v))
-        # Indices follow the ids, so that the smallest index is the smallest id.
-        ids = np.unique(rep)
-        slot = np.searchsorted(ids, rep)
-        root = _roots(len(ids), [(slot[u], slot[v]) for u, v in pairs])
+            root = _unite(root, slot[u], slot[v])
         total = np.bincount(slot, links, len(ids)).astype(np.int64)
         some = (total > 0) | (root != np.arange(len(ids)))
         return pa.table({"id": pa.array(ids[some]), "links": pa.array(total[some]), "root": pa.array(ids[root[some]])})
