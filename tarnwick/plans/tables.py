@@ -22,12 +22,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, head, relation, tail, source, chunk_id) from customers, suppliers, nations and regions."""
+    """(seq, head, relation, tail, source, chunk_id) from customers, suppliers, nations and regions; their keys, modulo
+    the number of documents, stand for the documents they come from."""
     t = lambda n: load(spark, sf_dir, n)
-    nation = t("nation")
+    nation, total = t("nation"), max(1, t("documents").count())
 
     def rows(df, head, relation, tail, kind, key, base):
-        return df.select((F.col(key).cast("long") + base).alias("seq"), F.col(head).alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"), F.lit(kind).alias("source"), F.concat(F.lit(kind + "_"), (F.col(key) % 97).cast("string")).alias("chunk_id"))
+        return df.select((F.col(key).cast("long") + base).alias("seq"), F.col(head).alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"), F.lit(kind).alias("source"), F.concat(F.lit(kind + "_"), (F.col(key).cast("long") % total).cast("string")).alias("chunk_id"))
 
     return (
         rows(t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "c_name", "located_in", "n_name", "customer", "c_custkey", 10**12)
@@ -38,10 +39,10 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIPLES = """
     triples AS (
-      SELECT c_custkey::BIGINT + 1000000000000 AS seq, c_name AS head, 'located_in' AS relation, n_name AS tail, 'customer' AS source, 'customer_' || (c_custkey % 97) AS chunk_id
+      SELECT c_custkey::BIGINT + 1000000000000 AS seq, c_name AS head, 'located_in' AS relation, n_name AS tail, 'customer' AS source, 'customer_' || (c_custkey % (SELECT greatest(1, count(*)) FROM documents)) AS chunk_id
       FROM customer JOIN nation ON c_nationkey = n_nationkey
-      UNION ALL SELECT n_nationkey::BIGINT, n_name, 'part_of', r_name, 'nation', 'nation_' || (n_nationkey % 97) FROM nation JOIN region ON n_regionkey = r_regionkey
-      UNION ALL SELECT s_suppkey::BIGINT + 2000000000000, s_name, 'located_in', n_name, 'supplier', 'supplier_' || (s_suppkey % 97) FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+      UNION ALL SELECT n_nationkey::BIGINT, n_name, 'part_of', r_name, 'nation', 'nation_' || (n_nationkey % (SELECT greatest(1, count(*)) FROM documents)) FROM nation JOIN region ON n_regionkey = r_regionkey
+      UNION ALL SELECT s_suppkey::BIGINT + 2000000000000, s_name, 'located_in', n_name, 'supplier', 'supplier_' || (s_suppkey % (SELECT greatest(1, count(*)) FROM documents)) FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
