@@ -11,7 +11,7 @@
    then on the whole texts.  Both send a leader once to each block of its fellows, so a leader of any number of ties is
    spread and its set is not repeated for each.
 4. A signature at which two documents met is settled by their tie.  Where more met, fellows of one leader may be
-   similar to one another.  If a tie of a leader crosses components, its fellows of different components whose masks
+   similar to one another.  If a tie of a leader crossed components, its fellows of different components whose masks
    overlap are compared with each other by sketch, in blocks, and the survivors verified.  So no link is missed.
 5. Components come from the verified links; copies follow their class.
 """
@@ -290,9 +290,10 @@ def _star(ties: DataFrame, count: int, payload: DataFrame, read: Callable[[pa.Re
     """
     sizes = ties.groupBy("lead").count().select("lead", F.ceil(F.col("count") / STAR_BLOCK).cast("int").alias("blocks"))
     leaders = sizes.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("lead").alias("doc_id"))
-    dealt = ties.select("lead", "other").join(sizes.where("blocks > 1"), "lead", "left")
-    block = F.pmod(F.xxhash64("other"), F.coalesce("blocks", F.lit(1))).cast("int")
-    rows = dealt.select("lead", block.alias("block"), F.lit(1).alias("role"), F.col("other").alias("doc_id")).unionByName(leaders)
+    large, ties = sizes.where("blocks > 1"), ties.select("lead", "other")
+    member = lambda t, block: t.select("lead", block.cast("int").alias("block"), F.lit(1).alias("role"), F.col("other").alias("doc_id"))
+    spread = member(ties.join(large, "lead"), F.pmod(F.xxhash64("other"), F.col("blocks")))
+    rows = spread.unionByName(member(ties.join(large, "lead", "left_anti"), F.lit(0))).unionByName(leaders)
     if 2 * count <= BROADCAST_IDS:
         rows = F.broadcast(rows)
     full = payload.join(rows, "doc_id")
@@ -440,21 +441,22 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_
         likely = scratch.keep(_likely(pairs, pairs.count(), sketches, num, den), "likely", rows)
         return scratch.keep(_verified(likely, likely.count(), texts, words, num, den), "links", rows).toDF("src", "dst")
 
-    def with_components(pairs: DataFrame) -> DataFrame:
-        of = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
-        both = pairs.join(of("lead"), "lead", "left").join(of("other"), "other", "left")
-        return both.select("lead", "other", "mask", F.coalesce("c_lead", "lead").alias("c_lead"), F.coalesce("c_other", "other").alias("c_other"))
+    def with_component(pairs: DataFrame, n: str) -> DataFrame:
+        of = found.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+        return pairs.join(of, n, "left").withColumn(f"c_{n}", F.coalesce(f"c_{n}", n))
+
+    def crossing(pairs: DataFrame) -> DataFrame:
+        return with_component(with_component(pairs, "other"), "lead").where("c_lead <> c_other").select("lead", "other", "mask")
 
     # A document's tie of most signatures comes first; of the others those count that it leaves between components.
     best = ties.groupBy("other").agg(F.min_by("lead", F.struct(-F.bit_count("mask"), F.col("lead"))).alias("lead"))
     edges = links_of(scratch.keep(best.select("lead", "other"), "first-ties", rows)).unionByName(equal)
     found = components(edges, scratch, rows)
-    rest = scratch.keep(with_components(ties).where("c_lead <> c_other").select("lead", "other", "mask"), "rest", rows)
+    rest = scratch.keep(crossing(ties), "rest", rows)
     edges = edges.unionByName(links_of(rest))
     found = components(edges, scratch, rows)
-    crossing = with_components(rest.where("mask <> 0")).where("c_lead <> c_other").select("lead").distinct()
-    crossing = scratch.keep(crossing, "crossing", rows)
-    crowd = with_components(ties.where("mask <> 0").join(crossing, "lead", "left_semi"))
+    leads = scratch.keep(rest.where("mask <> 0").select("lead").distinct(), "crossing", rows)
+    crowd = with_component(ties.where("mask <> 0").join(leads, "lead", "left_semi"), "other")
     fellows = scratch.keep(crowd.select("lead", F.col("other").alias("doc_id"), F.col("c_other").alias("component"), "mask"), "crowd", 4 * rows)
     more = scratch.keep(_crowded(fellows, sketches, num, den), "crowded", rows)
     if more.limit(1).count():
