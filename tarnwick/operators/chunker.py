@@ -38,11 +38,8 @@ def _bucket(token: str, dims: int) -> int:
 
 def hashed_embedder(texts: list[str], dims: int = DEFAULTS.vector_dims) -> np.ndarray:
     """Word counts by hash bucket, at unit length: the default embedding, as ``retrieval.hashed_terms`` has it."""
-    out = np.zeros((len(texts), dims))
-    for row, t in zip(out, texts, strict=True):
-        for w in WORDS.findall(t.lower()):
-            row[_bucket(w, dims)] += 1
-    return unit(out)
+    found = [[_bucket(w, dims) for w in WORDS.findall(t.lower())] for t in texts]
+    return unit(np.array([np.bincount(f, minlength=dims) if f else np.zeros(dims) for f in found], np.float64).reshape(-1, dims))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
