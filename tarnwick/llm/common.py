@@ -131,6 +131,21 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield _joined(held)
 
 
+#: Keys with more than one row in so many are fewer than that, whatever the data, and are broadcast.
+HEAVY = 1024
+
+
+def join_back(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``found``, which has each ``key`` once and its number of rows as ``n``.
+
+    Heavy keys, at most ``HEAVY`` of ``total`` rows' keys, meet their rows by broadcast, so no key of the shuffled join
+    holds more than ``total / HEAVY`` rows.  ``rows`` and ``found`` are read twice.  Null keys meet nothing.
+    """
+    heavy = F.broadcast(found.where(F.col("n") * HEAVY > total).drop("n"))
+    light = found.where(F.col("n") * HEAVY <= total).drop("n")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embed_dedup, jaccard, langid, mixing, quality, syncmers, token_counts, toxicity, warc
+from . import bpe_codec, centroids, embed_dedup, jaccard, langid, mixing, quality, syncmers, token_counts, toxicity, warc
 from .common import fold, load
 
 #: Production parameters.
@@ -13,6 +13,7 @@ TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 TOXIC_FROM, GOOD_FROM = 0.7, 0.5
 COSINE = 0.95
+CENTROIDS, ROUNDS = 40, 5
 
 
 def tokenizer(name: str = TOKENIZER) -> str:
@@ -73,11 +74,28 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(load(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS)
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Every round as two tables: assignments, then centroids."""
+    near = """a{i} AS MATERIALIZED (SELECT vec_id, row, q, k, d FROM (
+            SELECT v.vec_id, v.row, v.q, c.k, list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q) AS d
+            FROM v CROSS JOIN c{i} c) QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, k) = 1)"""
+    move = """c{j} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN (
+            SELECT k, list(x ORDER BY i) AS q FROM (
+                SELECT k, i, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{i}) GROUP BY k, i) GROUP BY k) m USING (k))"""
+    steps = [t.format(i=i, j=i + 1) for i in range(rounds) for t in (near, move)] + [near.format(i=rounds)]
+    return ",\n        ".join(steps)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_ngram_jaccard_join, op4_warc_bundles, op5_document_fingerprints,
         op6_embedding_near_dedup, op7_toxicity, op8_bpe_round_trip, op9_quality_classifier, op10_source_mixing,
+        op11_centroid_clustering,
     )
 }
 
@@ -111,4 +129,16 @@ ORACLE_SQL = {
         SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(x.i AS INT) AS mix_copy
         FROM documents d JOIN (SELECT doc_id, unnest(generate_series(1, copies)) AS i FROM m WHERE copies > 0) x USING (doc_id)
     """,
+    "op11_centroid_clustering": f"""
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64),
+        v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(e, lambda x: floor(256 * x)) AS q
+              FROM e WHERE len(list_filter(e, lambda x: isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, vec_id) - 1 AS k, q FROM (
+               SELECT sha256('2:' || vec_id) AS h, vec_id, q FROM v ORDER BY h, vec_id LIMIT {CENTROIDS})),
+        {_lloyd_sql(ROUNDS)}
+        SELECT vec_id, CAST(k AS INT) AS cluster, CAST(d AS BIGINT) AS distance,
+               CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c.q, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+        FROM a{ROUNDS} JOIN c{ROUNDS} c USING (k)
+    """,
 }
