@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, centroids, embed_dedup, jaccard, langid, mixing, quality, syncmers, token_counts, toxicity, warc
+from . import bpe_codec, centroids, embed_dedup, jaccard, langid, mixing, quality, sharding, syncmers, token_counts, toxicity, warc
 from .common import fold, load
 
 #: Production parameters.
@@ -14,6 +14,7 @@ TOKEN_LIMIT = 1024
 TOXIC_FROM, GOOD_FROM = 0.7, 0.5
 COSINE = 0.95
 CENTROIDS, ROUNDS = 40, 5
+SHARDS = 8
 
 
 def tokenizer(name: str = TOKENIZER) -> str:
@@ -78,6 +79,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(load(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS)
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(load(spark, sf_dir, "documents"), SHARDS)
+
+
 def _lloyd_sql(rounds: int) -> str:
     """Every round as two tables: assignments, then centroids."""
     near = """a{i} AS MATERIALIZED (SELECT vec_id, row, q, k, d FROM (
@@ -95,7 +100,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_language_id, op3_ngram_jaccard_join, op4_warc_bundles, op5_document_fingerprints,
         op6_embedding_near_dedup, op7_toxicity, op8_bpe_round_trip, op9_quality_classifier, op10_source_mixing,
-        op11_centroid_clustering,
+        op11_centroid_clustering, op12_sharding,
     )
 }
 
