@@ -13,6 +13,9 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators.evaluate import EXPERIMENTS, ablate, effective, evaluate
 from ..operators.match import substring_matches
+from ..sources.keyword_index import KeywordIndex
+from ..sources.vector_index import VectorIndex
+from ..sources.versions import shared_folder
 from . import retrieve as P
 from . import tables as T
 
@@ -63,6 +66,18 @@ def vector_topk(spark, d):
     return R.vector_topk(e, asked)
 
 
+@query(f"""WITH {_ASK}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(2 * list_inner_product(q.e, v.e) - 1, 6) AS score FROM asked q, v)
+    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10""")
+def stored_vector_topk(spark, d):
+    """From a stored index in its exact mode, built in two batches: every seventh vector is stored turned around first."""
+    e, asked = _asked(spark, d)
+    index = VectorIndex(spark, shared_folder(spark, "vector-index"))
+    index.fit(e)
+    index.upsert(e.withColumn("vec", F.when(F.col("id") % 7 == 0, F.transform("vec", lambda x: -x)).otherwise(F.col("vec"))), 0)
+    index.upsert(e.where("id % 7 = 0"), 1)
+    return index.topk(asked, exact=True)
+
+
 @query(f"""WITH {_ASK}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(2 * list_inner_product(q.e, v.e) - 1, 6) AS score FROM asked q, v),
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 5)
     SELECT query_id, id, round((score + 1) / 2, 6) AS similarity FROM t WHERE (score + 1) / 2 >= 0.35""")
@@ -129,6 +144,29 @@ def bm25_topk(spark, d):
     return P.keyword_channel(spark, d)
 
 
+def _index(spark, d):
+    """A stored keyword index of ``documents`` in two batches: all of them, every seventh with an older text and some
+    that are long gone; then the changed ones."""
+    index = KeywordIndex(spark, shared_folder(spark, "keyword-index"))
+    docs = T.texts(spark, d).select("doc_id", "text")
+    older = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.reverse("text")).otherwise(F.col("text")))
+    former = docs.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.concat(F.lit("gone "), "text").alias("text"))
+    index.upsert(older.unionByName(former), 0)
+    index.upsert(docs.where("doc_id % 7 = 0 or doc_id % 11 = 0"), 1)
+    index.remove(former, 2)
+    return index
+
+
+@query(f"WITH {T.BM25} SELECT query_id, id, score, rank::INT AS rank FROM btop")
+def stored_bm25_topk(spark, d):
+    return _index(spark, d).topk(T.questions(spark, d))
+
+
+@query(f"WITH {T.BM25} SELECT t, df, round(idf, 6) AS idf FROM idf")
+def stored_bm25_stats(spark, d):
+    return _index(spark, d).statistics().select("t", "df", F.round("idf", 6).alias("idf"))
+
+
 _CHANNELS = f"{T.VECTORS}, {T.BM25}, ch AS (SELECT 'vector' AS channel, query_id, id, rank, score FROM vtop UNION ALL SELECT 'bm25', query_id, id, rank, score FROM btop)"
 
 
