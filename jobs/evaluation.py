@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.operators.answer import extract_answers
-from tarnwick.operators.evaluate import average, expected_keywords
+from tarnwick.operators.evaluate import average, expected_keywords, mean_share
 from tarnwick.sources.keyword_index import KeywordIndex
 
 LOG = logging.getLogger("evaluation")
@@ -65,8 +65,8 @@ def run(spark: SparkSession, documents: str, cases: str, index: str, output: str
     put(results(spark.read.parquet(cases), docs, held, experiments, document_id, case_id), "cases")
     written = spark.read.parquet(f"{output.rstrip('/')}/cases")
     mine = written.where(F.col("experiment").isin(list(experiments)))
-    fine = F.when(F.col("error").isNull(), F.col("coverage").cast("decimal(18,6)"))
-    put(mine.groupBy("experiment").agg(F.count("*").alias("num_cases"), F.count_if(F.col("error").isNull()).alias("num_success"), average(F.col("contexts")).alias("avg_contexts"), average(fine).cast("double").alias("avg_coverage")), "summary")
+    fine = F.when(F.col("error").isNull(), F.col("coverage"))
+    put(mine.groupBy("experiment").agg(F.count("*").alias("num_cases"), F.count_if(F.col("error").isNull()).alias("num_success"), average(F.col("contexts")).alias("avg_contexts"), mean_share(fine).alias("avg_coverage")), "summary")
     summary = spark.read.parquet(f"{output.rstrip('/')}/summary")
     for r in summary.where(F.col("experiment").isin(list(experiments))).orderBy("experiment").collect():  # a row a setting
         LOG.info("%s: read %d cases of %s, wrote %d to %s, coverage %.4f", r["experiment"], r["num_cases"], cases, r["num_cases"], output, r["avg_coverage"])

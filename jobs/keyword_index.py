@@ -57,6 +57,12 @@ def entries(index: KeywordIndex) -> DataFrame:
     return index.postings().select(F.col("id").alias("doc_id"), F.col("t").alias("term"), "tf", F.col("dl").alias("doc_length")).join(df, "term").select("doc_id", "term", "tf", "doc_length", "df")
 
 
+def documents(index: KeywordIndex) -> DataFrame:
+    """``entries`` summed up by document: how many there are, their document counts, and the hashes of term and count."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", "term", "tf")), 1, 8), 16, 10).cast("long")
+    return entries(index).groupBy("doc_id", "doc_length").agg(F.count("*").alias("terms"), F.sum("df").alias("df_sum"), F.sum(hashed).alias("entries_sum"))
+
+
 def main(argv: list[str] | None = None) -> None:
     from jobs.settings import read
 

@@ -17,7 +17,7 @@ def job1_keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "job1")
     for _ in range(2):
         index = keyword_index.run(spark, f"{sf_dir}/documents.parquet", folder)
-    return keyword_index.entries(index)
+    return keyword_index.documents(index)
 
 
 def job2_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,9 @@ ORACLE_SQL = {
     "job1_keyword_index": f"""
         WITH w AS (SELECT doc_id, {T.tok('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
         p AS (SELECT doc_id, unnest(w) AS term, len(w) AS doc_length FROM w),
-        tf AS (SELECT doc_id, term, CAST(count(*) AS INT) AS tf, doc_length FROM p GROUP BY ALL)
-        SELECT *, count(*) OVER (PARTITION BY term) AS df FROM tf
+        tf AS (SELECT doc_id, term, CAST(count(*) AS INT) AS tf, doc_length FROM p GROUP BY ALL),
+        df AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM tf)
+        SELECT doc_id, doc_length, count(*) AS terms, sum(df)::BIGINT AS df_sum, sum(('0x' || substr(md5(term || ':' || tf), 1, 8))::BIGINT)::BIGINT AS entries_sum FROM df GROUP BY 1, 2
     """,
     "job2_evaluation": f"""
         WITH cases AS (SELECT item_id, substr(text, 1, length(text) // 2) AS text, substr(text, length(text) // 2 + 1) AS rest FROM benchmark),

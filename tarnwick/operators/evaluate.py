@@ -37,6 +37,12 @@ def average(c: Column) -> Column:
     return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
 
 
+def mean_share(c: Column) -> Column:
+    """Mean of shares with six decimals, halves up at the fourth, in whole numbers: the same in any order and engine."""
+    total, n = F.sum(F.round(c * 1_000_000).cast("long")), F.count(c)
+    return F.coalesce(F.call_function("div", total + 50 * n, 100 * n) / F.lit(10_000.0), F.lit(0.0))
+
+
 def keyword_coverage(haystack: Column, keywords: Column) -> Column:
     """Share of the keywords found, whatever their case; 0 without keywords."""
     low = F.lower(haystack)
@@ -94,7 +100,7 @@ def ablate(spark: SparkSession, sf_dir: str, experiments) -> DataFrame:
             mode, rerank, kg, parents = plan
             try:
                 run = evaluate(spark, sf_dir, channels, mode=mode, use_rerank=rerank, use_kg=kg, use_parents=parents)
-                one = run.agg(F.count("*").alias("n"), average(F.col("contexts")).alias("contexts"), average(F.col("coverage").cast("decimal(18,6)")).cast("double").alias("coverage")).first()  # one row a configuration
+                one = run.agg(F.count("*").alias("n"), average(F.col("contexts")).alias("contexts"), mean_share(F.col("coverage")).alias("coverage")).first()  # one row a configuration
                 known[plan] = one["n"], one["contexts"], one["coverage"], None
             except Exception as e:  # one that fails is a row with its error; the others go on
                 known[plan] = 0, 0.0, 0.0, (str(e) or type(e).__name__)[:500]

@@ -129,9 +129,17 @@ def emb_faithfulness(spark, d):
     return _products(spark, d).groupBy("query_id").agg(F.round(F.max("s"), 6).alias("faithfulness"))
 
 
-@query(f"WITH {T.BM25} SELECT t, df, round(idf, 6) AS idf FROM idf")
+_STATS = f"WITH {T.BM25} SELECT df, round(idf, 6) AS idf, count(*) AS terms, sum(('0x' || substr(md5(t), 1, 8))::BIGINT)::BIGINT AS terms_sum FROM idf GROUP BY 1, 2"
+
+
+def _stats(rows):
+    """A row for each document count: its idf, how many terms have it, and the sum of these terms' hashes."""
+    return rows.groupBy("df", F.round("idf", 6).alias("idf")).agg(F.count("*").alias("terms"), F.sum(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long")).alias("terms_sum"))
+
+
+@query(_STATS)
 def bm25_stats(spark, d):
-    return R.bm25_stats(T.texts(spark, d))[0].select("t", "df", F.round("idf", 6).alias("idf"))
+    return _stats(R.bm25_stats(T.texts(spark, d))[0])
 
 
 @query(f"WITH {T.BM25} SELECT query_id, id, score FROM bscore")
@@ -162,9 +170,9 @@ def stored_bm25_topk(spark, d):
     return _index(spark, d).topk(T.questions(spark, d))
 
 
-@query(f"WITH {T.BM25} SELECT t, df, round(idf, 6) AS idf FROM idf")
+@query(_STATS)
 def stored_bm25_stats(spark, d):
-    return _index(spark, d).statistics().select("t", "df", F.round("idf", 6).alias("idf"))
+    return _stats(_index(spark, d).statistics())
 
 
 _CHANNELS = f"{T.VECTORS}, {T.BM25}, ch AS (SELECT 'vector' AS channel, query_id, id, rank, score FROM vtop UNION ALL SELECT 'bm25', query_id, id, rank, score FROM btop)"
@@ -384,7 +392,7 @@ _FIRST = ("hybrid", True, True, False)
 
 
 @query(_evaluation_sql(_PLANS) + " ".join(
-    f"{'UNION ALL' if i else ''} SELECT {i}::INT AS ordinal, '{e[0]}' AS experiment, count(*) AS num_cases, round(coalesce(avg(contexts), 0), 4) AS avg_contexts, round(coalesce(avg(coverage::DECIMAL(18, 6)), 0), 4) AS avg_coverage, CAST(NULL AS VARCHAR) AS error FROM ev_{_PLANS.index(effective(e))}"
+    f"{'UNION ALL' if i else ''} SELECT {i}::INT AS ordinal, '{e[0]}' AS experiment, count(*) AS num_cases, round(coalesce(avg(contexts), 0), 4) AS avg_contexts, coalesce((sum(round(coverage * 1000000)::BIGINT) + 50 * count(*))::BIGINT // (100 * count(*)) / 10000.0::DOUBLE, 0) AS avg_coverage, CAST(NULL AS VARCHAR) AS error FROM ev_{_PLANS.index(effective(e))}"
     for i, e in enumerate(EXPERIMENTS)
 ))
 def ablation(spark, d):
