@@ -39,14 +39,16 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     their texts.  Without any labelled row no language is known, and nothing stays.
     """
     model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
-    prefix = free_name("lang_", [c[: len("lang_")] for c in docs.columns])
+    prefix, taken = "lang_", {c.lower() for c in docs.columns}
+    while any(prefix + name in taken for name in ("pred", "score", "accepted")):
+        prefix = "_" + prefix
     return langid.predict(docs, model, prefix=prefix).where(f"{prefix}accepted").select(*own(docs))
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near-duplicates the document with the smallest id stays.
 
-    Rows that repeat an id and a text count once.  Rows of one id with different texts are one document, which stays or
+    Of rows that repeat an id and a text the first by their other values stays.  Rows of one id with different texts are one document, which stays or
     goes as a whole.  Null and empty texts and rows with a null id link with nothing, so they stay.
     """
     groups = jaccard.near_groups(docs)
@@ -56,8 +58,9 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.limit(1).count():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*own(docs)).unionByName(once.select(*own(docs)))
+    row, order = F.struct(*own(docs)), F.struct(*mixing.spread(docs, docs.columns))
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).agg(F.min_by(row, order).alias("__row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*own(docs)).unionByName(once.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
