@@ -33,7 +33,8 @@ from .shingles import mix, shingle_sets
 
 #: Documents and signatures of one packed block set at most.
 BLOCK_DOCS, BLOCK_SIGNATURES = 4096, 700_000
-#: Signatures a reducing task is meant to get, and sorts at a time; and how many tasks there are at most.
+#: Signatures a reducing task is meant to get, and sorts at a time; and how many tasks there are at most.  Past that each
+#: task has its signatures sorted into ranges by Spark, which spills, and takes one range after the other.
 TASK, RUN, TASKS = 1_000_000, 1_500_000, 50_000
 #: Documents looked at to find common shingles, and in how many of them a common one stands.  A hint that saves
 #: comparisons: no result depends on it.
@@ -197,12 +198,57 @@ def _merged(lead: np.ndarray, other: np.ndarray, mask: np.ndarray) -> tuple[np.n
     return lead[start], other[start], np.bitwise_or.reduceat(mask[order], start)
 
 
-def _ties(blocks: DataFrame, parts: int, meet_keys: np.ndarray) -> DataFrame:
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signatures with their bucket above, documents) of each block."""
+    for bucket, base, width, packed, local, ids in zip(*[batch.column(n).to_pylist() for n in ("bucket", "base", "width", "sigs", "local", "ids")], strict=True):
+        # Partitions can share a task: the bucket joins the 32 bits again.
+        d = unplanes(ids, width).view(np.int64) + base
+        yield unplanes(packed, 4) | np.uint64(bucket << 32), d if local is None else d[np.frombuffer(local, "<u2")]
+
+
+def _ranged(dealt: DataFrame, ranges: int) -> DataFrame:
+    """Blocks of a task cut by the signatures' leading bits into ``ranges``, and brought into their order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            s, d = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            held.clear()
+            at = ((s & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(ranges + 1))
+            full = np.nonzero(np.diff(ends))[0].tolist()
+            pick = lambda x: pa.array([planes(x[order[ends[r] : ends[r + 1]]], 8) for r in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pick(s), pick(d)], names=["range", "sigs", "ids"])
+
+        for batch in batches:
+            for pair in _unpacked(batch):
+                held.append(pair)
+                if sum(len(h[0]) for h in held) >= BLOCK_SIGNATURES:
+                    yield flush()
+            del batch
+            release()
+        if held:
+            yield flush()
+
+    return dealt.mapInArrow(cut, "range int, sigs binary, ids binary").sortWithinPartitions("range")
+
+
+def _ties(blocks: DataFrame, parts: int, meet_keys: np.ndarray, ranges: int = 1, most: int = RUN) -> DataFrame:
     """(lead, other, mask): documents that share a signature with its leader, the smallest of them as a rule.  A tie
-    may be listed more than once."""
+    may be listed more than once.  ``ranges`` of a task are worked on one by one, ``most`` signatures at a time."""
     meet = len(meet_keys)
 
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if ranges == 1:
+            yield from ((0, s, d) for s, d in _unpacked(batch))
+        else:
+            for at, s, d in zip(*[batch.column(n).to_pylist() for n in ("range", "sigs", "ids")], strict=True):
+                yield at, unplanes(s, 8), unplanes(d, 8).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
         seen_sig, seen_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # earlier runs: one document a signature
         sigs: list[np.ndarray] = []
         docs: list[np.ndarray] = []
@@ -239,14 +285,15 @@ def _ties(blocks: DataFrame, parts: int, meet_keys: np.ndarray) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(meet_keys[full].astype(np.int32)), pa.array([planes(packed[cut[i] : cut[i + 1]].ravel(), 8) for i in full.tolist()], pa.binary())], names=["bucket", "ties"])
 
         for batch in batches:
-            for bucket, base, width, packed, local, ids in zip(*[batch.column(n).to_pylist() for n in ("bucket", "base", "width", "sigs", "local", "ids")], strict=True):
-                # Partitions can share a task: the bucket joins the 32 bits again.
-                s = unplanes(packed, 4) | np.uint64(bucket << 32)
-                d = unplanes(ids, width).view(np.int64) + base
+            for at, s, d in pieces(batch):
+                if at != now:
+                    if held:
+                        yield groups(True)
+                    seen_sig, seen_doc, held, now = seen_sig[:0], seen_doc[:0], 0, at
                 sigs.append(s)
-                docs.append(d if local is None else d[np.frombuffer(local, "<u2")])
+                docs.append(d)
                 held += s.size
-                if held >= RUN:
+                if held >= most:
                     yield groups(False)
                     held = 0
             del batch
@@ -270,15 +317,16 @@ def _ties(blocks: DataFrame, parts: int, meet_keys: np.ndarray) -> DataFrame:
         for batch in batches:
             for packed in batch.column("ties"):
                 waiting.append(unplanes(packed.as_buffer(), 8).view(np.int64).reshape(-1, 3))
-                if sum(map(len, waiting)) > RUN // 2:
+                if sum(map(len, waiting)) > most // 2:
                     held = unite()
-                    if held[0].size > RUN // 2:
+                    if held[0].size > most // 2:
                         yield out()
                         held = [h[:0] for h in held]
         held = unite()
         yield out()
 
-    dealt = blocks.repartition(parts, "bucket").mapInArrow(run, "bucket int, ties binary")
+    dealt = blocks.repartition(parts, "bucket")
+    dealt = (dealt if ranges == 1 else _ranged(dealt, ranges)).mapInArrow(run, "bucket int, ties binary")
     return dealt.repartition(meet, "bucket").mapInArrow(once, "lead long, other long, mask long")
 
 
@@ -391,13 +439,14 @@ def _crowded(listed: DataFrame, about: DataFrame, num: int, den: int) -> DataFra
     return full.mapInArrow(run, "lead long, other long").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", task: int = TASK, tasks: int = TASKS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: links are pairs with Jaccard >= num/den.
 
     Null and empty texts, and texts of white space, have the empty set and link with nothing.  Equal sets are one
     class, so ties and repeated rows share a component.  Rows with a null id keep a null component and link with
     nothing.  Rows that share an id are one document, with the links of all its texts.  Texts of any length are hashed
-    in pieces.  Other columns are ignored; an empty table gives an empty table.
+    in pieces.  Other columns are ignored; an empty table gives an empty table.  ``task`` signatures are meant for each of
+    at most ``tasks`` tasks or, past that, for each range of one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -428,8 +477,9 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_
 
     common = _common(docs, rows, words)
     meet = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(meet, min(TASKS, total * 3 // (2 * TASK)))
-    ties = _ties(_blocks(first, words, num, den, parts, common, _even_keys(spark, parts)), parts, _even_keys(spark, meet))
+    wanted = total * 3 // (2 * task)
+    parts = max(meet, min(tasks, wanted))
+    ties = _ties(_blocks(first, words, num, den, parts, common, _even_keys(spark, parts)), parts, _even_keys(spark, meet), max(1, -(-wanted // parts)), task * 3 // 2)
     if not few:
         side = lambda n: follows.select(F.col("doc_id").alias(n), F.col("rep").alias(f"r_{n}"))
         ties = ties.join(side("lead"), "lead", "left").join(side("other"), "other", "left")

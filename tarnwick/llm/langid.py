@@ -11,6 +11,7 @@ languages apart but says little of texts of none of them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import append_columns, field, passage_of, unit_hash
 
 UNKNOWN = "und"
+#: Languages up to which each has full rows in the model, and its full share of the sample.
+FULL_LANGUAGES = 256
 ORDERS = (2, 3, 4)
 #: Lower-cased bytes; digits, ASCII punctuation and white space become one blank, 0 parts documents.
 CLASSES = np.array([32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256)], np.uint8)
@@ -113,27 +116,32 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column, bound: int, seed: str, most_languages: int, passage: int) -> tuple[list[str], list[str]]:
-    """At most about ``bound`` rows of each language, chosen by a hash of the id; texts and languages, in a fixed order.
+    """About ``bound`` rows of each language, chosen by a hash of id and text; texts and languages, in a fixed order.
 
     Counting reads two columns; the rows are then picked by a hash threshold while scanning, so nothing is shuffled
-    but the chosen rows.  Of a text longer than ``passage`` characters a hash-chosen passage of so many is taken.
+    but the chosen rows, of which equal ones count once.  In all there are twice as many as meant at most.  Of a text
+    longer than ``passage`` characters a hash-chosen passage of so many is taken.  Where languages are more than
+    ``FULL_LANGUAGES``, each has its share of the rows that so many have, and no fewer than 40.
     """
-    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(most_languages + 1).collect()}
+    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = known.groupBy("lang").count().limit(most_languages + 1).collect()
     if not sizes:
         return [], []
     if len(sizes) > most_languages:
         raise ValueError(f"more than most_languages={most_languages} languages")
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, bound / n)))])
-    u = unit_hash(F.col(id_col), F.lit(seed))
-    rows = known.where(u < share[F.col(lang_col)]).select(u.alias("u"), F.col(lang_col).alias("lang"), passage_of(F.col(text_col), passage).alias("text"))
-    rows = rows.limit(bound * len(sizes) * 2).toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
+    bound = bound if len(sizes) <= FULL_LANGUAGES else max(min(bound, 40), bound * FULL_LANGUAGES // len(sizes))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, bound / r["count"])) for r in sizes], "lang string, share double")
+    u = unit_hash(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.xxhash64("text"), F.lit(seed))
+    rows = known.withColumn("u", u).join(F.broadcast(shares), "lang").where("u < share")  # a row a language
+    rows = rows.select("u", "lang", passage_of(F.col("text"), passage).alias("text")).dropDuplicates()
+    rows = rows.orderBy("u", "lang", "text").limit(bound * len(sizes) * 2).toArrow()
     return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
 
 
 def fit(texts: list[str], langs: list[str], bits: int = 16, dims: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 7, keep: float = 0.998) -> LanguageModel:
     """Train on four fifths of the sample, calibrate temperature and rejection on the rest."""
     names = sorted(set(langs))
+    bits -= max(0, math.ceil(math.log2(max(1, len(names)) / FULL_LANGUAGES)))  # the model stays as large as it is then
     rng = np.random.default_rng(seed)
     if not names:
         return LanguageModel([UNKNOWN], np.zeros((1 << bits, 1), np.float32), np.zeros(1), bits)
@@ -218,10 +226,11 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
     return append_columns(docs, text_col, make, [field(prefix + "pred", "string"), field(prefix + "score", "double"), field(prefix + "accepted", "boolean")])
 
 
-def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, seed: str = "langid", most_languages: int = 256, passage: int = 50_000) -> LanguageModel:
-    """Fit on at most about ``per_language`` documents of each language among the ``usable`` ones, and on a passage of
-    ``passage`` characters of longer texts (documented bounds).
+def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, seed: str = "langid", most_languages: int = 8192, passage: int = 50_000) -> LanguageModel:
+    """Fit on about ``per_language`` documents of each language among the ``usable`` ones, and on a passage of ``passage``
+    characters of longer texts (documented bounds).
 
-    The model has a row of 512 KB a language; more than ``most_languages`` of them are an error, none is left out.
+    The model has a row of 512 KB a language; past ``FULL_LANGUAGES`` of them rows get shorter, so that it stays under
+    134 MB, and past ``most_languages`` they are an error: none is left out.
     """
     return fit(*sample(docs, text_col, lang_col, id_col, usable, per_language, seed, most_languages, passage))

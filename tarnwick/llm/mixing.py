@@ -68,9 +68,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     count = F.size(F.filter(steps, lambda c: c <= F.col(u)))
     copies = joined.withColumn(n, count).where(F.col(n) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(n))))
     # Ranges of a uniform hash: dealt out over all partitions, in hash order within each, so in one global random order.
-    # All values count, so that different rows of one id, or of none, are spread too.
+    # All values count, so that different rows of one id, or of none, are spread too; and equal rows, which their order
+    # does not tell apart, are dealt out by where they were read.
     dealt = copies.drop(source, steps, u, n).withColumn(at, F.xxhash64(F.lit(seed), copy_col, *spread(docs, kept)))
-    return dealt.repartition(F.col(at)).sortWithinPartitions(at).drop(at)
+    return dealt.repartition(F.col(at), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).sortWithinPartitions(at).drop(at)
 
 
 def rates_size(table: DataFrame) -> tuple[int, int]:

@@ -168,25 +168,28 @@ def feature_rows(rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return append_columns(rows.select(*keep, text_col), text_col, make, [field("features", "binary")]).drop(text_col)
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    found = rows.toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
+def _matrix(rows: DataFrame, most: int) -> np.ndarray:
+    """Features of the rows, each once, cut to ``most`` by a hash of id and features in the rare case of more."""
+    found = rows.dropDuplicates(["id", "features"]).orderBy(F.xxhash64("id", "features"), "id", "features").limit(most)
+    found = found.toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
     return np.frombuffer(b"".join(found.column("features").to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = 6000, max_unlabelled: int = 6000, seed: str = "quality") -> QualityModel:
-    """Fit on at most about ``max_labelled`` trusted positives and ``max_unlabelled`` unlabelled rows among the ``usable``
-    ones (documented bounds), picked by a hash of the id while scanning.
+    """Fit on about ``max_labelled`` trusted positives and ``max_unlabelled`` unlabelled rows among the ``usable`` ones,
+    picked by hashes while scanning, and on a tenth more at most (documented bounds).
 
-    Rows labelled 1, and never otherwise, are trusted; no other label is read.
+    Rows that repeat an id and a text count once.  Rows labelled 1, and never otherwise, are trusted; no other label is read.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     trusted = labels.where(usable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("good")).where("good = 1").select("id")
     share = min(1.0, max_labelled / max(1, trusted.count()))
     few = trusted.where(unit_hash(F.col("id"), F.lit(seed)) < share)
-    p = _matrix(feature_rows(texts.join(F.broadcast(few), "id"), "text", ["id"]))
+    p = _matrix(feature_rows(texts.join(F.broadcast(few), "id"), "text", ["id"]), max_labelled * 11 // 10)
     pool = docs.where(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     share = min(1.0, max_unlabelled / max(1, pool.count()))
-    u = _matrix(feature_rows(pool.where(unit_hash(F.col("id"), F.lit(seed + "-web")) < share), "text", ["id"]))
+    chosen = unit_hash(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.xxhash64("text"), F.lit(seed + "-web")) < share
+    u = _matrix(feature_rows(pool.where(chosen), "text", ["id"]), max_unlabelled * 11 // 10)
     model = fit(p, u, class_prior(p, u))
     calibrate(model, p, u)
     return model

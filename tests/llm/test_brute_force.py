@@ -203,15 +203,16 @@ def crowded_texts(seed, n=260):
     return texts
 
 
-@pytest.mark.parametrize("bound", [None, 4])
-def test_crowded_groups_equal_all_pairs(spark, monkeypatch, bound):
-    """Large groups of near copies around a common passage; then with every join shuffled and every block tiny."""
+@pytest.mark.parametrize("bound, task", [(None, jaccard.TASK), (4, 700)])
+def test_crowded_groups_equal_all_pairs(spark, monkeypatch, bound, task):
+    """Large groups of near copies around a common passage; then with every join shuffled and every block tiny, and tasks
+    of many ranges and several runs a range."""
     if bound:
         for name in ("BROADCAST_IDS", "STAR_BLOCK", "PAIR_BLOCK"):
             monkeypatch.setattr(jaccard, name, bound)
     texts = crowded_texts(bound or 0)
     sizes, roots = near(texts)
-    got = {r["doc_id"]: r for r in jaccard.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    got = {r["doc_id"]: r for r in jaccard.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), task=task, tasks=2).collect()}
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
     assert [got[i]["component_id"] for i in range(len(texts))] == roots
 

@@ -50,7 +50,7 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch, long_text):
         assert all(np.array_equal(a, b) for a, b in zip(whole, shingles.shingle_sets(texts), strict=True))
 
 
-CLASHES = ["label", "good", "id", "quality", "quality_score", "lang_pred", "lang_score", "lang_accepted", "mix_copy", "mix_u", "component", "component_id", "rep", "node", "features", "n_tokens", "token_ids", "digest"]
+CLASHES = ["_lang_pred", "_lang_score", "_lang_accepted", "__lang_pred", "_quality_score", "label", "good", "id", "quality", "quality_score", "lang_pred", "lang_score", "lang_accepted", "mix_copy", "mix_u", "component", "component_id", "rep", "node", "features", "n_tokens", "token_ids", "digest"]
 
 
 def test_pipeline_keeps_rows_and_columns(spark):
@@ -105,6 +105,48 @@ def test_models_without_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(some, model).collect()} == {"und"}
 
 
+def test_fits_are_bounded_whatever_the_ids(spark, monkeypatch):
+    """A hot id, and rows without one, bring no more rows to the fit than any others."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: seen.append((len(p), len(u))) or SimpleNamespace())
+    monkeypatch.setattr(quality, "class_prior", lambda p, u: 0.5)
+    monkeypatch.setattr(quality, "calibrate", lambda *a: None)
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    for ident in (None, 7):
+        docs = spark.range(3000).select(F.lit(ident).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.repeat(F.lit("ab "), F.col("id").cast("int") % 700), F.col("id").cast("string")).alias("text"))
+        quality.train(docs.unionByName(docs), labels, F.lit(True), max_labelled=50, max_unlabelled=60)
+    assert all(u <= 66 for _, u in seen) and seen[0][0] == 0 and 0 < seen[1][0] <= 55 and min(u for _, u in seen) > 20
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 3900, "a").otherwise("b").alias("lang"))
+    texts, langs = langid.sample(docs.unionByName(docs), "text", "lang", "doc_id", F.lit(True), 40, "s", 9, 1000)
+    assert len(texts) == len(set(texts)) <= 160 and langs.count("b") > 10 < langs.count("a")
+
+
+def test_hundreds_of_languages(spark):
+    docs = spark.range(2 * 300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.sha2((F.col("id") % 300).cast("string"), 256)).alias("text"), F.concat(F.lit("l"), (F.col("id") % 300).cast("string")).alias("lang"))
+    model = langid.train(docs, F.lit(True))
+    assert len(model.languages) == 300 and model.logits.nbytes <= 256 << 18
+    assert langid.predict(docs, model).where("lang_pred like 'l%'").count() == 600
+
+
+def test_equal_rows_are_dealt_out(spark):
+    rows = spark.range(4000).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mix(rows, size=3.0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 4 and max(sizes) < 0.4 * sum(sizes) and sum(sizes) % 4000 == 0
+
+
+def test_a_repeated_row_stays_once_whatever_the_order(spark):
+    import corpus_pipeline as P
+
+    rows = [(1, "some words", s) for s in "cabd"] * 3 + [(2, "other words", "x")]
+    kept = [sorted(map(tuple, P.keep_one_of_group(spark, spark.createDataFrame(some, "doc_id long, text string, source string"), SMALL).collect())) for some in (rows, rows[::-1])]
+    assert kept[0] == kept[1] == [(1, "some words", "a"), (2, "other words", "x")]
+
+
 def test_too_many_languages_are_an_error(spark):
     docs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="most_languages"):
