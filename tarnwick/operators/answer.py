@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,41 @@ def generate(prompts: DataFrame, model: M.Batch, wait: float = 1.0) -> DataFrame
     return got.withColumnRenamed("reply", "answer")
 
 
+def growing(deltas: Callable[[str], Iterator[str]], least: int = 10):
+    """A table function of a prompt: (seq, shown, error), a row each time ``least`` characters more have come from the
+    generator ``deltas``, with all that has come by then, and one for what is left at the end.
+
+    A generator that raises leaves what was shown; a last row has all that came and the error.  A null prompt gives no
+    row.  Rows leave the task as they come, so an answer of any length is held once.
+    """
+
+    class Growing:
+        def eval(self, prompt: str):
+            if prompt is None:
+                return
+            shown, held, seq, error = "", "", 0, None
+            try:
+                for delta in deltas(prompt):
+                    held += delta or ""
+                    if len(held) >= least:
+                        shown, held, seq = shown + held, "", seq + 1
+                        yield seq, shown, None
+            except Exception as e:  # whatever the caller's generator raises
+                error = str(e) or type(e).__name__
+            if held or error is not None:
+                yield seq + 1, shown + held, error
+
+    return F.udtf(Growing, returnType="seq int, shown string, error string")
+
+
+def stream_answers(prompts: DataFrame, prompt_col: str, deltas: Callable[[str], Iterator[str]], least: int = 10) -> DataFrame:
+    """``prompts`` with (seq, shown, error) of their growing answers; a prompt without an answer has no row."""
+    name = f"growing_{uuid.uuid4().hex}"
+    spark = prompts.sparkSession
+    spark.udtf.register(name, growing(deltas, least))
+    return spark.sql(f"SELECT p.*, g.seq, g.shown, g.error FROM {{prompts}} p, LATERAL {name}(p.`{prompt_col}`) g", prompts=prompts)
+
+
 def extract_answers(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     """(query_id, answer, source): without a model, the sentence of the contexts (query_id, ctx_pos, source, text) that
     has most of the question's words, the first of equal ones; a fixed text where none has any."""

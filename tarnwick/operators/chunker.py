@@ -156,10 +156,9 @@ def parents(docs: DataFrame, least: int = DEFAULTS.parent_min, most: int = DEFAU
     @F.pandas_udf("array<string>")
     def resplit(sections: pd.Series) -> pd.Series:
         pieces = lambda t: S.recursive_pieces(t, most, SECTION_OVERLAP, SECTION_SEPARATORS) if len(t) > most else [t]
-        return sections.map(lambda s: [p for t in s for p in pieces(t) if p.strip()] if s is not None else [])
+        return sections.map(lambda s: [p for t in S.merged_pieces(list(s), least, "\n\n") for p in pieces(t) if p.strip()] if s is not None else [])
 
-    merged = S.merge_small(X.heading_sections(F.col("text")), least, "\n\n")
-    rows = docs.select("source", F.posexplode(resplit(merged)).alias("parent_index", "text"))
+    rows = docs.select("source", F.posexplode(resplit(X.heading_sections(F.col("text")))).alias("parent_index", "text"))
     code = S.is_code_only(F.col("text"))
     language = F.regexp_extract(X.strip(F.col("text")), r"^```([^\n]*)\n", 1)
     return rows.withColumn("parent_id", F.concat(stem(), F.lit("_parent_"), F.col("parent_index"))).withColumn("is_code", code).withColumn("code_language", F.when(code & (X.strip(language) != ""), X.strip(language)))

@@ -91,7 +91,8 @@ def ablate(spark: SparkSession, sf_dir: str, experiments) -> DataFrame:
     from ..plans import retrieve as P
 
     asked = gold(spark, sf_dir).select("query_id", "query")
-    channels = {"vector": P.vector_channel(spark, sf_dir, asked).persist(), "bm25": P.keyword_channel(spark, sf_dir, asked).persist(), "kg": P.graph_channel(spark, sf_dir).persist()}
+    table = P.words(spark, sf_dir)
+    channels = {"vector": P.vector_channel(spark, sf_dir, asked, table).persist(), "bm25": P.keyword_channel(spark, sf_dir, asked, table).persist(), "kg": P.graph_channel(spark, sf_dir, asked).persist()}
     known: dict[tuple, tuple] = {}
     rows = []
     for i, experiment in enumerate(experiments):

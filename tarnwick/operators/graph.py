@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,41 +49,50 @@ def degrees(triples: DataFrame) -> DataFrame:
     return edges(triples).select(F.explode(F.array("head", "tail")).alias("entity")).groupBy("entity").agg(F.count("*").alias("degree"))
 
 
-def hops(triples: DataFrame, seeds: DataFrame, count: int = DEFAULTS.kg_hops, most: int = DEFAULTS.kg_max_triples) -> tuple[DataFrame, DataFrame]:
-    """Triples around seeds (query_id, entity) and the chunks' votes.
+def hops(triples: DataFrame, seeds: DataFrame, count: int = DEFAULTS.kg_hops, most: int = DEFAULTS.kg_max_triples, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """Triples around seeds (query_id, entity, and ``place`` if some come before others) and the chunks' votes.
 
     Each hop follows out-edges, then in-edges, of the entities reached last and not visited before; every traversed
-    edge votes for its chunk, a triple is kept once.  The order (hop, entity, out before in, seq) makes the cap definite.
+    edge votes for its chunk, a triple is kept once.  The order (hop, place of the seed, entity, out before in, seq)
+    makes the cap definite.
 
     The traversal stops with the edge that fills the subgraph, so of every (entity, way) only its first edges can be
     walked: an entity's edges of one way hold no more than ``most`` distinct triples before the stop, and a repeated
-    triple stands next to its like.  Edges are cut to those first of each entity once, for all queries, and a query's
-    walk is cut to the stop at each hop before the next one joins; no step holds a hub's edges for every query.
+    triple stands next to its like.  Edges of the entities that some query has reached are cut to those first of each
+    entity once, for all queries, and a query's walk is cut to the stop at each hop before the next one joins; no step
+    holds a hub's edges for every query.  ``keep`` may store the walk after each hop, as all that follows reads it.
     """
     e = edges(triples)
     both = e.withColumn("entity", F.col("head")).withColumn("way", F.lit(0)).unionByName(e.withColumn("entity", F.col("tail")).withColumn("way", F.lit(1)))
-    key = ("entity", "way")
-    # The place of a triple among an entity's distinct ones is that of its first edge; edges up to place ``most`` stay.
-    first = both.groupBy(*key, "head", "relation", "tail").agg(F.min("seq").alias("first"))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("first"))
-    last = first.withColumn("n", place).where(F.col("n") <= most).groupBy(*key).agg(F.max("first").alias("until"), F.max("n").alias("n"))
-    near = both.join(last, list(key)).where((F.col("n") < most) | (F.col("seq") <= F.col("until"))).drop("until", "n")
-    at = F.struct("hop", "entity", "way", "seq")
-    front, walked, visited = seeds.distinct(), None, seeds.distinct()
+    at = F.struct("hop", "place", "entity", "way", "seq")
+    place = F.min("place" if "place" in seeds.columns else F.lit(0)).cast("int").alias("place")
+    front = seeds.groupBy("query_id", "entity").agg(place)
+    walked, visited = None, front.select("query_id", "entity")
     for hop in range(count):
-        step = front.join(near, "entity").select("query_id", F.lit(hop).alias("hop"), "entity", "way", *e.columns)
-        walked = _until_full(step if walked is None else walked.unionByName(step), at, most)
+        near = _first_edges(both.join(front.select("entity").distinct(), "entity", "left_semi"), most)
+        step = front.join(near, "entity").select("query_id", F.lit(hop).alias("hop"), "place", "entity", "way", *e.columns)
+        walked = keep(_until_full(step if walked is None else walked.unionByName(step), at, most))
         if hop + 1 < count:
             reached = walked.where(F.col("hop") == hop).select("query_id", F.when(F.col("way") == 0, F.col("tail")).otherwise(F.col("head")).alias("entity")).distinct()
             # What is reached past the stop is not walked from, as the walk is over then.
-            front = reached.join(visited, ["query_id", "entity"], "left_anti")
-            visited = visited.unionByName(front)
+            front = reached.join(visited, ["query_id", "entity"], "left_anti").withColumn("place", F.lit(0))
+            visited = visited.unionByName(front.select("query_id", "entity"))
     kept = walked.groupBy("query_id", "head", "relation", "tail").agg(F.min(at).alias("at"), F.min_by("chunk_id", at).alias("chunk_id"))
     kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).where(F.col("n") <= most)
     votes = walked.groupBy("query_id", "chunk_id").agg(F.count("*").alias("votes"))
     return kept.select("query_id", F.col("at.hop").alias("hop"), "head", "relation", "tail", "chunk_id", "n"), votes
 
 
+def _first_edges(edges_of: DataFrame, most: int) -> DataFrame:
+    """Of each (entity, way) the edges up to the first one of its ``most``-th distinct triple."""
+    key = ["entity", "way"]
+    # The place of a triple among an entity's distinct ones is that of its first edge; edges up to place ``most`` stay.
+    first = edges_of.groupBy(*key, "head", "relation", "tail").agg(F.min("seq").alias("first"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("first"))
+    last = first.withColumn("n", place).where(F.col("n") <= most).groupBy(*key).agg(F.max("first").alias("until"), F.max("n").alias("n"))
+    return edges_of.join(last, key).where((F.col("n") < most) | (F.col("seq") <= F.col("until"))).drop("until", "n")
+
+
 def _until_full(walked: DataFrame, at: Column, most: int) -> DataFrame:
     """The walk of each query up to the edge that makes its ``most``-th distinct triple, or all of it."""
     once = walked.groupBy("query_id", "head", "relation", "tail").agg(F.min(at).alias("at"))

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -102,6 +102,58 @@ def extract_triples(chunks: DataFrame, model: Batch, prompt: Callable[[Column],
     return G.postprocess_triples(G.normalize_triples(items)).select("seq", "head", "relation", "tail", "source", "chunk_id")
 
 
+def paced(model: Batch, per_second: float) -> Batch:
+    """``model``, called so that a task sends no more than so many texts a second: each call waits for its turn."""
+    due = 0.0
+
+    def call(texts: list[str]) -> list[str | None]:
+        nonlocal due
+        now = time.monotonic()
+        if due > now:
+            time.sleep(due - now)
+        due = max(due, time.monotonic()) + len(texts) / per_second
+        return model(texts)
+
+    return call
+
+
+def compare_prompts(chunks: DataFrame, model: Batch, variants: dict[str, Callable[[Column], Column]], per_second: float | None = None, wait: float = 1.0) -> DataFrame:
+    """(variant, chunk columns, reply, error, outcome): every chunk (with ``text``) worded in every way, by one model.
+
+    A chunk's variants stand in one task, one after the other, so that they meet the model alike.  ``per_second`` bounds
+    the texts that each task sends.  ``outcome`` says what became of the reply as an extraction; a reply of the form
+    ``{"content": ..., "reasoning": ...}`` is read as such.
+    """
+    worded = F.array(*[F.struct(F.lit(name).alias("variant"), make(F.col("text")).alias("prompt")) for name, make in sorted(variants.items())])
+    rows = chunks.select("*", F.explode(worded).alias("__v")).select(F.col("__v.variant").alias("variant"), *chunks.columns, F.col("__v.prompt").alias("__sent"))
+    got = ask(rows, F.coalesce("__sent", F.lit("")), model if per_second is None else paced(model, per_second), wait).drop("__sent")
+    failed = F.when(F.col("error") != "empty reply", F.col("error"))
+
+    def told(v: Column) -> Column:
+        return F.struct(F.try_variant_get(v, "$.content", "string").alias("content"), F.try_variant_get(v, "$.reasoning", "string").alias("reasoning"))
+
+    def judged(t: Column) -> Column:
+        shaped = t["content"].isNotNull() | t["reasoning"].isNotNull()
+        return _once(F.when(shaped, t["content"]).otherwise(F.col("reply")), lambda c: X.outcome(failed, c, t["reasoning"]))
+
+    return got.withColumn("outcome", _once(X.json_payload(F.col("reply")), lambda v: _once(told(v), judged)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def prompt_summary(compared: DataFrame, ident: str, first: int = 5) -> DataFrame:
+    """(variant, outcome, n, examples) of ``compare_prompts``: how often, and the ``first`` ids of what is no success."""
+    place = F.row_number().over(Window.partitionBy("variant", "outcome").orderBy(ident))
+    shown = compared.where("outcome <> 'success'").withColumn("__n", place).where(F.col("__n") <= first)
+    listed = shown.groupBy("variant", "outcome").agg(F.sort_array(F.collect_list(ident)).alias("examples"))  # ``first`` ids
+    counts = compared.groupBy("variant", "outcome").agg(F.count("*").alias("n"))
+    none = F.array().cast(listed.schema["examples"].dataType)
+    return counts.join(listed, ["variant", "outcome"], "left").select("variant", "outcome", "n", F.coalesce("examples", none).alias("examples"))
+
+
 def judge(cases: DataFrame, model: Batch, wait: float = 1.0) -> DataFrame:
     """(case columns, retrieval_relevance, faithfulness, completeness, reason) for cases (query, contexts array, answer):
     contexts and answer are cut to their limits; a reply that fails or does not parse gives nulls and its reason."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +33,46 @@ def dense(long: DataFrame, dims: int = DEFAULTS.vector_dims) -> DataFrame:
     return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("vec"))
 
 
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, ts, tfs) of rows (id, w): distinct words in order of their first place, with their counts; nulls for null."""
+    for batch in batches:
+        lists = batch.column("w")
+        if not batch.num_rows:
+            continue
+        length = lists.value_lengths()
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), length.fill_null(0).to_numpy(zero_copy_only=False))
+        key, first, count = np.unique(row * max(1, len(words.dictionary)) + code, return_index=True, return_counts=True)
+        order = np.argsort(first, kind="stable")
+        first, count = first[order], count[order]
+        ends = np.r_[0, np.cumsum(np.bincount(row[first], minlength=len(lists)))].astype(np.int32)
+        terms = words.dictionary.take(pa.array(code[first]))
+        none = pa.array(length.is_null().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), length.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), terms, mask=none), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)), mask=none)], names=["id", "dl", "ts", "tfs"])
+
+
+def word_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: int = DEFAULTS.vector_dims) -> DataFrame:
+    """(id, dl, ts, tfs, vec): each document's length, distinct words with their counts, and default embedding, null
+    without a word.  The texts are cut once and nothing is shuffled; written, it serves both channels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in counted_words(batches):
+            ts, tfs = batch.column("ts"), batch.column("tfs")
+            words = ts.flatten().dictionary_encode()
+            at = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in words.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(ts)), ts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            vec = np.zeros((len(ts), dims))
+            np.add.at(vec, (row, at[words.indices.to_numpy(zero_copy_only=False)]), tfs.flatten().to_numpy())
+            norm = np.sqrt((vec * vec).sum(axis=1))
+            vec /= np.maximum(norm, 1)[:, None]
+            ends = pa.array(np.arange(len(ts) + 1, dtype=np.int32) * dims)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(vec.ravel()), mask=pa.array(norm == 0))], names=[*batch.schema.names, "vec"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), X.tokens(F.col(text_col)).alias("w"))
+    return rows.mapInArrow(run, "id long, dl long, ts array<string>, tfs array<int>, vec array<double>")
+
+
 def ranked(rows: DataFrame, score: str, ident: str, k: int | None = None, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """``rank`` from 1 by score, ties by id; the best ``k``."""
     out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), ident)))
@@ -96,6 +139,19 @@ def bm25(
     return part.join(asked, "t").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
 
 
+def bm25_of_words(words: DataFrame, queries: DataFrame, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b, epsilon: float = DEFAULTS.bm25_epsilon) -> DataFrame:
+    """``bm25`` from a written ``word_table``: lengths, document counts and postings come from its columns."""
+    df = words.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    total = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
+    about = {"n": total["n"], "avgdl": total["length"] / total["n"] if total["n"] else 1.0}
+    about["mean_idf"] = df.agg(F.coalesce(F.avg(_raw_idf(about["n"])), F.lit(0.0))).first()[0]
+    asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("q"))
+    weights = asked.join(df, "t").select("query_id", "t", (F.col("q") * _idf(about, epsilon)).alias("w"))
+    pairs = words.select("id", "dl", F.explode(F.arrays_zip("ts", "tfs")).alias("p")).select("id", "dl", F.col("p.ts").alias("t"), F.col("p.tfs").alias("tf"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / about["avgdl"]))
+    return pairs.join(weights, "t").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * part), 6).alias("score"))
+
+
 def bm25_topk(scores: DataFrame, k: int = DEFAULTS.recall_k) -> DataFrame:
     """The best ``k``, then those above zero."""
     return ranked(scores, "score", "id", k).where("score > 0")

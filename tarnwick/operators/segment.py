@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,15 +81,30 @@ def chunks(sentences: DataFrame, cuts: DataFrame) -> DataFrame:
     return listed.select("doc", F.col("chunk").cast("int").alias("chunk"), text.alias("text"), F.size("s").alias("n"), "is_code", F.when(F.col("is_code"), F.col("language")).alias("code_language"))
 
 
+def merged_pieces(pieces: list[str], least: int, joint: str = " ") -> list[str]:
+    """Texts in order, each joined by the next ones while it is shorter than ``least``; in time linear in the texts."""
+    out: list[str] = []
+    held: list[str] = []
+    length = 0
+    for piece in pieces:
+        if held and length >= least:
+            out.append(joint.join(held))
+            held, length = [], 0
+        length += len(piece) + (len(joint) if held else 0)
+        held.append(piece)
+    if held:
+        out.append(joint.join(held))
+    return out
+
+
 def merge_small(pieces: Column, least: int, joint: str = " ") -> Column:
-    """Left fold over an array of texts: while the last piece is short, the next one joins it."""
+    """``merged_pieces`` of an array of texts, null for null."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(joint), x)))
-        return F.when(F.size(acc) == 0, F.array(x)).when(F.length(last) < least, joined).otherwise(F.concat(acc, F.array(x)))
+    @F.pandas_udf("array<string>")
+    def merge(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else merged_pieces(list(r), least, joint))
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    return merge(pieces)
 
 
 def hard_slices(c: Column, most: int) -> Column:
@@ -105,39 +122,56 @@ def split_oversized(pieces: list[str], most: int) -> list[list[str]]:
     return split_oversized(pieces[:half], most) + split_oversized(pieces[half:], most)
 
 
-def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n## ", "\n### ", "\n\n", "\n", "。", "")) -> list[str]:
+#: Where the fallback splitter cuts, coarsest first.
+SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", "。", "")
+
+
+def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Split at the first separator that occurs, keeping it in front of what follows; pack pieces up to ``size``
-    characters with an overlap of whole pieces; split what is still longer by the separators that remain."""
+    characters with an overlap of whole pieces; split what is still longer by the separators that remain.
+
+    A piece is packed and let go of once, and single characters are packed by offsets, so the time is linear in the text
+    for each separator.
+    """
     at = next(i for i, s in enumerate(separators) if not s or s in text)
     sep, rest = separators[at], separators[at + 1 :]
-    if sep:
-        head, *tail = text.split(sep)
-        parts = [p for p in [head, *[sep + t for t in tail]] if p]
-    else:
-        parts = list(text)
+    if not sep:
+        return _windows(text, size, overlap)
+    head, *tail = text.split(sep)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    length = 0
 
     def flush() -> None:
         whole = "".join(held).strip()
         if whole:
             out.append(whole)
 
-    for part in parts:
+    for part in filter(None, [head, *[sep + t for t in tail]]):
         if len(part) > size and rest:
             flush()
             held.clear()
+            length = 0
             out += recursive_pieces(part, size, overlap, rest)
             continue
-        if held and sum(map(len, held)) + len(part) > size:
+        if held and length + len(part) > size:
             flush()
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(part) > size):
-                held.pop(0)
+            while held and (length > overlap or length + len(part) > size):
+                length -= len(held.popleft())
         held.append(part)
+        length += len(part)
     flush()
     return out
 
 
+def _windows(text: str, size: int, overlap: int) -> list[str]:
+    """Trimmed windows of ``size`` characters that share ``overlap``, or all but one of a window's."""
+    size = max(size, 1)
+    step = size - min(overlap, size - 1)
+    last = max(0, -(-(len(text) - size) // step)) if len(text) > size else 0
+    return [w for w in (text[i * step : i * step + size].strip() for i in range(last + 1)) if w]
+
+
 def recursive_split(docs: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_index, chunk): the fallback splitter, in Arrow batches."""
     @F.pandas_udf("array<string>")

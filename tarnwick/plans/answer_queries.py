@@ -77,6 +77,18 @@ def extractive_answer(spark, d):
     return A.extract_answers(asked, contexts)
 
 
+def _by_four(text: str):
+    return (text[a : a + 4] for a in range(0, len(text), 4))
+
+
+@query(f"""WITH {T.SENTENCES}, a AS (SELECT doc_id, sentence FROM sentences WHERE pos = 0), n AS (SELECT *, (length(sentence) + 11) // 12 AS n FROM a)
+    SELECT doc_id, s::INT AS seq, md5(substr(sentence, 1, CAST(12 * s AS INT))) AS shown, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, unnest(generate_series(1, n)) AS s FROM n)""")
+def answer_stream(spark, d):
+    """First sentences as answers that come by four characters and are shown by ten at least."""
+    first = T.load(spark, d, "documents").select("doc_id", F.try_element_at(X.sentences(F.col("text")), F.lit(1)).alias("sentence"))
+    return A.stream_answers(first, "sentence", _by_four).select("doc_id", "seq", F.md5("shown").alias("shown"), "error")
+
+
 _JSON = """CASE event_id % 5 WHEN 0 THEN '{"route": "global", "mode": "hybrid", "align_ms": 1.5, "rerank_active": true}' WHEN 1 THEN '{"mode": "bm25", "embed_ms": null, "parent_child_child_hits": 7}'
     WHEN 2 THEN '{"route_decision": "local", "mode": "", "original_query": "' || event_type || '", "align_triggered": false}' WHEN 3 THEN '{}' ELSE 'no json' END"""
 

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators import metrics as M
+from ..operators import models
 from . import tables as T
 
 Q: dict = {}
@@ -102,6 +103,27 @@ def examples_per_group(spark, d):
     return M.first_per_group(_outcomes(spark, d).where("outcome <> 'success'"), "outcome", "event_id").select("outcome", "event_id", "n")
 
 
+def _extractor(prompts: list[str]) -> list[str]:
+    """A stub that likes short prompts and lists less than objects."""
+    if any(p.startswith("List") and len(p) % 11 == 0 for p in prompts):
+        raise OSError("overloaded")
+    replies = ['[{"head": "a", "relation": "b", "tail": "c"}]', "[]", "no json", '{"content": "", "reasoning": "because"}', '{"a": 1}']
+    return [replies[0] if len(p) % 7 > 4 else replies[len(p) % 7] for p in prompts]
+
+
+_VARIANTS = {"list": "List the triples of: ", "object": "As an object, the triples of: "}
+
+
+@query(f"""WITH v(variant, lead) AS (VALUES {', '.join(f"('{k}', '{t}')" for k, t in _VARIANTS.items())}), p AS (SELECT variant, lead, item_id, length(lead || coalesce(text, '')) AS n FROM benchmark CROSS JOIN v),
+    o AS (SELECT variant, item_id, CASE WHEN variant = 'list' AND n % 11 = 0 THEN 'exception' WHEN n % 7 > 4 OR n % 7 = 0 THEN 'success' WHEN n % 7 = 1 THEN 'empty_triples_list' WHEN n % 7 = 2 THEN 'json_parse_error' WHEN n % 7 = 3 THEN 'reasoning_only' ELSE 'non_list_payload' END AS outcome FROM p)
+    SELECT variant, outcome, count(*) AS n, CASE WHEN outcome = 'success' THEN '' ELSE array_to_string(list_sort(list(item_id))[1:5], ',') END AS examples FROM o GROUP BY 1, 2""")
+def prompt_comparison(spark, d):
+    """Two ways to ask for triples, over all benchmark texts, by a stub model."""
+    made = {k: (lambda t, lead=lead: F.concat(F.lit(lead), F.coalesce(t, F.lit("")))) for k, lead in _VARIANTS.items()}
+    got = models.compare_prompts(T.load(spark, d, "benchmark"), _extractor, made, wait=0)
+    return models.prompt_summary(got, "item_id").withColumn("examples", F.array_join("examples", ","))
+
+
 _CONTEXTS = """c AS (SELECT doc_id AS pos, lang, source, CASE doc_id % 4 WHEN 0 THEN [source, ' ' || lang || ' ', ''] WHEN 1 THEN [] END AS sources, CASE WHEN doc_id % 3 > 0 THEN 'kind' || doc_id % 3 END AS score_type, CASE WHEN doc_id % 5 > 0 THEN (n_chars % 50)::DOUBLE END AS score FROM documents),
     n AS (SELECT pos, coalesce(score, 0) AS score, coalesce(score_type, 'unknown') AS score_type, unnest(CASE WHEN len(sources) > 0 THEN sources ELSE [source] END) AS name, generate_subscripts(CASE WHEN len(sources) > 0 THEN sources ELSE [source] END, 1) AS spot FROM c),
     b AS (SELECT trim(name) AS source, first(score_type ORDER BY score DESC, pos, spot) AS score_type, max(score) AS score, min(pos) AS first_pos FROM n WHERE trim(name) <> '' GROUP BY 1)"""

@@ -8,30 +8,56 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.match import link_entities
+from ..sources.versions import shared_folder
 from . import tables as T
 
 #: Fixed value: what stands before the central structure.
 MACRO = "以下是整个知识库的宏观核心知识结构（核心实体关系）：\n"
 
 
-def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
-    docs = R.dense(R.hashed_terms(T.texts(spark, sf_dir), "doc_id"))
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back, for what several steps of a plan read."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word table of ``documents``, written to the shared folder: one reading of the texts for all channels."""
+    return stored(R.word_table(T.texts(spark, sf_dir)), "words")
+
+
+def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
+    """``table`` is what ``words`` wrote, if several channels share it."""
+    docs = (words(spark, sf_dir) if table is None else table).where("vec is not null").select("id", "vec")
     asked = T.questions(spark, sf_dir) if asked is None else asked
     return R.vector_topk(docs, R.dense(R.hashed_terms(asked, "query_id", "query")).select(F.col("id").alias("query_id"), "vec"))
 
 
-def keyword_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
-    return R.bm25_topk(R.bm25(T.texts(spark, sf_dir), T.questions(spark, sf_dir) if asked is None else asked))
+def keyword_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
+    return R.bm25_topk(R.bm25_of_words(words(spark, sf_dir) if table is None else table, T.questions(spark, sf_dir) if asked is None else asked))
 
 
-def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents a query's graph walk votes for: here the derived triples' chunks, by customer key modulo documents.
+def graph_seeds(spark: SparkSession, sf_dir: str, triples: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(query_id, entity, place): the entities that the questions mean, in the order of the ways that find them."""
+    linked = link_entities(T.mentions(spark, sf_dir, asked), T.entities(triples))
+    return stored(linked.select("query_id", "entity", F.col("way").alias("place")), "seeds")
 
-    The walk starts at nation query_id modulo 25.
-    """
-    n = T.load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("entity"))
-    seeds = T.questions(spark, sf_dir).join(n, F.col("query_id") % 25 == F.col("n_nationkey")).select("query_id", "entity")
-    _, votes = G.hops(T.triples(spark, sf_dir), seeds)
+
+def walk(spark: SparkSession, sf_dir: str, triples: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The subgraphs that the questions' entities span, and the chunks' votes."""
+    return G.hops(triples, graph_seeds(spark, sf_dir, triples, asked), keep=lambda rows: stored(rows, "walk"))
+
+
+def graph_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """Documents that the walk from a question's entities votes for: here the derived triples' chunks, by customer key
+    modulo documents."""
+    return voted(walk(spark, sf_dir, T.triples(spark, sf_dir), asked)[1])
+
+
+def voted(votes: DataFrame) -> DataFrame:
+    """(query_id, id, rank, score): the documents with most votes."""
     best = R.ranked(votes, "votes", "chunk_id", DEFAULTS.kg_top_k)
     return best.select("query_id", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long").alias("id"), "rank", G.candidate_score(F.col("rank") - 1).alias("score"))
 
@@ -43,7 +69,8 @@ def fuse(vector: DataFrame, keyword: DataFrame) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse(vector_channel(spark, sf_dir), keyword_channel(spark, sf_dir))
+    table = words(spark, sf_dir)
+    return fuse(vector_channel(spark, sf_dir, table=table), keyword_channel(spark, sf_dir, table=table))
 
 
 def global_contexts(spark: SparkSession, triples: DataFrame | None, texts: DataFrame, sources: int = 3, summarise=None, wait: float = 1.0) -> DataFrame:
@@ -85,13 +112,15 @@ def retrieve(
     """
     have = channels or {}
     asked = T.questions(spark, sf_dir) if asked is None else asked
-    vector = lambda: have["vector"] if "vector" in have else vector_channel(spark, sf_dir, asked)
-    keyword = lambda: have["bm25"] if "bm25" in have else keyword_channel(spark, sf_dir, asked)
+    wanted = {"vector": ("vector",), "bm25": ("bm25",)}.get(mode, ("vector", "bm25"))
+    table = None if set(wanted) <= set(have) else words(spark, sf_dir)
+    vector = lambda: have["vector"] if "vector" in have else vector_channel(spark, sf_dir, asked, table)
+    keyword = lambda: have["bm25"] if "bm25" in have else keyword_channel(spark, sf_dir, asked, table)
     base = vector() if mode == "vector" else keyword() if mode == "bm25" else fuse(vector(), keyword())
     base = base.select("query_id", "id", "score", "rank")
     if use_kg:
         d = DEFAULTS
-        graph = have["kg"] if "kg" in have else graph_channel(spark, sf_dir)
+        graph = have["kg"] if "kg" in have else graph_channel(spark, sf_dir, asked)
         fused = R.rrf(R.named(base, "base").unionByName(R.named(graph, "kg")), {"base": 1.0, "kg": d.weight_kg})
         base = R.ranked(fused, "score", "id").select("query_id", "id", "score", "rank")
     notes = T.notes(spark, sf_dir)

@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators.evaluate import EXPERIMENTS, ablate, effective, evaluate
-from ..operators.match import substring_matches
+from ..operators.match import entity_vectors, link_entities, substring_matches, token_matches
 from ..sources.keyword_index import KeywordIndex
 from ..sources.vector_index import VectorIndex
 from ..sources.versions import shared_folder
@@ -178,8 +178,15 @@ def stored_bm25_stats(spark, d):
 _CHANNELS = f"{T.VECTORS}, {T.BM25}, ch AS (SELECT 'vector' AS channel, query_id, id, rank, score FROM vtop UNION ALL SELECT 'bm25', query_id, id, rank, score FROM btop)"
 
 
+def _both(spark, d):
+    """The vector and the keyword channel, from one reading of the texts."""
+    table = P.words(spark, d)
+    return P.vector_channel(spark, d, table=table), P.keyword_channel(spark, d, table=table)
+
+
 def _channels(spark, d):
-    return R.named(P.vector_channel(spark, d), "vector").unionByName(R.named(P.keyword_channel(spark, d), "bm25"))
+    vector, keyword = _both(spark, d)
+    return R.named(vector, "vector").unionByName(R.named(keyword, "bm25"))
 
 
 def _rrf_sql(weight: str) -> str:
@@ -217,12 +224,12 @@ def retrieve_hybrid(spark, d):
     return P.hybrid(spark, d)
 
 
-_HOPS = f"""{T.TRIPLES}, seeds AS (SELECT item_id AS query_id, n_name AS entity FROM benchmark JOIN nation ON item_id % 25 = n_nationkey),
-    w0 AS (SELECT query_id, 0 AS hop, entity, 0 AS way, t.* FROM seeds JOIN triples t ON head = entity UNION ALL SELECT query_id, 0, entity, 1, t.* FROM seeds JOIN triples t ON tail = entity),
+_HOPS = f"""{T.TRIPLES}, {T.LINKED}, seeds AS (SELECT query_id, entity, way AS place FROM linked),
+    w0 AS (SELECT query_id, 0 AS hop, place AS spot, entity, 0 AS way, t.* FROM seeds JOIN triples t ON head = entity UNION ALL SELECT query_id, 0, place, entity, 1, t.* FROM seeds JOIN triples t ON tail = entity),
     front AS (SELECT DISTINCT query_id, CASE way WHEN 0 THEN tail ELSE head END AS entity FROM w0),
     f1 AS (SELECT * FROM front f WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = f.query_id AND s.entity = f.entity)),
-    w AS (SELECT * FROM w0 UNION ALL SELECT query_id, 1, entity, 0, t.* FROM f1 JOIN triples t ON head = entity UNION ALL SELECT query_id, 1, entity, 1, t.* FROM f1 JOIN triples t ON tail = entity),
-    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, entity, way, seq) AS place FROM w),
+    w AS (SELECT * FROM w0 UNION ALL SELECT query_id, 1, 0, entity, 0, t.* FROM f1 JOIN triples t ON head = entity UNION ALL SELECT query_id, 1, 0, entity, 1, t.* FROM f1 JOIN triples t ON tail = entity),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, spot, entity, way, seq) AS place FROM w),
     once AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, head, relation, tail ORDER BY place) = 1),
     kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM once QUALIFY n <= 30),
     fin AS (SELECT query_id, max(n) AS n, max(place) AS place FROM kept GROUP BY 1),
@@ -231,19 +238,18 @@ _HOPS = f"""{T.TRIPLES}, seeds AS (SELECT item_id AS query_id, n_name AS entity
     kgc AS (SELECT query_id, regexp_extract(chunk_id, '(\\d+)$', 1)::BIGINT AS id, rank, round(0.4 + greatest(5 - (rank - 1), 0) / 5 * 0.1, 6) AS score FROM kg)"""
 
 
-def _seeds(spark, d):
-    n = T.load(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("entity"))
-    return T.questions(spark, d).join(n, F.col("query_id") % 25 == F.col("n_nationkey")).select("query_id", "entity")
+def _walk(spark, d):
+    return P.walk(spark, d, T.triples(spark, d))
 
 
 @query(f"WITH {_HOPS} SELECT query_id, hop::INT AS hop, head, relation, tail, chunk_id, n::INT AS n FROM kept")
 def khop_subgraph(spark, d):
-    return G.hops(T.triples(spark, d), _seeds(spark, d))[0]
+    return _walk(spark, d)[0]
 
 
 @query(f"WITH {_HOPS} SELECT query_id, chunk_id, votes FROM votes")
 def kg_chunk_votes(spark, d):
-    return G.hops(T.triples(spark, d), _seeds(spark, d))[1]
+    return _walk(spark, d)[1]
 
 
 @query(f"WITH {_HOPS} SELECT query_id, id, rank::INT AS rank, score FROM kgc")
@@ -258,7 +264,7 @@ _TWO = """base AS (SELECT 'base' AS channel, query_id, id, row_number() OVER (PA
 
 @query(f"WITH {_HYBRID}, {_HOPS}, {_TWO.format(base='fused')} SELECT * FROM fused2")
 def two_stage_fusion(spark, d):
-    return R.two_stage(P.vector_channel(spark, d), P.keyword_channel(spark, d), P.graph_channel(spark, d))
+    return R.two_stage(*_both(spark, d), P.graph_channel(spark, d))
 
 
 @query(f"WITH {_HYBRID}, {_HOPS}, {_TWO.format(base='fused')} SELECT query_id, round(count(*) FILTER (WHERE contains(channels, 'kg')) / greatest(count(*), 1), 6) AS hit_rate FROM fused2 GROUP BY 1")
@@ -274,7 +280,7 @@ def dedupe_first(spark, d):
 
 @query(f"WITH {T.VECTORS}, {T.BM25} SELECT query_id, id, 'first' AS part, rank::INT AS pos FROM vtop UNION ALL SELECT query_id, id, 'then', (100 + rank)::INT FROM btop")
 def context_concat(spark, d):
-    a, b = P.vector_channel(spark, d), P.keyword_channel(spark, d)
+    a, b = _both(spark, d)
     return a.select("query_id", "id", F.lit("first").alias("part"), F.col("rank").alias("pos")).unionByName(b.select("query_id", "id", F.lit("then").alias("part"), (F.lit(100) + F.col("rank")).alias("pos")))
 
 
@@ -323,7 +329,8 @@ def rerank_seeds(spark, d):
 
 @query(f"WITH {T.VECTORS}, {T.BM25} SELECT query_id, id FROM (SELECT query_id, id FROM vtop UNION SELECT query_id, id FROM btop)")
 def rerank_pairs_dedupe(spark, d):
-    return P.vector_channel(spark, d).select("query_id", "id").unionByName(P.keyword_channel(spark, d).select("query_id", "id")).distinct()
+    vector, keyword = _both(spark, d)
+    return vector.select("query_id", "id").unionByName(keyword.select("query_id", "id")).distinct()
 
 
 _FULL = f"""{_HYBRID}, {_HOPS}, {T.NOTES}, {_TWO.format(base='hy')},
@@ -414,23 +421,21 @@ def entity_substring_join(spark, d):
 _ETOK = f"e AS (SELECT DISTINCT source AS entity, unnest({T.tok('source')}) AS t FROM documents), qt AS (SELECT DISTINCT item_id AS query_id, unnest({T.tok('text || chr(32) || chr(115) || chr(114) || chr(99) || (item_id % 20)')}) AS t FROM benchmark)"
 
 
-def _token_matches(spark, d):
-    e = T.load(spark, d, "documents").select(F.col("source").alias("entity")).distinct().select("entity", F.explode(X.tokens(F.col("entity"))).alias("t"))
-    q = T.questions(spark, d).select("query_id", F.explode(F.array_distinct(X.tokens(F.concat("query", F.lit(" src"), (F.col("query_id") % 20).cast("string"))))).alias("t"))
-    return q.where("length(t) > 1").join(e.where("length(t) > 1"), "t").select("query_id", "entity").distinct()
-
-
 @query(f"WITH {_ETOK} SELECT DISTINCT query_id, entity FROM e JOIN qt USING (t) WHERE length(t) > 1")
 def entity_token_join(spark, d):
-    return _token_matches(spark, d)
+    q = T.questions(spark, d).select("query_id", F.concat("query", F.lit(" src"), (F.col("query_id") % 20).cast("string")).alias("query"))
+    return token_matches(q, T.load(spark, d, "documents").select(F.col("source").alias("entity")).distinct())
 
 
-@query(f"""WITH {_ETOK}, m AS (SELECT 1 AS way, query_id, entity FROM e JOIN qt USING (t) WHERE length(t) > 1 UNION SELECT 0, item_id, source FROM benchmark JOIN (SELECT DISTINCT source FROM documents) ON contains(lower(text), lower(source)) OR contains(lower(source), lower(text)))
-    SELECT query_id, entity, min(way)::INT AS way FROM m GROUP BY 1, 2""")
+@query(f"WITH {T.TRIPLES}, {T.LINKED} SELECT query_id, entity, way::INT AS way FROM linked")
 def match_entities(spark, d):
-    names = T.load(spark, d, "documents").select(F.col("source").alias("entity")).distinct()
-    q = T.questions(spark, d)
-    return substring_matches(q, names).withColumn("way", F.lit(0)).unionByName(_token_matches(spark, d).withColumn("way", F.lit(1))).groupBy("query_id", "entity").agg(F.min("way").alias("way"))
+    """All three ways, the last one through a stored index of the graph's entities."""
+    names = T.entities(T.triples(spark, d))
+    index = VectorIndex(spark, shared_folder(spark, "entity-index"))
+    vectors = entity_vectors(names)
+    index.fit(vectors)
+    index.upsert(vectors, 0)
+    return link_entities(T.mentions(spark, d), names, index)
 
 
 @query(f"WITH {T.TRIPLES} SELECT seq, head, relation, tail, source, chunk_id FROM triples WHERE head <> '' AND tail <> ''")
@@ -469,10 +474,7 @@ def subgraph_text(spark, d):
     SELECT 'global_kg_macro' AS id, '以下是整个知识库的宏观核心知识结构（核心实体关系）：' || chr(10) || (SELECT string_agg('(' || head || ') -[' || relation || ']-> (' || tail || ')', chr(10) ORDER BY n) FROM cen) AS text, 'Knowledge Graph Macro' AS source, 'kg_centrality' AS score_type, 1.0::DOUBLE AS score
     UNION ALL SELECT chunk_id, d.text, d.source, NULL, 0.9::DOUBLE FROM best JOIN documents d ON d.doc_id = regexp_extract(chunk_id, '(\\d+)$', 1)::BIGINT""")
 def global_retrieve(spark, d):
-    # The derived triples' chunks stand for documents, as in the graph channel.
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("customer", "nation", "supplier")])).alias("kind")
-    texts = T.load(spark, d, "documents").select(kinds, "doc_id", "text", "source").select(F.concat_ws("_", "kind", "doc_id").alias("chunk_id"), "text", "source")
-    return P.global_contexts(spark, T.triples(spark, d), texts)
+    return P.global_contexts(spark, T.triples(spark, d), T.chunk_texts(spark, d))
 
 
 _DOUBLE = f"{T.TRIPLES}, twice AS (SELECT 0 AS origin, * FROM triples UNION ALL SELECT 1, seq, upper(head) || ' ', relation, tail, source, chunk_id FROM triples WHERE seq % 2 = 0)"

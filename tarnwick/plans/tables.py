@@ -45,6 +45,12 @@ TRIPLES = """
       UNION ALL SELECT s_suppkey::BIGINT + 2000000000000, s_name, 'located_in', n_name, 'supplier', 'supplier_' || (s_suppkey % (SELECT greatest(1, count(*)) FROM documents)) FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, text, source): documents as the chunks that the derived triples come from, by any of their kinds."""
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("customer", "nation", "supplier")])).alias("kind")
+    return load(spark, sf_dir, "documents").select(kinds, "doc_id", "text", "source").select(F.concat_ws("_", "kind", "doc_id").alias("chunk_id"), "text", "source")
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, source, chunk_index, text): ten documents make a note."""
     d = load(spark, sf_dir, "documents")
@@ -59,6 +65,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def mentions(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """(query_id, query) for the graph: the questions name none of its entities, so the first three words of each stand
+    before a nation's name or the number of a customer and a supplier, by turns."""
+    from ..functions import text as X
+
+    q = questions(spark, sf_dir) if asked is None else asked
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("n"))
+    name = F.when(F.col("query_id") % 2 == 0, F.col("n")).otherwise(F.lpad((F.col("query_id") % 100).cast("string"), 9, "0"))
+    words = F.slice(X.tokens(F.col("query")), 1, 3)
+    return q.join(F.broadcast(nation), F.col("query_id") % 25 == F.col("n_nationkey")).select("query_id", F.array_join(F.concat(words, F.array(name)), " ").alias("query"))  # 25 nations
+
+
+def entities(triples: DataFrame) -> DataFrame:
+    return triples.select(F.explode(F.array("head", "tail")).alias("entity")).distinct()
+
+
 TOK = r"regexp_extract_all(regexp_replace(lower(coalesce({c}, '')), '([\x{{4e00}}-\x{{9fff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
 
 
@@ -91,6 +113,25 @@ VECTORS = f"""
     vscore AS (SELECT query_id, id, round(2 * sum(d.w * q.w) - 1, 6) AS score FROM dvec d JOIN qvec q USING (dim) GROUP BY ALL),
     vtop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vscore QUALIFY rank <= 10)"""
 
+def unit_vectors(name: str, source: str, key: str, text: str) -> str:
+    """The default embedding of ``source`` in long form as the CTE ``name`` (key, dim, w)."""
+    return f"""{name}_c AS (SELECT {key}, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS dim, count(*)::DOUBLE AS tf FROM (SELECT {key}, unnest({tok(text)}) AS t FROM {source}) GROUP BY ALL),
+    {name} AS (SELECT {key}, dim, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {key})) AS w FROM {name}_c)"""
+
+
+#: Entities of ``triples`` that the graph's questions mean, by the first of three ways: (query_id, entity, way).
+LINKED = f"""
+    mention AS (SELECT item_id AS query_id, array_to_string({tok('text')}[1:3] || [CASE item_id % 2 WHEN 0 THEN lower(n_name) ELSE lpad((item_id % 100)::VARCHAR, 9, '0') END], ' ') AS query FROM benchmark JOIN nation ON item_id % 25 = n_nationkey),
+    ent AS MATERIALIZED (SELECT head AS entity FROM triples UNION SELECT tail FROM triples),
+    plain AS MATERIALIZED (SELECT entity, regexp_replace({trimmed('lower(entity)')}, '{WS}+', ' ', 'g') AS e FROM ent WHERE length(entity) > 1),
+    stated AS (SELECT query_id, regexp_replace({trimmed('lower(query)')}, '{WS}+', ' ', 'g') AS q FROM mention),
+    way0 AS (SELECT query_id, entity FROM stated JOIN plain ON q <> '' AND e <> '' AND (contains(q, e) OR contains(e, q))),
+    way1 AS (SELECT DISTINCT query_id, entity FROM (SELECT query_id, unnest({tok('query')}) AS t FROM mention) JOIN (SELECT entity, unnest({tok('entity')}) AS t FROM ent) USING (t) WHERE length(t) > 1),
+    {unit_vectors('mvec', 'mention', 'query_id', 'query')}, {unit_vectors('evec', 'ent', 'entity', 'entity')},
+    mnear AS (SELECT query_id, entity, round(2 * sum(m.w * e.w) - 1, 6) AS score FROM mvec m JOIN evec e USING (dim) GROUP BY ALL),
+    way2 AS (SELECT query_id, entity, score FROM mnear QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ('0x' || substr(md5(entity), 1, 15))::BIGINT) <= 5),
+    linked AS MATERIALIZED (SELECT query_id, entity, min(way) AS way FROM (SELECT query_id, entity, 0 AS way FROM way0 UNION ALL SELECT query_id, entity, 1 FROM way1 UNION ALL SELECT query_id, entity, 2 FROM way2 WHERE (score + 1) / 2 >= 0.35) GROUP BY ALL)"""
+
 BM25 = f"""
     dtok AS MATERIALIZED (SELECT doc_id AS id, {tok('text')} AS w FROM documents),
     tf AS MATERIALIZED (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(w) AS t FROM dtok) GROUP BY ALL),

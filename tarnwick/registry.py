@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from .plans import answer_queries, report_queries, search_queries, text_queries
+from .plans import answer_queries, report_queries, request_queries, search_queries, text_queries
 from .session import prepare
 
 
@@ -14,5 +14,5 @@ def _prepared(f):
     return run
 
 
-QUERIES = {name: _prepared(f) for name, f in {**text_queries.Q, **search_queries.Q, **report_queries.Q, **answer_queries.Q}.items()}
-ORACLE_SQL = {**text_queries.SQL, **search_queries.SQL, **report_queries.SQL, **answer_queries.SQL}
+QUERIES = {name: _prepared(f) for name, f in {**text_queries.Q, **search_queries.Q, **report_queries.Q, **answer_queries.Q, **request_queries.Q}.items()}
+ORACLE_SQL = {**text_queries.SQL, **search_queries.SQL, **report_queries.SQL, **answer_queries.SQL, **request_queries.SQL}

@@ -15,9 +15,14 @@ CASE = "query string, category string, difficulty string, expected_keywords arra
 
 
 def markdown_dir(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, md5) of every ``*.md`` under ``path``; undecodable bytes are replaced."""
+    """(path, text, md5, error) of every ``*.md`` under ``path``, with paths relative to it.  A file that is not UTF-8 has
+    its error and no text; the others go on."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("text"), F.md5("content").alias("md5"))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    text = F.col("content").cast("string")
+    good = F.is_valid_utf8(text)
+    return files.select(F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("path"), F.when(good, text).alias("text"), F.md5("content").alias("md5"), F.when(~good, "not UTF-8").alias("error"))
 
 
 def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as X
+from ..operators.retrieval import counted_words
 from .versions import Versions
 
 DOCS = "id long, dl long, ts array<string>, tfs array<int>, part int"
@@ -43,20 +44,21 @@ class KeywordIndex:
     terms.  Of rows that share an id in one batch, the one with most words counts, then the one whose words sort last.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, block: int = 256):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, block: int = 256, upto: int | None = None):
         self.spark, self.buckets, self.block = spark, buckets, block
-        self.store = Versions(spark, path, TOTALS)
+        self.store = Versions(spark, path, TOTALS, upto)
 
     # Writing
 
-    def upsert(self, docs: DataFrame, version: int, id_col: str = "doc_id", text_col: str = "text") -> bool:
-        """Put in the given documents in place of those of the same ids.  False if the version is there already."""
-        words = X.tokens(F.col(f"`{text_col}`"))
-        return self._apply(docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), words.alias("w")), version)
+    def upsert(self, docs: DataFrame, version: int, id_col: str = "doc_id", text_col: str = "text", removed: DataFrame | None = None) -> bool:
+        """Put in the given documents in place of those of the same ids, and take out those of ``removed``, which are
+        others.  False if the version is there already."""
+        rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), X.tokens(F.col(f"`{text_col}`")).alias("w"))
+        return self._apply(rows if removed is None else rows.unionByName(_absent(removed, id_col)), version)
 
     def remove(self, ids: DataFrame, version: int, id_col: str = "doc_id") -> bool:
         """Take out the documents with the given ids; ids that are not there do nothing."""
-        return self._apply(ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("array<string>").alias("w")).distinct(), version)
+        return self._apply(_absent(ids, id_col), version)
 
     def _apply(self, rows: DataFrame, version: int) -> bool:
         commits = self.store.commits()
@@ -64,7 +66,7 @@ class KeywordIndex:
             return False
         before = sorted(commits)
         part = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
-        fresh = rows.mapInArrow(_counted, "id long, dl long, ts array<string>, tfs array<int>").withColumn("part", part)
+        fresh = rows.mapInArrow(counted_words, "id long, dl long, ts array<string>, tfs array<int>").withColumn("part", part)
         once = F.row_number().over(Window.partitionBy("id").orderBy(F.desc_nulls_last("dl"), F.desc("ts"), F.desc("tfs")))
         fresh = fresh.withColumn("__n", once).where("__n = 1").drop("__n")
         self.store.write(fresh.hint("rebalance", "part"), "docs", version, "part")
@@ -239,6 +241,10 @@ class KeywordIndex:
         return fresh
 
 
+def _absent(ids: DataFrame, id_col: str) -> DataFrame:
+    return ids.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lit(None).cast("array<string>").alias("w")).distinct()
+
+
 def _impact(tf: Column, dl: Column, about: dict, k1: float, b: float) -> Column:
     mean = about["length"] / about["n"] if about["n"] and about["length"] else 1.0
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(mean)))
@@ -253,25 +259,6 @@ def _added(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each row, in order of their first place, with their counts."""
-    for batch in batches:
-        lists = batch.column("w")
-        if not batch.num_rows:
-            continue
-        length = lists.value_lengths()
-        words = lists.flatten().dictionary_encode()
-        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(lists)), length.fill_null(0).to_numpy(zero_copy_only=False))
-        key, first, count = np.unique(row * max(1, len(words.dictionary)) + code, return_index=True, return_counts=True)
-        order = np.argsort(first, kind="stable")
-        first, count = first[order], count[order]
-        ends = np.r_[0, np.cumsum(np.bincount(row[first], minlength=len(lists)))].astype(np.int32)
-        terms = words.dictionary.take(pa.array(code[first]))
-        none = pa.array(length.is_null().to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), length.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), terms, mask=none), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)), mask=none)], names=["id", "dl", "ts", "tfs"])
-
-
 def _blocks(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
     """One row for each range between ``cuts``, which ends with the number of rows."""
     ends = pa.array(cuts.astype(np.int32))

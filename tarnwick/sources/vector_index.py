@@ -75,9 +75,12 @@ class VectorIndex:
     with a null id.  Of rows that share an id in one batch, the one whose vector sorts last counts.
     """
 
-    def __init__(self, spark: SparkSession, path: str, dims: int = DEFAULTS.vector_dims, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, dims: int = DEFAULTS.vector_dims, buckets: int = 64, upto: int | None = None):
         self.spark, self.dims, self.buckets = spark, dims, buckets
-        self.store = Versions(spark, path, "n long")
+        self.store = Versions(spark, path, "n long", upto)
+
+    def is_fitted(self) -> bool:
+        return _there(self.spark, f"{self.store.path}/centres")
 
     def fit(self, vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, id_col: str = "id", vec_col: str = "vec") -> None:
         """Choose centres from the ``sample`` vectors with the smallest hashes of their ids: the square root of the

@@ -28,10 +28,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 class Versions:
-    """The tables under ``path``.  ``totals`` is the schema of a commit's own columns."""
+    """The tables under ``path``.  ``totals`` is the schema of a commit's own columns.  With ``upto`` later versions are
+    not seen: an index that is part of another shows what that one has committed."""
 
-    def __init__(self, spark: SparkSession, path: str, totals: str):
-        self.spark, self.path, self.totals = spark, path.rstrip("/"), totals
+    def __init__(self, spark: SparkSession, path: str, totals: str, upto: int | None = None):
+        self.spark, self.path, self.totals, self.upto = spark, path.rstrip("/"), totals, upto
 
     def commits(self) -> dict[int, dict]:
         """The columns of each committed version, one row a batch that the index ever took."""
@@ -39,7 +40,7 @@ class Versions:
         if not _there(self.spark, where):
             return {}
         rows = self.spark.read.schema(f"{self.totals}, version long").parquet(where).collect()
-        return {r["version"]: r.asDict() for r in rows}
+        return {r["version"]: r.asDict() for r in rows if self.upto is None or r["version"] <= self.upto}
 
     def read(self, table: str, schema: str, versions: list[int]) -> DataFrame:
         """Rows of the given versions; ``version`` and what the table is partitioned by are columns like others."""

@@ -82,3 +82,33 @@ def test_substring_matches(spark):
     got = sorted((r["query_id"], r["entity"]) for r in match.substring_matches(q, e).collect())
     assert got == [(1, "York"), (1, "new york"), (2, "York"), (2, "new york"), (5, "xy")]
     assert match.substring_matches(q, e.limit(0)).count() == 0 and match.substring_matches(q.limit(0), e).count() == 0
+
+
+def test_streamed_answers(spark):
+    from tarnwick.operators import answer
+
+    def deltas(prompt):
+        yield from prompt.split("|")
+        if prompt.startswith("bad"):
+            raise OSError("cut off")
+
+    asked = spark.createDataFrame([(1, "one| two| three four|five|"), (2, "bad| start of it|and|"), (3, None), (4, ""), (5, "bad")], "query_id long, prompt string")
+    got = {}
+    for r in answer.stream_answers(asked, "prompt", deltas).orderBy("query_id", "seq").collect():
+        got.setdefault(r["query_id"], []).append((r["seq"], r["shown"], r["error"]))
+    assert got[1] == [(1, "one two three four", None), (2, "one two three fourfive", None)]
+    assert got[2] == [(1, "bad start of it", None), (2, "bad start of itand", "cut off")] and got[5] == [(1, "bad", "cut off")] and set(got) == {1, 2, 5}
+    pieces = spark.createDataFrame([(["one", " two", " three four", "five", ""],)], "d array<string>").select(answer.flush_points(F.col("d")).alias("p")).first()["p"]
+    assert ["".join(pieces[: i + 1]) for i in range(len(pieces))] == [shown for _, shown, _ in got[1]]
+
+
+def test_prompt_variants_are_paced(spark):
+    import time
+
+    chunks = spark.createDataFrame([(i, f"text {i}") for i in range(6)] + [(9, None)], "chunk_id long, text string").coalesce(1)
+    made = {"a": lambda t: F.concat(F.lit("A "), t), "b": lambda t: t}
+    began = time.time()
+    got = models.compare_prompts(chunks, lambda ps: ['[{"head": "h"}]' if p.startswith("A") else "" for p in ps], made, per_second=20, wait=0)
+    rows = models.prompt_summary(got, "chunk_id", 2).collect()
+    assert time.time() - began > 0.5
+    assert {(r["variant"], r["outcome"]): (r["n"], r["examples"]) for r in rows} == {("a", "success"): (6, []), ("a", "empty_content"): (1, [9]), ("b", "empty_content"): (7, [0, 1])}
