@@ -52,6 +52,7 @@ def understood(questions: DataFrame, history: DataFrame | None, plugins: Plugins
     else:
         asked = asked.select("*", F.col("rewritten").alias("aligned"), F.lit(False).alias("align_triggered"), F.lit("{}").alias("alignment"))
     if plugins.prototypes is not None:
+        asked = P.stored(asked, "worded")
         vectors = R.dense(R.hashed_terms(asked, "query_id", "rewritten")).select(F.col("id").alias("query_id"), "vec")
         went = route(asked.select("query_id").join(vectors, "query_id", "left"), plugins.prototypes)
         to = F.when((F.col("decision") == "routed") & (F.col("best") == "global"), "global").otherwise("local")

@@ -16,7 +16,7 @@ CASE = "query string, category string, difficulty string, expected_keywords arra
 
 def markdown_dir(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, md5, error) of every ``*.md`` under ``path``, with paths relative to it.  A file that is not UTF-8 has
-    its error and no text; the others go on."""
+    its error and no text; the others go on.  Spark's readers leave out files without a byte, which have nothing to chunk."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
