@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,30 +88,40 @@ def evaluate(spark: SparkSession, sf_dir: str, channels: dict[str, DataFrame] |
 def ablate(spark: SparkSession, sf_dir: str, experiments) -> DataFrame:
     """(ordinal, experiment, num_cases, avg_contexts, avg_coverage, error), in the order of definition.
 
-    The channels are searched once and kept (ten rows a query); experiments whose switches come to one plan share it.
+    The channels are searched once and kept (ten rows a query); experiments whose switches come to one plan share it,
+    and all plans are one, with a tag.  If that fails, each is run by itself: one that fails is a row with its error.
     """
     from ..plans import retrieve as P
 
     asked = gold(spark, sf_dir).select("query_id", "query")
     table = P.words(spark, sf_dir)
-    channels = {"vector": P.vector_channel(spark, sf_dir, asked, table).persist(), "bm25": P.keyword_channel(spark, sf_dir, asked, table).persist(), "kg": P.graph_channel(spark, sf_dir, asked).persist()}
-    known: dict[tuple, tuple] = {}
-    rows = []
-    for i, experiment in enumerate(experiments):
-        plan = effective(experiment)
-        if plan not in known:
-            mode, rerank, kg, parents = plan
+    channels = {
+        "vector": P.stored(P.vector_channel(spark, sf_dir, asked, table), "vector"), "bm25": P.stored(P.keyword_channel(spark, sf_dir, asked, table), "bm25"),
+        "kg": P.stored(P.graph_channel(spark, sf_dir, asked), "kg"),
+    }
+    plans = list(dict.fromkeys(effective(e) for e in experiments))
+
+    def tagged(i: int) -> DataFrame:
+        mode, rerank, kg, parents = plans[i]
+        return evaluate(spark, sf_dir, channels, mode=mode, use_rerank=rerank, use_kg=kg, use_parents=parents).withColumn("plan", F.lit(i))
+
+    def measured(runs: DataFrame) -> dict[int, tuple]:
+        rows = runs.groupBy("plan").agg(F.count("*").alias("n"), average(F.col("contexts")).alias("contexts"), mean_share(F.col("coverage")).alias("coverage"))
+        return {r["plan"]: (r["n"], r["contexts"], r["coverage"], None) for r in rows.collect()}  # a row a plan
+
+    try:
+        known = measured(functools.reduce(DataFrame.unionByName, [tagged(i) for i in range(len(plans))]))
+    except Exception:
+        known = {}
+        for i in range(len(plans)):
             try:
-                run = evaluate(spark, sf_dir, channels, mode=mode, use_rerank=rerank, use_kg=kg, use_parents=parents)
-                one = run.agg(F.count("*").alias("n"), average(F.col("contexts")).alias("contexts"), mean_share(F.col("coverage")).alias("coverage")).first()  # one row a configuration
-                known[plan] = one["n"], one["contexts"], one["coverage"], None
-            except Exception as e:  # one that fails is a row with its error; the others go on
-                known[plan] = 0, 0.0, 0.0, (str(e) or type(e).__name__)[:500]
-        rows.append((i, experiment[0], *known[plan]))
-    for c in channels.values():
-        c.unpersist()
+                known |= measured(tagged(i))
+            except Exception as e:
+                known[i] = 0, 0.0, 0.0, (str(e) or type(e).__name__)[:500]
+    rows = [(i, e[0], *known.get(plans.index(effective(e)), (0, 0.0, 0.0, None))) for i, e in enumerate(experiments)]
     return spark.createDataFrame(rows, "ordinal int, experiment string, num_cases long, avg_contexts double, avg_coverage double, error string")
 
+
 def comparison(results: DataFrame) -> DataFrame:
     """(experiment, line) of results (experiment, relevance, faithfulness, error): fixed-width lines, the best relevance
     above zero marked; an experiment that failed counts as zero and shows its error."""
