@@ -8,7 +8,6 @@ sums.  The embedder is a batch function from texts to vectors; the default hashe
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text as X
 from . import segment as S
+from .retrieval import _bucket
 
 Embedder = Callable[[list[str]], np.ndarray]
 WORDS = regex.compile(r"[一-鿿]|(?:(?![一-鿿])[\p{L}\p{N}])+")
@@ -31,11 +31,6 @@ SECTION_OVERLAP, CHILD_OVERLAP = 100, 40
 OUT = "chunk_index int, text string, is_code boolean, code_language string"
 
 
-@functools.lru_cache(maxsize=200_000)
-def _bucket(token: str, dims: int) -> int:
-    return int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dims
-
-
 def hashed_embedder(texts: list[str], dims: int = DEFAULTS.vector_dims) -> np.ndarray:
     """Word counts by hash bucket, at unit length: the default embedding, as ``retrieval.hashed_terms`` has it."""
     found = [[_bucket(w, dims) for w in WORDS.findall(t.lower())] for t in texts]

@@ -96,7 +96,7 @@ def ablate(spark: SparkSession, sf_dir: str, experiments) -> DataFrame:
     asked = gold(spark, sf_dir).select("query_id", "query")
     table = P.words(spark, sf_dir)
     channels = {
-        "vector": P.stored(P.vector_channel(spark, sf_dir, asked, table), "vector"), "bm25": P.stored(P.keyword_channel(spark, sf_dir, asked, table), "bm25"),
+        "vector": P.vector_channel(spark, sf_dir, asked, table), "bm25": P.keyword_channel(spark, sf_dir, asked, table),
         "kg": P.stored(P.graph_channel(spark, sf_dir, asked), "kg"),
     }
     plans = list(dict.fromkeys(effective(e) for e in experiments))

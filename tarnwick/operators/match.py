@@ -14,7 +14,7 @@ from ..functions import text as X
 from . import retrieval as R
 
 #: Patterns of one automaton, and characters of texts that one task reads through it, about.
-PATTERNS, BLOCK_CHARS = 200_000, 32_000_000
+PATTERNS, BLOCK_CHARS = 50_000, 4_000_000
 #: Characters of a pattern that the automaton holds; what follows them is compared where they are found.
 HEAD = 500
 

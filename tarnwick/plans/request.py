@@ -79,9 +79,10 @@ def contexts(spark: SparkSession, sf_dir: str, asked: DataFrame, mode: str = "hy
     if use_kg:
         kept, votes = P.walk(spark, sf_dir, triples, exact)
         channels["kg"] = P.voted(votes)
-    local = P.retrieve(spark, sf_dir, mode, use_kg, use_rerank, use_parents, exact, channels)
+    local = P.stored(P.retrieve(spark, sf_dir, mode, use_kg, use_rerank, use_parents, exact, channels), "local")
     notes = T.notes(spark, sf_dir)
-    texts = notes.select(F.col("id").cast("string").alias("id"), "text")
+    # The few contexts pick their texts first, so that no other text is shuffled.
+    texts = notes.select(F.col("id").cast("string").alias("id"), "text").join(local.select("id"), "id", "left_semi")
     if use_parents:
         wanted = notes.join(local.where("kind = 'parent'").select("source").distinct(), "source", "left_semi")
         whole = wanted.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))  # a note's few chunks

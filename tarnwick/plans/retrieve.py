@@ -16,10 +16,19 @@ from . import tables as T
 MACRO = "以下是整个知识库的宏观核心知识结构（核心实体关系）：\n"
 
 
+#: Rows of a batch for Python while a step is written.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written to the shared folder and read back, for what several steps of a plan read."""
-    path = shared_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    path, conf = shared_folder(rows.sparkSession, name), rows.sparkSession.conf
+    before = conf.get(BATCH)
+    try:  # texts and word lists meet Python in small batches
+        conf.set(BATCH, min(int(before), ROWS) if int(before) > 0 else ROWS)
+        rows.write.parquet(path)
+    finally:
+        conf.set(BATCH, before)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -29,14 +38,16 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
-    """``table`` is what ``words`` wrote, if several channels share it."""
+    """``table`` is what ``words`` wrote, if several channels share it.  A channel's few rows are written, so that all that
+    follows reads them instead of searching again."""
     docs = (words(spark, sf_dir) if table is None else table).where("vec is not null").select("id", "vec")
     asked = T.questions(spark, sf_dir) if asked is None else asked
-    return R.vector_topk(docs, R.dense(R.hashed_terms(asked, "query_id", "query")).select(F.col("id").alias("query_id"), "vec"))
+    return stored(R.vector_topk(docs, R.dense(R.hashed_terms(asked, "query_id", "query")).select(F.col("id").alias("query_id"), "vec")), "vector")
 
 
 def keyword_channel(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
-    return R.bm25_topk(R.bm25_of_words(words(spark, sf_dir) if table is None else table, T.questions(spark, sf_dir) if asked is None else asked))
+    scores = R.bm25_of_words(words(spark, sf_dir) if table is None else table, T.questions(spark, sf_dir) if asked is None else asked, DEFAULTS.recall_k)
+    return stored(R.bm25_topk(scores), "bm25")
 
 
 def graph_seeds(spark: SparkSession, sf_dir: str, triples: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -70,7 +81,7 @@ def fuse(vector: DataFrame, keyword: DataFrame) -> DataFrame:
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = words(spark, sf_dir)
-    return fuse(vector_channel(spark, sf_dir, table=table), keyword_channel(spark, sf_dir, table=table))
+    return stored(fuse(vector_channel(spark, sf_dir, table=table), keyword_channel(spark, sf_dir, table=table)), "hybrid")
 
 
 def global_contexts(spark: SparkSession, triples: DataFrame | None, texts: DataFrame, sources: int = 3, summarise=None, wait: float = 1.0) -> DataFrame:
@@ -97,7 +108,8 @@ def global_contexts(spark: SparkSession, triples: DataFrame | None, texts: DataF
 
 def children_instead(base: DataFrame, parents: DataFrame, notes: DataFrame) -> DataFrame:
     """The best children themselves, for queries of which no parent was found."""
-    alone = base.where(F.col("rank") <= DEFAULTS.final_k).join(parents.select("query_id"), "query_id", "left_anti").join(notes.select("id", "source", "chunk_index"), "id", "left")
+    alone = base.where(F.col("rank") <= DEFAULTS.final_k).join(parents.select("query_id"), "query_id", "left_anti")
+    alone = alone.join(notes.select("id", "source", "chunk_index").join(alone.select("id"), "id", "left_semi"), "id", "left")
     return alone.select("query_id", F.col("rank").alias("ctx_pos"), F.col("id").cast("string").alias("id"), "source", "chunk_index", F.lit("child").alias("kind"), "score")
 
 
@@ -123,19 +135,21 @@ def retrieve(
         graph = have["kg"] if "kg" in have else graph_channel(spark, sf_dir, asked)
         fused = R.rrf(R.named(base, "base").unionByName(R.named(graph, "kg")), {"base": 1.0, "kg": d.weight_kg})
         base = R.ranked(fused, "score", "id").select("query_id", "id", "score", "rank")
+    # Each step's few rows are written: what follows reads them several times, and joins them to all notes by broadcast.
+    base = stored(base, "base")
     notes = T.notes(spark, sf_dir)
     if use_parents:
         hits = base.where(F.col("rank") <= DEFAULTS.recall_k).join(notes, "id").select("query_id", F.concat("source", F.lit("#p")).alias("parent_id"), "score")
-        rows = R.rollup_parents(hits)
+        rows = stored(R.rollup_parents(hits), "parents")
         if use_rerank:  # all rolled-up parents are rescored before the cut
-            rows = R.rerank_parents(rows, notes.withColumn("parent_id", F.concat("source", F.lit("#p"))), asked)
+            rows = stored(R.rerank_parents(rows, notes.withColumn("parent_id", F.concat("source", F.lit("#p"))), asked), "rescored")
         rows = rows.where(F.col("rank") <= DEFAULTS.final_k)
         out = rows.select("query_id", F.col("rank").alias("ctx_pos"), F.col("parent_id").alias("id"), F.regexp_replace("parent_id", "#p$", "").alias("source"), F.lit(0).alias("chunk_index"), F.lit("parent").alias("kind"), "score")
         return out.unionByName(children_instead(base, out, notes))
     seeds = base.where(F.col("rank") <= DEFAULTS.final_k).join(notes, "id")
     if use_rerank:
         seeds = R.rerank(seeds.join(asked, "query_id"))
-    seeds = seeds.select("query_id", "id", "source", "chunk_index", "score", "rank")
+    seeds = stored(seeds.select("query_id", "id", "source", "chunk_index", "score", "rank"), "found")
     near = R.neighbors(seeds, notes)
     place = F.lit(1000) + F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     every = seeds.select("query_id", "id", "source", "chunk_index", "score", F.lit("seed").alias("kind"), F.col("rank").alias("pos")).unionByName(near.select("query_id", "id", "source", "chunk_index", "score", F.lit("neighbor").alias("kind"), place.alias("pos")))

@@ -1,9 +1,11 @@
 """Whole results and bounded work of the retrieval channels."""
 
+import pyarrow as pa
 from conftest import SMALL
 
 from tarnwick import registry
 from tarnwick.operators import retrieval as R
+from tarnwick.plans import retrieve as P
 
 
 def test_keyword_statistics_have_a_row_for_every_term(spark):
@@ -11,3 +13,48 @@ def test_keyword_statistics_have_a_row_for_every_term(spark):
     assert got.columns == ["t", "df", "idf"]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert got.count() == R.postings(docs).select("t").distinct().count()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows(df):
+    return sorted((r["query_id"], r["id"], round(r["score"], 5)) for r in df.collect())
+
+
+def test_keyword_scores_add_up_in_the_tasks_that_hold_the_documents(spark):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "a"), (3, "x y"), (4, ""), (5, None), (6, "c c a d"), (7, "b")], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, "a b a zz"), (11, "c d"), (12, "nothing"), (13, None)], "query_id long, query string")
+    for k in (None, 2):
+        near, joined = (R.bm25_of_words(R.word_table(docs), asked, k, most_asked=m) for m in (R.ASKED, 0))
+        assert "Exchange" not in plan(near)
+        assert rows(R.bm25_topk(near, 2)) == rows(R.bm25_topk(joined, 2))
+    assert "Exchange" not in plan(R.bm25(docs, asked))
+    assert rows(R.bm25(docs, asked)) == rows(R.bm25(docs, asked, most_asked=0))
+
+
+def test_a_task_holds_only_its_best_rows(spark):
+    docs = spark.createDataFrame([(i, "a " * (i % 7 + 1) + "b") for i in range(500)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, query string")
+    words = R.word_table(docs)
+    assert R.bm25_of_words(words, asked, 3).count() <= 6
+    assert rows(R.bm25_topk(R.bm25_of_words(words, asked, 3), 3)) == rows(R.bm25_topk(R.bm25(docs, asked), 3))
+
+
+def test_word_lists_are_counted_in_bounded_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([["a"] * 4, None, ["b", "a", "b"], [], ["c"] * 9])], names=["id", "w"])
+    parts = list(R.slices(iter([batch]), "w", 5))
+    assert [p.num_rows for p in parts] == [2, 2, 1]
+    got = pa.Table.from_batches(list(R.counted_words(iter(parts)))).to_pylist()
+    assert [(r["id"], r["dl"], r["ts"], r["tfs"]) for r in got] == [(0, 4, ["a"], [4]), (1, None, None, None), (2, 3, ["b", "a"], [2, 1]), (3, 0, [], []), (4, 9, ["c"], [9])]
+
+
+def test_a_channel_is_searched_once_however_often_it_is_read(spark):
+    table = P.words(spark, SMALL)
+    for channel in (P.keyword_channel(spark, SMALL, table=table), P.vector_channel(spark, SMALL, table=table)):
+        assert "InArrow" not in plan(channel) and "Exchange" not in plan(channel)
+    base = P.hybrid(spark, SMALL)
+    assert "Exchange" not in plan(base)
+    # The parents' texts are picked by broadcast, not shuffled.
+    assert plan(base.join(P.T.notes(spark, SMALL), "id")).count("BroadcastHashJoin") == 1
