@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text as X
 from . import segment as S
-from .retrieval import _bucket
+from .retrieval import _bucket, slices
 
 Embedder = Callable[[list[str]], np.ndarray]
 WORDS = regex.compile(r"[一-鿿]|(?:(?![一-鿿])[\p{L}\p{N}])+")
 #: Separators of sections and of children without semantic chunks, and the overlaps of their pieces.
 SECTION_SEPARATORS = ("\n\n", "\n", "。", "")
 SECTION_OVERLAP, CHILD_OVERLAP = 100, 40
+#: Sentences that a task takes up at a time.
+SENTENCES = 20_000
 OUT = "chunk_index int, text string, is_code boolean, code_language string"
 
 
@@ -117,7 +119,7 @@ def semantic_chunks(docs: DataFrame, keys: list[str], text_col: str = "text", si
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keys).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "__s", SENTENCES):
             listed = [s or [] for s in batch.column("__s").to_pylist()]
             whole = batch.column("__text").to_pylist()
             at, rows = [], []
@@ -138,6 +140,52 @@ def semantic_chunks(docs: DataFrame, keys: list[str], text_col: str = "text", si
     return taken.mapInArrow(run, ", ".join([*kinds, OUT, "chunker string"]))
 
 
+def sentence_sims(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", half: int = Sizes.half, embed: Embedder = hashed_embedder) -> DataFrame:
+    """(doc, pos, sim): ``similarities`` of each text's sentences, a row for each but the last; nothing is shuffled."""
+    texts = F.transform(X.code_aware_sentences(F.col(text_col)), lambda s: s["text"])
+    rows = docs.select(F.col(id_col).alias("doc"), texts.alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "s", SENTENCES):
+            found = [similarities(embed(t), half) if t and len(t) > 1 else np.zeros(0) for t in batch.column("s").to_pylist()]
+            many = [len(f) for f in found]
+            pos = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(np.repeat(np.arange(len(many)), many))), pa.array(pos), pa.array(np.concatenate(found))], names=["doc", "pos", "sim"])
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, pos int, sim double")
+
+
+def breaks(sims: np.ndarray, percentile: float) -> np.ndarray:
+    """Which similarities lie under their percentile, as ``segment.breakpoints`` has it."""
+    if not len(sims):
+        return np.zeros(0, bool)
+    at, held = (len(sims) - 1) * (percentile / 100), np.sort(sims)
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    limit = held[lo] if lo == hi or held[lo] == held[hi] else (hi - at) * held[lo] + (at - lo) * held[hi]
+    return sims < limit
+
+
+def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes(), embed: Embedder = hashed_embedder) -> DataFrame:
+    """(doc, chunk, text, n, is_code, code_language): the sentences of each text joined up to each breakpoint of their
+    vectors, and up to where code begins or ends, before merging and halving; nothing is shuffled."""
+    rows = docs.select(F.col(id_col).alias("doc"), X.code_aware_sentences(F.col(text_col)).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "s", SENTENCES):
+            at, out = [], []
+            for i, sentences in enumerate(batch.column("s").to_pylist()):
+                texts, code = [s["text"] for s in sentences or []], [s["is_code"] for s in sentences or []]
+                cut = breaks(similarities(embed(texts), sizes.half), sizes.percentile) if len(texts) > 1 else []
+                starts = [0, *[k + 1 for k in range(len(texts) - 1) if cut[k] or code[k] != code[k + 1]]] if texts else []
+                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(texts)], strict=False)):
+                    at.append(i)
+                    out.append((k, " ".join(texts[a:b]), b - a, code[a], sentences[a]["code_language"] if code[a] else None))
+            made = [pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(at, pa.int64())), *made], names=["doc", "chunk", "text", "n", "is_code", "code_language"])
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, chunk int, text string, n int, is_code boolean, code_language string")
+
+
 def split_documents(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), embed: Embedder = hashed_embedder) -> DataFrame:
     """Semantic chunks, and recursive ones for texts that have none."""
     cut = functools.partial(S.recursive_pieces, size=DEFAULTS.chunk_size, overlap=DEFAULTS.chunk_overlap)

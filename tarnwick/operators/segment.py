@@ -44,43 +44,6 @@ def split_code_aware(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.select("doc", "pos", F.col("s.text").alias("sentence"), "s.is_code", "s.code_language")
 
 
-def sentence_sims(sentences: DataFrame, half: int = DEFAULTS.window_size // 2) -> DataFrame:
-    """(doc, pos, sim): ``adjacent`` of ``smooth`` for the hashed word counts of sentences, without their zeros.
-
-    Everything is grouped within documents, so after the first exchange by document nothing moves.  The mean's divisor
-    goes with the length, so sums serve.
-    """
-    from .retrieval import bucket
-
-    n = F.count("*").over(Window.partitionBy("doc"))
-    rows = sentences.repartition("doc").select("doc", "pos", n.alias("n"), X.tokens(F.col("sentence")).alias("w"))
-    terms = rows.select("doc", "pos", "n", F.explode("w").alias("t"))
-    counts = terms.groupBy("doc", "pos", "n", bucket(F.col("t")).cast("int").alias("dim")).agg(F.count("*").cast("double").alias("v"))
-
-    def at_unit_length(x: DataFrame) -> DataFrame:
-        return x.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc", "pos"))))
-
-    near = at_unit_length(counts).withColumn("pos", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - half), F.least(F.col("n").cast("int") - 1, F.col("pos") + half))))
-    smooth = at_unit_length(near.groupBy("doc", "pos", "dim").agg(F.sum("v").alias("v")))
-    before = Window.partitionBy("doc", "dim").orderBy("pos")
-    both = F.when(F.lag("pos").over(before) == F.col("pos") - 1, F.col("v") * F.lag("v").over(before))
-    found = smooth.withColumn("p", both).groupBy("doc", (F.col("pos") - 1).alias("pos")).agg(F.sum("p").alias("sim"))
-    gaps = rows.where(F.col("pos") < F.col("n") - 1).select("doc", "pos")
-    return gaps.join(found, ["doc", "pos"], "left").select("doc", "pos", F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("sim"))
-
-
-def chunks(sentences: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Sentences (doc, pos, sentence, is_code, code_language) joined up to each cut, and up to where code begins or ends:
-    (doc, chunk, text, n, is_code, code_language)."""
-    order = Window.partitionBy("doc").orderBy("pos")
-    flagged = sentences.join(cuts.select("doc", (F.col("pos") + 1).alias("pos"), F.lit(True).alias("cut")), ["doc", "pos"], "left")
-    begins = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("is_code") != F.lag("is_code").over(order), F.lit(False))
-    island = flagged.withColumn("begins", begins.cast("int")).withColumn("chunk", F.sum("begins").over(order))
-    listed = island.groupBy("doc", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"), F.every("is_code").alias("is_code"), F.min_by("code_language", "pos").alias("language"))
-    text = F.array_join(F.transform("s", lambda e: e["sentence"]), " ")
-    return listed.select("doc", F.col("chunk").cast("int").alias("chunk"), text.alias("text"), F.size("s").alias("n"), "is_code", F.when(F.col("is_code"), F.col("language")).alias("code_language"))
-
-
 def merged_pieces(pieces: list[str], least: int, joint: str = " ") -> list[str]:
     """Texts in order, each joined by the next ones while it is shorter than ``least``; in time linear in the texts."""
     out: list[str] = []

@@ -114,15 +114,14 @@ def breakpoints(spark, d):
 
 @query(f"WITH RECURSIVE {T.FENCED}, {T.semantic('fenced', 80, 1200)} SELECT doc_id AS doc, pos::INT AS pos, sim FROM sent JOIN gap USING (doc_id, pos)".replace("WHERE s.n >= 3 AND s.pos < s.n - 1", "WHERE s.pos < s.n - 1").replace("FROM sent WHERE n >= 3)", "FROM sent)"))
 def sentence_sims(spark, d):
-    return S.sentence_sims(S.split_code_aware(T.fenced(spark, d)))
+    return C.sentence_sims(T.fenced(spark, d))
 
 
 @query(f"""WITH RECURSIVE {T.FENCED}, {T.semantic('fenced', 80, 1200).replace("CASE WHEN s.n >= 3 AND (", "CASE WHEN s.n >= 1 AND (")}
     SELECT doc_id AS doc, island::INT AS chunk, string_agg(text, ' ' ORDER BY pos) AS text, count(*)::INT AS n, bool_and(is_code) AS is_code, CASE WHEN bool_and(is_code) THEN arg_min(lang, pos) END AS code_language FROM isl GROUP BY doc_id, island""")
 def build_chunks(spark, d):
     """Sentences up to each breakpoint of their own vectors, before merging and halving."""
-    s = S.split_code_aware(T.fenced(spark, d))
-    return S.chunks(s, S.breakpoints(S.sentence_sims(s)))
+    return C.sentence_chunks(T.fenced(spark, d))
 
 
 @query(f"""WITH RECURSIVE {T.SENTENCES}, fold AS (

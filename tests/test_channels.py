@@ -4,7 +4,9 @@ import pyarrow as pa
 from conftest import SMALL
 
 from tarnwick import registry
+from tarnwick.operators import chunker as C
 from tarnwick.operators import retrieval as R
+from tarnwick.operators import segment as S
 from tarnwick.plans import retrieve as P
 
 
@@ -58,3 +60,23 @@ def test_a_channel_is_searched_once_however_often_it_is_read(spark):
     assert "Exchange" not in plan(base)
     # The parents' texts are picked by broadcast, not shuffled.
     assert plan(base.join(P.T.notes(spark, SMALL), "id")).count("BroadcastHashJoin") == 1
+
+
+def test_sentences_of_a_text_are_compared_and_joined_without_a_shuffle(spark):
+    text = "Alpha beta gamma. Beta gamma delta! Gamma delta?\n\n```py\nx = 1\n```\nSome more words here. And yet others follow. Alpha beta gamma. "
+    docs = spark.createDataFrame([(1, text * 3), (2, ""), (3, None), (4, "Only one sentence here."), (5, "A first one here. And a second one.")], "doc_id long, text string")
+    sims, chunks = C.sentence_sims(docs), C.sentence_chunks(docs)
+    assert "Exchange" not in plan(sims) and "Exchange" not in plan(chunks)
+    cut = {(r["doc"], r["pos"]) for r in S.breakpoints(sims).collect()}
+    sentences, want = {}, {}
+    for r in sorted(S.split_code_aware(docs).collect()):
+        before = sentences.get(r["doc"])
+        new = before is None or (r["doc"], r["pos"] - 1) in cut or before["is_code"] != r["is_code"]
+        want.setdefault(r["doc"], []).append([]) if new else None
+        want[r["doc"]][-1].append(r["sentence"])
+        sentences[r["doc"]] = r
+    got = {}
+    for r in sorted(chunks.collect()):
+        assert r["chunk"] == len(got.setdefault(r["doc"], []))
+        got[r["doc"]].append(r["text"])
+    assert got == {doc: [" ".join(c) for c in found] for doc, found in want.items()} and len(got) == 3
