@@ -67,9 +67,12 @@ class KeywordIndex:
         before = sorted(commits)
         part = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
         fresh = rows.mapInArrow(counted_words, "id long, dl long, ts array<string>, tfs array<int>").withColumn("part", part)
-        once = F.row_number().over(Window.partitionBy("id").orderBy(F.desc_nulls_last("dl"), F.desc("ts"), F.desc("tfs")))
-        fresh = fresh.withColumn("__n", once).where("__n = 1").drop("__n")
-        self.store.write(fresh.hint("rebalance", "part"), "docs", version, "part")
+        if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # ids alone; the words move once
+            fresh = fresh.hint("rebalance", "part")
+        else:
+            once = F.row_number().over(Window.partitionBy("part", "id").orderBy(F.desc_nulls_last("dl"), F.desc("ts"), F.desc("tfs")))
+            fresh = fresh.repartition("part").withColumn("__n", once).where("__n = 1").drop("__n")
+        self.store.write(fresh, "docs", version, "part")
         new = self.store.read("docs", DOCS, [version])
         parts = [r["part"] for r in new.select("part").distinct().collect()]  # buckets
         old = self._live_docs(before, parts).join(new.select("id"), "id", "left_semi")

@@ -8,6 +8,8 @@ from tarnwick.operators import chunker as C
 from tarnwick.operators import retrieval as R
 from tarnwick.operators import segment as S
 from tarnwick.plans import retrieve as P
+from tarnwick.sources.keyword_index import KeywordIndex
+from tarnwick.sources.versions import Versions
 
 
 def test_keyword_statistics_have_a_row_for_every_term(spark):
@@ -80,3 +82,18 @@ def test_sentences_of_a_text_are_compared_and_joined_without_a_shuffle(spark):
         assert r["chunk"] == len(got.setdefault(r["doc"], []))
         got[r["doc"]].append(r["text"])
     assert got == {doc: [" ".join(c) for c in found] for doc, found in want.items()} and len(got) == 3
+
+
+def test_a_batch_without_repeated_ids_moves_its_words_once(spark, tmp_path, monkeypatch):
+    index, moved, write = KeywordIndex(spark, str(tmp_path / "index"), buckets=4, block=8), [], Versions.write
+
+    def seen(self, df, table, version, *by):
+        if table == "docs":
+            moved.append(plan(df))
+        write(self, df, table, version, *by)
+
+    monkeypatch.setattr(Versions, "write", seen)
+    index.upsert(spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string"), 0)
+    index.upsert(spark.createDataFrame([(3, "a"), (3, "a b"), (4, None)], "doc_id long, text string"), 1)
+    assert [(p.split("Initial Plan")[-1].count("Exchange"), "Window" in p) for p in moved] == [(1, False), (1, True)]
+    assert sorted((r["id"], r["dl"]) for r in index.documents().collect()) == [(1, 2), (2, 2), (3, 2), (4, 0)]
