@@ -176,6 +176,38 @@ def test_tiny_and_huge_vectors_have_a_direction(spark):
     assert [got[i]["n_links"] for i in (1, 2, 3, 4, 5)] == [2, 2, 2, 0, 0] and got[3]["component_id"] == 1
 
 
+def test_blocks_of_vectors_meet_without_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30, 20))
+    rows = [(b + rng.normal(size=20) * 0.1).astype(np.float32).tolist() for b in base for _ in range(9)] + [base[0].tolist()] * 5
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    plans, keep = {}, common.Scratch.keep
+
+    def seen(self, df, name, n=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name, n)
+
+    monkeypatch.setattr(common.Scratch, "keep", seen)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["vec_id"]: r for r in embed_dedup.near_vectors(table, pivots=5).collect()}
+        monkeypatch.setattr(embed_dedup, "BROADCAST", 0)
+        assert {r["vec_id"]: r for r in embed_dedup.near_vectors(table, pivots=3).collect()} == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" in plans["vector-tiles"] and "Exchange" not in plans["vector-tiles"]
+    x = np.array(rows, np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    root = np.arange(len(rows))
+    for _ in rows:
+        root = np.array([min([root[i], *root[link[i]]]) for i in range(len(rows))])
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(rows))] == list(zip(link.sum(axis=1).tolist(), root.tolist(), strict=True))
+
+
 def test_links_of_a_tile_are_united_as_they_come():
     rng = np.random.default_rng(2)
     x, y = rng.integers(0, 300, 260), rng.integers(0, 300, 260)
