@@ -2,11 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.operators import retrieval as R
+from tarnwick.sources import keyword_index as K
 from tarnwick.sources.keyword_index import KeywordIndex
+from tarnwick.sources.versions import Versions
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +101,41 @@ def test_what_is_read(spark, tmp_path, world):
     index.upsert(spark.createDataFrame([(1, "w7 w7")], "doc_id long, text string"), 1)
     later = {b.split("bucket=")[1] for b in map(str, (tmp_path / "index" / "postings" / "version=1").glob("bucket=*"))}
     assert len(later) == 1 < len(touched)
+
+
+def test_many_questions_shuffle_no_postings(spark, tmp_path, world, monkeypatch):
+    rng, text = world
+    index, plans, write = KeywordIndex(spark, str(tmp_path / "index"), buckets=4, block=8), {}, Versions.write
+
+    def seen(self, df, table, version, *by):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        write(self, df, table, version, *by)
+
+    monkeypatch.setattr(Versions, "write", seen)
+    held = {i: text(rng.randrange(1, 60)) for i in range(120)} | {900: None, 901: ""}
+    changed = {i: text(rng.randrange(1, 60)) for i in [*range(0, 40, 3), 500]}
+    batch = lambda rows: spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    index.upsert(batch(held), 0)
+    assert "Exchange" not in plans["postings"]
+    monkeypatch.setattr(K, "BROADCAST", 0)
+    index.upsert(batch(changed), 1)
+    index.remove(spark.createDataFrame([(5,), (9,), (77777,)], "doc_id long"), 2)
+    held = {i: t for i, t in (held | changed).items() if i not in (5, 9)}
+    questions = spark.createDataFrame([(1, "w0 w1 w59"), (2, text(12)), (3, "w40 w41 w40"), (4, "unknown"), (5, ""), (6, None)], "query_id long, query string")
+    few = rows(index.topk(questions, 7))
+    monkeypatch.setattr(K, "PAIRS", 0)
+    many = index.topk(questions, 7)
+    assert rows(many) == few == plain(spark, held, questions, 7)
+    plan = many._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "ids" not in "".join(line for line in plan.splitlines() if "Generate" in line)  # no row for each posting
+
+
+def test_runs_are_bounded_and_cut_into_blocks(monkeypatch):
+    monkeypatch.setattr(K, "RUN", 5)
+    docs = pa.table({"part": pa.array([0, 0, 0, 1], pa.int32()), "id": [1, 2, 3, 4], "dl": [3, 9, 2, 1], "ts": [["a", "b"], ["a", "b", "c"], ["a"], ["b"]], "tfs": pa.array([[1, 2], [5, 3, 1], [2], [1]], pa.list_(pa.int32()))})
+    runs = list(K._runs(iter(docs.to_batches())))
+    assert [r.column("id").to_pylist() for r in runs] == [[1, 2, 3], [4]]
+    blocks = [b for run in runs for part in K._blocks(run, 2, 7) for b in part.to_pylist()]
+    assert sorted((b["t"], b["lead"], b["ids"], b["tfs"], b["max_tf"], b["min_dl"], b["run"]) for b in blocks) == [
+        ("a", 1, [1], [1], 1, 3, 7), ("a", 2, [2, 3], [5, 2], 5, 2, 7), ("b", 2, [2, 1], [3, 2], 3, 3, 7), ("b", 4, [4], [1], 1, 1, 7), ("c", 2, [2], [1], 1, 9, 7),
+    ]
