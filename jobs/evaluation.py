@@ -25,6 +25,8 @@ from tarnwick.operators.evaluate import average, expected_keywords, mean_share
 from tarnwick.sources.keyword_index import KeywordIndex
 
 LOG = logging.getLogger("evaluation")
+#: Documents found at most up to which their ids go to every task that reads the texts.
+BROADCAST = 1_000_000
 
 
 def results(cases: DataFrame, documents: DataFrame, index: KeywordIndex, experiments: dict[str, int], document_id: str = "doc_id", case_id: str = "item_id") -> DataFrame:
@@ -37,8 +39,11 @@ def results(cases: DataFrame, documents: DataFrame, index: KeywordIndex, experim
     asked = cases.select(F.col(case_id).cast("long").alias("query_id"), F.substring("text", F.lit(1), half).alias("query"), expected_keywords(F.substring("text", half + 1, F.length("text"))).alias("keywords"))
     tries = cases.sparkSession.createDataFrame(sorted(experiments.items()), "experiment string, most int")
     asked = asked.join(F.broadcast(tries), F.lit(True)).withColumn("case", F.struct("experiment", "query_id"))  # a row a setting
-    found = index.topk(asked.select("query_id", "query").distinct(), max(experiments.values(), default=1))
+    questions, most = asked.select("query_id", "query").distinct(), max(experiments.values(), default=1)
+    found = index.topk(questions, most)
     ids = found.select("id").distinct()
+    if questions.count() * most <= BROADCAST:  # else the texts are shuffled to meet them
+        ids = F.broadcast(ids)
     shown = documents.select(F.col(document_id).cast("long").alias("id"), "text", "source").join(ids, "id", "left_semi").groupBy("id").agg(F.max(F.struct("text", "source")).alias("d"))
     ranked = found.join(shown, "id").select("query_id", "rank", "d.text", "d.source")
     contexts = asked.select("case", "query_id", "most", "keywords").join(ranked, "query_id").where("rank <= most")

@@ -10,6 +10,7 @@ from conftest import ROOT, SMALL, same
 from jobs import evaluation, keyword_index, settings
 from jobs import queries as J
 from tarnwick.operators import retrieval as R
+from tarnwick.sources.keyword_index import KeywordIndex
 
 
 @pytest.mark.parametrize("name", sorted(J.QUERIES))
@@ -59,6 +60,16 @@ def test_evaluation_replaces_its_own_experiments(spark, tmp_path):
     assert by["b"]["avg_coverage"] >= by["a"]["avg_coverage"] > 0
 
 
+def test_texts_stay_where_they_are(spark, tmp_path):
+    index = KeywordIndex(spark, str(tmp_path / "index"))
+    docs, cases = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    index.upsert(docs.limit(50), 0)
+    found = evaluation.results(cases, docs, index, {"a": 1, "b": 4})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "LeftSemi" in line and "[id#" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
 def test_settings(tmp_path):
     base = tmp_path / "job.json"
     base.write_text(json.dumps({"input": "a", "buckets": 4, "experiments": {"x": 1}}))
