@@ -39,6 +39,8 @@ TOTALS = "n long, length long, mean_idf double"
 SLACK = 1e-5
 #: Postings of a run; pairs of questions and terms beyond which all their blocks are opened, run by run.
 RUN, PAIRS = 2_000_000, 256
+#: Bytes of stored documents that a task inverts at most, some six to ten times as many in memory, and the setting for that.
+SPLIT_BYTES, SPLIT = 64 << 20, "spark.sql.files.maxPartitionBytes"
 #: Changed ids up to which they go to every task that reads their old words.
 BROADCAST = 1_000_000
 
@@ -128,7 +130,12 @@ class KeywordIndex:
 
         blocks = new.where("dl is not null").select("part", "id", "dl", "ts", "tfs").mapInArrow(invert, POSTINGS.removesuffix(", bucket int"))
         dealt = blocks.withColumn("bucket", self._bucket(F.col("t"))).sortWithinPartitions("bucket", "t")
-        self.store.write(dealt, "postings", version, "bucket")
+        before = self.spark.conf.get(SPLIT)
+        try:  # tasks of so many bytes sort their blocks in memory
+            self.spark.conf.set(SPLIT, min(SPLIT_BYTES, self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)))
+            self.store.write(dealt, "postings", version, "bucket")
+        finally:
+            self.spark.conf.set(SPLIT, before)
 
     # Reading
 

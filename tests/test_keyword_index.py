@@ -115,8 +115,9 @@ def test_many_questions_shuffle_no_postings(spark, tmp_path, world, monkeypatch)
     held = {i: text(rng.randrange(1, 60)) for i in range(120)} | {900: None, 901: ""}
     changed = {i: text(rng.randrange(1, 60)) for i in [*range(0, 40, 3), 500]}
     batch = lambda rows: spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    split = spark.conf.get(K.SPLIT)
     index.upsert(batch(held), 0)
-    assert "Exchange" not in plans["postings"]
+    assert "Exchange" not in plans["postings"] and spark.conf.get(K.SPLIT) == split
     monkeypatch.setattr(K, "BROADCAST", 0)
     index.upsert(batch(changed), 1)
     index.remove(spark.createDataFrame([(5,), (9,), (77777,)], "doc_id long"), 2)
